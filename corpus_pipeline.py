@@ -9,9 +9,15 @@ from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.simhash import simhash_dedup
 from lodestone.llm.substrings import drop_repeats
+from lodestone.llm.toxicity import drop_toxic, labelled_chain
 from lodestone.runtime import Scratch
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    return drop_toxic(docs, labelled_chain(spark, docs, sf_dir))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts one stays."""
     return exact_dedup(docs)
@@ -32,7 +38,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", exact), ("simhash_dedup", near), ("substring_dedup", substrings), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("simhash_dedup", near), ("substring_dedup", substrings), ("packing", packing)]
 
 #: SQL has no classifier chain and no packing search; tests hold the stages against brute force.
 ORACLE_SQL = None
