@@ -1 +1,8 @@
+"""The registered queries and their SQL."""
 
+
+def load():
+    """(queries, SQL) by name."""
+    from lodestone.plans import registry, search_queries  # noqa: F401
+
+    return registry.QUERIES, registry.ORACLE_SQL
