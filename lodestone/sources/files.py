@@ -44,8 +44,14 @@ def read_entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def dotenv_lines(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    """n, line of a small settings file; Spark's readers skip names with a leading dot, so the driver opens it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "n int, line string")
 
 
 def parse_dotenv(lines: DataFrame) -> DataFrame:
@@ -109,3 +115,34 @@ def report_texts(df: DataFrame) -> DataFrame:
     inner = lambda x: F.transform(F.filter(F.coalesce(x["content"], F.array().cast("array<struct<type:string,text:string>>")), lambda c: c["type"] == "text"), lambda c: c["text"])
     parts = F.flatten(F.transform(o, lambda x: F.when(F.coalesce(x["text"], F.lit("")) != "", F.array(x["text"])).otherwise(inner(x))))
     return df.select("id", F.array_join(parts, "\n\n").alias("report"))
+
+
+#: Steps of a video project in order, with the file that shows that a step is done.
+PROJECT_STEPS = [("script", "script/script.json"), ("narration", "narration/narrations.json"), ("scenes", "scenes/index.ts"), ("voiceover", "voiceover/manifest.json"), ("storyboard", "storyboard/storyboard.json"), ("render", "output/final.mp4")]
+
+
+def project_status(listing: DataFrame, steps: list[tuple[str, str]] = PROJECT_STEPS) -> DataFrame:
+    """project, n, step, completed for every project of a listing (project, file) and every step; hidden projects are skipped."""
+    own = listing.filter(~F.col("project").startswith("."))
+    dim = own.sparkSession.createDataFrame([(i, s, f) for i, (s, f) in enumerate(steps)], "n int, step string, file string")
+    done = own.join(F.broadcast(dim), "file").select("project", "step").distinct().withColumn("__d", F.lit(True))  # a few steps
+    every = own.select("project").distinct().crossJoin(F.broadcast(dim.select("n", "step")))
+    return every.join(done, ["project", "step"], "left").select("project", "n", "step", F.coalesce("__d", F.lit(False)).alias("completed"))
+
+
+def project_list(status: DataFrame) -> DataFrame:
+    """project, completed_steps, steps, rendered."""
+    render = F.bool_or((F.col("step") == "render") & F.col("completed"))
+    return status.groupBy("project").agg(F.count_if("completed").alias("completed_steps"), F.count("*").alias("steps"), render.alias("rendered"))
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file from the driver, by way of a temporary name and a rename."""
+    jvm = spark._jvm
+    tmp, final = jvm.org.apache.hadoop.fs.Path(path + ".tmp"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(final, False)
+    fs.rename(tmp, final)
