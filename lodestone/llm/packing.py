@@ -16,6 +16,7 @@ are read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.llm.wordcache import WordCache
+from lodestone.llm.wordcache import WordCache, parts, split_words
 from lodestone.runtime import Scratch
 
 CAPACITY, END_ID = 2048, 0
@@ -280,19 +281,73 @@ class Plan:
 # ---------------------------------------------------------------- Spark
 
 
-_encoders: dict[str, WordCache] = {}
+class WordTokenizer:
+    """Packed ids of many words at once, by a tokenizers file that drops white space.
 
+    Where the file marks the ends of words in its vocabulary and splits letters from signs, words of letters are
+    tokenized as one text and told apart by those marks, and a word with signs behind it as its letters and its signs.
+    """
 
-def word_ids(path: str) -> WordCache:
-    """Ids of words by a tokenizers file that drops white space, so that words are tokenized apart from each other."""
-    if path not in _encoders:
+    LIMIT = 400_000
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = WordCache(lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_file(path)
+        own = json.loads(self.tokenizer.to_str())
+        suffix = own["model"].get("end_of_word_suffix")
+        pattern = json.dumps(own["pre_tokenizer"])
+        self.ends = None
+        if suffix and "[\\\\p{L}]+|" in pattern and "[^\\\\s\\\\p{L}\\\\p{N}]+" in pattern:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
+        self.known: dict[str, bytes] = {}
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, letters: list[str]) -> None:
+        """Ids of words of letters only."""
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(letters):  # some word has no end mark of its own
+            self.known.update(zip(letters, self.each(letters)))
+            return
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self.known.update(zip(letters, (data[x:y] for x, y in zip([0, *cuts], cuts))))
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if self.ends is None:
+            return self.each(words)
+        known = self.known
+        if len(known) > self.LIMIT:
+            known.clear()
+        parts = []
+        for w in words:
+            x = w.lower() if w.isascii() else w
+            stem = x.rstrip(",.!?;:%*$&#")
+            parts.append((stem, x[len(stem) :]) if stem.isalpha() else (x if x.isascii() else w, ""))
+        letters = {a for a, _ in parts if a.isalpha() and a not in known}
+        others = {t for p in parts for t in p if t and not t.isalpha() and t not in known}
+        letters = list(letters)
+        for at in range(0, len(letters), 512):
+            self.learn(letters[at : at + 512])
+        others = list(others)
+        known.update(zip(others, self.each(others)))
+        return [known[a] + known[b] if b else known[a] for a, b in parts]
+
+
+_encoders: dict[str, WordCache] = {}
+
+
+def word_ids(path: str) -> WordCache:
+    """Ids of words by a tokenizers file that drops white space, so that words are tokenized apart from each other."""
+    if path not in _encoders:
+        _encoders[path] = WordCache(WordTokenizer(path))
     return _encoders[path]
 
 
@@ -307,8 +362,8 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows, out = [], ([], [], [], [], [])
-            for i, text in enumerate(b.column(1)):
-                ids = cache.ids(text.as_py().split()) + end
+            each = (ids[x:y].tobytes() + end for part in parts(b.column(1)) for ids, at in [cache.columns(split_words(part))] for x, y in zip(at, at[1:]))
+            for i, ids in enumerate(each):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4

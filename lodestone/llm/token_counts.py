@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.packing import word_ids
 from lodestone.llm.pieces import model
+from lodestone.llm.wordcache import parts, split_words
 from lodestone.runtime import Scratch, ship
 
 KEYS = ("source", "lang", "tokenizer")
@@ -32,13 +35,13 @@ WORD, PIECE = "word_bpe", "piece_bpe"
 
 
 def counter(kind: str, path: str):
-    """text -> number of tokens."""
+    """A column of texts -> numbers of tokens."""
     if kind == WORD:
         cache = word_ids(path)
-        return lambda text: len(cache.ids(text.split())) // 4
+        return lambda texts: np.diff(cache.columns(split_words(texts))[1]).tolist()
     if kind == PIECE:
         own = model(path)
-        return lambda text: len(own.encode(text)) // 4
+        return lambda texts: [len(x) // 4 for x in own.encode_column(texts)]
     raise ValueError(f"no tokenizer {kind!r}")
 
 
@@ -57,12 +60,12 @@ def deltas(df: DataFrame, tokenizers: dict[str, tuple[str, str]], sign: int | Co
         docs, tokens = defaultdict(int), defaultdict(int)
         for b in batches:
             keys = zip(*(b.column(i).to_pylist() for i in (0, 1, 3)))
-            for (source, lang, n), text in zip(keys, b.column(2)):
-                text = text.as_py() or ""
-                for v, f in count.items():
-                    key = (source, lang, v)
-                    docs[key] += n
-                    tokens[key] += n * (f(text) + extra)
+            for texts in parts(b.column(2)):
+                found = {v: f(texts) for v, f in count.items()}
+                for i, (source, lang, n) in enumerate(islice(keys, len(texts))):
+                    for v in count:
+                        docs[source, lang, v] += n
+                        tokens[source, lang, v] += n * (found[v][i] + extra)
         if docs:
             keys = list(docs)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in zip(*keys)), pa.array([docs[k] for k in keys], pa.int64()), pa.array([tokens[k] for k in keys], pa.int64())], [*KEYS, "documents", "tokens"])

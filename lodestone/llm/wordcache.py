@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Words that a worker remembers at most; it starts anew beyond that.
-LIMIT = 400_000
+LIMIT = 800_000
 
 
 class WordCache(dict):
@@ -15,14 +19,42 @@ class WordCache(dict):
         super().__init__()
         self.encode, self.limit = encode, limit
 
-    def ids(self, words: list[str]) -> bytes:
-        """Packed ids of all ``words``, one after another."""
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            pass
+    def columns(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all lists of words one after another, where each list's begin and the last one's end).
+
+        Words are numbered by Arrow, so only distinct ones are looked up here.
+        """
+        own = lists.flatten().dictionary_encode()
+        words = own.dictionary.to_pylist()
         if len(self) > self.limit:
             self.clear()
-        new = list({w for w in words if w not in self})
-        self.update(zip(new, self.encode(new)))
-        return b"".join([self[w] for w in words])
+        out = [self.get(w) for w in words]
+        new = [w for w, x in zip(words, out) if x is None and w]
+        found = dict(zip(new, self.encode(new)))
+        self.update(found)
+        found[""] = b""
+        out = [found[w] if x is None else x for w, x in zip(words, out)]
+        data = np.frombuffer(b"".join(out), "<u4")
+        size = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        start = np.cumsum(size) - size
+        word = own.indices.to_numpy(zero_copy_only=False)
+        n = size[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = data[np.repeat(start[word] - ends[:-1], n) + np.arange(ends[-1])] if len(word) else data
+        return ids, ends[np.asarray(lists.offsets)]
+
+
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """Texts cut at ASCII white space; null is empty."""
+    return pc.ascii_split_whitespace(texts.fill_null(""))
+
+
+def parts(texts: pa.Array, most: int = 512, size: int = 4_000_000):
+    """Slices of a column with few enough texts and bytes that their words can be held at once."""
+    n = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(n, (n[at - 1] if at else 0) + size, side="right"))
+        end = min(max(end, at + 1), at + most)
+        yield texts.slice(at, end - at)
+        at = end
