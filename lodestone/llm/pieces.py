@@ -25,11 +25,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.wordcache import WordCache
+from lodestone.llm.wordcache import WordCache, parts
 from lodestone.runtime import ship
 
 MARK = "▁"
@@ -67,8 +68,15 @@ class PieceModel:
         skip = (self.CONTROL, self.UNKNOWN, self.UNUSED)
         self.surface = [b"" if p.type in skip else bytes([int(p.piece[1:-1], 16)]) if p.type == self.BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.surface[self.unknown] = b" \xe2\x81\x87 "
-        self._pairs: dict[tuple[str, str], bool] = {}
-        line = "\n" not in self.ids and not any("\n" in p for p in self.ids)
+        self.names = {i: p for p, i in self.ids.items()}
+        self._pairs: dict[int, bool] = {}
+        self._ends: dict = {}  # pieces by their characters from the last one on; 0 leads to an id
+        for p, i in self.ids.items():
+            node = self._ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[0] = i
+        line = self.by_line = not any("\n" in p for p in self.ids)
         self._chunks = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if line else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.words = WordCache(lambda words: [np.array(self.segment_ids(w), "<u4").tobytes() for w in words])
 
@@ -88,34 +96,43 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def follows(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) > PAIRS:
-                self._pairs.clear()
-            found = self._pairs[key] = self.merge(left + right) == [left, right]
+    def follows(self, key: int) -> bool:
+        """Whether merging the text of two pieces gives those two; key is left id << 20 | right id."""
+        if len(self._pairs) > PAIRS:
+            self._pairs.clear()
+        left, right = self.names[key >> 20], self.names[key & 0xFFFFF]
+        found = self._pairs[key] = self.merge(left + right) == [left, right]
         return found
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Pieces of a text that comes in parts, handed out as soon as they are final."""
         text, back, total = "", [0], [0.0]  # the window's text; back[i]: length of the last piece of its first i characters
-        before = ""  # the piece before the window
-        ids, scores, longest, bpe = self.ids, self.scores, self.longest, self.bpe
+        last = [-1]  # ids of those pieces, -1 if there is none
+        ends, pairs, scores, longest, bpe = self._ends, self._pairs, self.scores, self.longest, self.bpe
         for part in symbols:
             for at in range(0, len(part), 4 * longest):
                 text += part[at : at + 4 * longest]
                 for end in range(len(back), len(text) + 1):
                     n = 1  # what remains if no piece has this character
                     if bpe:
-                        for m in range(min(longest, end), 0, -1):
-                            piece = text[end - m : end]
-                            if piece in ids:
-                                start = end - m
-                                left = text[start - back[start] : start] if start else before
-                                if not left or self.follows(left, piece):
-                                    n = m
-                                    break
+                        own, node, start = -1, ends, end
+                        while start:
+                            start -= 1
+                            node = node.get(text[start])
+                            if node is None:
+                                break
+                            found = node.get(0)
+                            if found is not None:
+                                left = last[start]
+                                if left >= 0:
+                                    ok = pairs.get(left << 20 | found)
+                                    if ok is None:
+                                        ok = self.follows(left << 20 | found)
+                                    if not ok:
+                                        continue
+                                n, own = end - start, found
+                                break
+                        last.append(own)
                     else:
                         best = total[end - 1] + self.least
                         for m in range(1, min(longest, end) + 1):
@@ -127,7 +144,7 @@ class PieceModel:
                 if len(text) > longest and (cut := self._meet(back, len(text) - longest + 1, len(text))):
                     final = self._walk(text, back, cut)
                     yield from final
-                    text, back, before = text[cut:], [0, *back[cut + 1 :]], final[-1]
+                    text, back, last = text[cut:], [0, *back[cut + 1 :]], last[cut:]
                     if not bpe:
                         total = [x - total[cut] for x in total[cut:]]
         yield from self._walk(text, back, len(text))
@@ -170,9 +187,27 @@ class PieceModel:
         if not text:
             return b""
         marked = self.prefix + text.replace(" ", MARK)
-        if self.by_word:
-            return self.words.ids(self._chunks.findall(marked))
-        return np.array(self.segment_ids(marked), "<u4").tobytes()
+        return self.encode_column(pa.array([text]))[0] if self.by_word else np.array(self.segment_ids(marked), "<u4").tobytes()
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` for each text (null: empty); words of all of them are numbered by Arrow and looked up once."""
+        texts = texts.fill_null("")
+        if not self.by_word:
+            return [self.encode(t) for t in texts.to_pylist()]
+        # without runs of spaces every space begins a word, and no piece crosses a line's end; others go by the pattern
+        runs = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.equal(texts, ""), pc.match_substring(texts, MARK)))
+        plain = texts.filter(pc.invert(runs))
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(self.prefix), plain, ""), " ", " " + MARK)
+        if self.by_line:
+            marked = pc.replace_substring(marked, "\n", " \n ")
+        odd = [self._chunks.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts.filter(runs).to_pylist()]
+        lists = pa.concat_arrays([pc.split_pattern(marked, " ").cast(pa.list_(pa.string())), pa.array(odd, pa.list_(pa.string()))])
+        ids, at = self.words.columns(lists)
+        order = np.argsort(runs.to_numpy(zero_copy_only=False), kind="stable")
+        out = [b""] * len(texts)
+        for i, x, y in zip(order.tolist(), at, at[1:]):
+            out[i] = ids[x:y].tobytes()
+        return out
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -208,7 +243,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """id_col and ids, an array of ints."""
 
     def make(pieces, texts):
-        ids = [pieces.encode(t.as_py() or "") for t in texts]
+        ids = [x for part in parts(texts) for x in pieces.encode_column(part)]
         offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
 
@@ -229,9 +264,7 @@ def encoding_report(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def make(pieces, texts):
         out = ([], [], [], [], [])
-        for t in texts:
-            text = t.as_py() or ""
-            ids = pieces.encode(text)
+        for text, ids in ((t.as_py() or "", x) for part in parts(texts) for t, x in zip(part, pieces.encode_column(part))):
             back = pieces.decode(ids)
             data = back.encode()
             for column, x in zip(out, (len(ids) // 4, zlib.crc32(ids), zlib.crc32(data), len(data), back == text)):
