@@ -57,16 +57,14 @@ def midpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("source", "target", ((F.col("source_x") + F.col("target_x")) / 2).alias("x"), ((F.col("source_y") + F.col("target_y")) / 2).alias("y"))
 
 
-def shared_items(df: DataFrame, key: str, items: str, most: int = 100) -> DataFrame:
-    """a, b, n: keys that share items, a < b, with the number of items they share.
+def shared_items(df: DataFrame, key: str, items: str) -> DataFrame:
+    """a, b, n: for each item, its smallest key a is linked to all others b; n counts the items that give the link.
 
-    Items of more than ``most`` keys say little of a relation and are left out; this bounds the pairs of an item.
+    A star for each item instead of all pairs: it grows with the rows, and two keys are connected if they share an item.
     """
-    own = df.select(key, F.explode(F.array_distinct(items)).alias("item"))
-    rare = own.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most)).select("item")
-    own = own.join(rare, "item")
-    pairs = own.select("item", F.col(key).alias("a")).join(own.select("item", F.col(key).alias("b")), "item").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    own = df.select(F.col(key).alias("b"), F.explode(F.array_distinct(items)).alias("item"))
+    first = own.groupBy("item").agg(F.min("b").alias("a"))
+    return own.join(first, "item").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def closure(start: DataFrame, step: DataFrame, most: int = 5) -> DataFrame:

@@ -109,11 +109,12 @@ def upsert_latest_wins(spark, d):
     return store.last_write_wins(e, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1.0 ELSE value END AS value FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+@query("SELECT event_id, CASE WHEN event_type IN ('error', 'signup') THEN -1.0 ELSE value END AS value FROM events")
 def upsert_merge(spark, d):
     """Rows of a batch replace old ones or add to them."""
-    e = table(spark, d, "events").select("event_id", "value")
-    return store.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0").withColumn("value", F.lit(-1.0)), "event_id")
+    e = table(spark, d, "events").select("event_id", "value", "event_type")
+    new = e.filter("event_type IN ('error', 'signup')").withColumn("value", F.lit(-1.0))
+    return store.upsert(e.filter("event_type <> 'signup'"), new, "event_id").drop("event_type")
 
 
 @query("SELECT event_id FROM events WHERE event_type <> 'error'")
@@ -133,26 +134,26 @@ def cache_clear_prefix(spark, d):
 
 
 REPORTS = """
-r AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id)) - 1 AS n, split_part(text, chr(10), 1) AS claim, lang FROM documents QUALIFY n < 3),
-p AS (SELECT DISTINCT source, {p} AS parent FROM (SELECT source, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('report:' || source)) AS h FROM documents)),
-c AS (SELECT source, n, claim, lang, {p} AS child FROM (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('finding:' || source || ':' || n)) AS h FROM r))
+r AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS claim, lang FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents)),
+p AS (SELECT doc_id, {p} AS parent FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('report:' || doc_id)) AS h FROM documents)),
+c AS (SELECT doc_id, n, claim, lang, {p} AS child FROM (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('finding:' || doc_id || ':' || n)) AS h FROM r))
 """.format(p=UUID5.format(h="h"))
 
 
 def _reports(spark, d):
+    """Every document as a report, its lines as findings."""
     docs = table(spark, d, "documents")
-    finding = F.struct(F.col("doc_id"), F.substring_index("text", "\n", 1).alias("claim"), F.col("lang").alias("evidence_tier"), F.lit("").alias("reasoning"))
-    own = docs.groupBy("source").agg(F.slice(F.array_sort(F.collect_list(finding)), 1, 3).alias("findings"))
-    return own.select(F.col("source").alias("report_key"), F.concat(F.lit("topic of "), "source").alias("topic"), F.lit("quick").alias("scope"), F.lit("sum").alias("executive_summary"), "findings")
+    findings = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("claim"), F.col("lang").alias("evidence_tier"), F.lit("").alias("reasoning")))
+    return docs.select(F.col("doc_id").cast("string").alias("report_key"), F.concat(F.lit("topic of "), F.col("doc_id").cast("string")).alias("topic"), F.lit("quick").alias("scope"), F.lit("sum").alias("executive_summary"), findings.alias("findings"))
 
 
-@query(f"WITH {REPORTS} SELECT parent AS object_id, 'topic of ' || source AS topic, '' AS claim, '' AS evidence_tier, '' AS report_uuid FROM p UNION ALL SELECT child, 'topic of ' || source, claim, lang, parent FROM c JOIN p USING (source)")
+@query(f"WITH {REPORTS} SELECT parent AS object_id, 'topic of ' || doc_id AS topic, '' AS claim, '' AS evidence_tier, '' AS report_uuid FROM p UNION ALL SELECT child, 'topic of ' || doc_id, claim, lang, parent FROM c JOIN p USING (doc_id)")
 def report_parent_child(spark, d):
     """One parent row and a row for each finding, which names its parent."""
     return store.report_rows(_reports(spark, d))[0].select("object_id", "topic", "claim", "evidence_tier", "report_uuid")
 
 
-@query(f"WITH {REPORTS} SELECT child AS object_id, [parent] AS belongs_to_report FROM c JOIN p USING (source) UNION ALL SELECT parent, []::VARCHAR[] FROM p")
+@query(f"WITH {REPORTS} SELECT child AS object_id, [parent] AS belongs_to_report FROM c JOIN p USING (doc_id) UNION ALL SELECT parent, []::VARCHAR[] FROM p")
 def edges_resolved(spark, d):
     """References as arrays of ids."""
     rows, edges = store.report_rows(_reports(spark, d))
@@ -175,14 +176,14 @@ def edges_dangling_strict(spark, d):
 
 
 @query(f"""WITH {CONTENTS}, t AS (SELECT DISTINCT object_id AS a, unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: len(x) > 6)) AS w FROM contents),
-r AS (SELECT w FROM t GROUP BY w HAVING count(*) BETWEEN 2 AND 50)
-SELECT x.a AS a, y.a AS b, count(*) AS n FROM t x JOIN t y ON x.w = y.w AND x.a < y.a WHERE x.w IN (SELECT w FROM r) GROUP BY 1, 2""")
+f AS (SELECT w, min(a) AS a FROM t GROUP BY w)
+SELECT f.a AS a, t.a AS b, count(*) AS n FROM t JOIN f USING (w) WHERE f.a < t.a GROUP BY 1, 2""")
 def concept_shared_pairs(spark, d):
     """C14: objects whose titles share long words."""
     from lodestone.functions.text import tokens
 
     own = contents(spark, d).select("object_id", F.filter(tokens("title"), lambda w: F.length(w) > 6).alias("words"))
-    return joins.shared_items(own, "object_id", "words", 50)
+    return joins.shared_items(own, "object_id", "words")
 
 
 HAVE = [("WebSearchResults", "query"), ("WebSearchResults", "created_at"), ("WebSearchResults", "old")]

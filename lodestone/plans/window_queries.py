@@ -100,32 +100,29 @@ def trace_slow(spark, d):
     return table(spark, d, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(20)
 
 
-LINES = "SELECT doc_id, (unnest(range(len(l))))::INTEGER AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'en' AND n_chars < 3000)"
+LINES = "SELECT doc_id, (unnest(range(len(l))))::INTEGER AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 
 
 @query(f"SELECT doc_id, n, hit FROM (SELECT doc_id, n, contains(line, 'idiot') AS hit, bool_or(contains(line, 'idiot')) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM ({LINES})) WHERE near")
 def grep_with_context(spark, d):
     """Two lines around each match."""
-    docs = table(spark, d, "documents").filter("lang = 'en' AND n_chars < 3000")
+    docs = table(spark, d, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return w.grep(lines, "doc_id", "n", "line", "idiot").select("doc_id", "n", "hit")
 
 
-@query("SELECT source, string_agg(n || '. [' || lang || '] ' || claim, chr(10) ORDER BY n) AS text FROM (SELECT source, lang, split_part(text, chr(10), 1) AS claim, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 5) GROUP BY 1")
+@query("SELECT doc_id, coalesce(nullif(string_agg(n || '. [' || lang || '] ' || line, chr(10) ORDER BY n), ''), '(none)') AS text FROM (SELECT doc_id, lang, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents)) GROUP BY 1")
 def findings_text(spark, d):
-    """An ordered string aggregate."""
-    docs = table(spark, d, "documents").select("source", "doc_id", "lang", F.substring_index("text", "\n", 1).alias("claim"))
-    from pyspark.sql.window import Window
+    """An ordered string aggregate, here of each document's lines."""
+    lines = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return render.findings_text(lines, "doc_id", "n", "line", "lang")
 
-    own = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 5")
-    return render.findings_text(own, "source", "n", "claim", "lang")
 
-
-WORDS = "SELECT conv_id, turn, unnest(range(len(l)))::INTEGER AS i, unnest(l) AS word FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\n\\t]+'), lambda x: x <> '') AS l FROM conversations WHERE role = 'user')"
+WORDS = "SELECT conv_id, turn, unnest(range(len(l)))::INTEGER AS i, unnest(l) AS word FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\n\\t]+'), lambda x: x <> '') AS l FROM conversations)"
 
 
 def _words(spark, d):
-    c = table(spark, d, "conversations").filter("role = 'user'")
+    c = table(spark, d, "conversations")
     own = c.select("conv_id", "turn", F.posexplode(F.filter(F.split("text", "[ \\n\\t]+"), lambda x: x != "")).alias("i", "word"))
     return own.withColumn("k", F.struct("conv_id", "turn"))
 
