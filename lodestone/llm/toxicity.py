@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from lodestone.runtime import Scratch, ship
 
 #: Labelled documents of each category and side that are taken for training at most.
-MAX_LABELLED = 2500
+MAX_LABELLED = 1500
 FOLDS, FEATURES, LEAST_DOCS = 5, 768, 4
 PREFIXES = range(3, 9)
 #: Words that a worker remembers at most.
@@ -127,19 +127,29 @@ class Chain:
         return 1 / (1 + np.exp(-self.log_odds(self.matrix(texts))))
 
 
-def select_features(sets: list[set[str]], labels: np.ndarray, most: int = FEATURES) -> dict[str, int]:
-    """The features that differ most between a category's rows and others, as many for each category."""
+def select_features(texts: list[str], labels: np.ndarray, most: int = FEATURES) -> dict[str, int]:
+    """The features that differ most between a category's rows and others, as many for each category.
+
+    Only counts are held: in all rows, and for each category in its smaller side.
+    """
     chosen: dict[str, int] = {}
-    counts = Counter(f for s in sets for f in s)
+    small = [bool(2 * y.sum() < len(y)) for y in labels.T]
+    counts: Counter[str] = Counter()
+    few: list[Counter[str]] = [Counter() for _ in small]
+    for t, row in zip(texts, labels):
+        own = {f for w in tokens(t) for f in word_features(w)}
+        counts.update(own)
+        for c, y, s in zip(few, row, small):
+            if bool(y) == s:
+                c.update(own)
     names = sorted(f for f, n in counts.items() if n >= LEAST_DOCS)
     n = np.array([counts[f] for f in names], np.float64)
-    for y in labels.T:
+    for y, c, s in zip(labels.T, few, small):
         n1, n0 = int(y.sum()), len(y) - int(y.sum())
         if not n1 or not n0:
             continue
-        few = Counter(f for s, own in zip(sets, y) if own == (n1 < n0) for f in s)  # of the smaller side
-        a = np.array([few[f] for f in names], np.float64)
-        a, b = (a, n - a) if n1 < n0 else (n - a, a)
+        a = np.array([c[f] for f in names], np.float64)
+        a, b = (a, n - a) if s else (n - a, a)
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
         z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
         for i in np.argsort(-z * np.sqrt(np.abs(odds)), kind="stable")[: most // labels.shape[1]]:
@@ -150,8 +160,7 @@ def select_features(sets: list[set[str]], labels: np.ndarray, most: int = FEATUR
 def fit_chain(texts: list[str], labels: np.ndarray, categories: tuple[str, ...] = CHAIN, folds: int = FOLDS) -> Chain:
     """``labels``: [rows, categories] of 0 and 1, categories in the chain's order."""
     labels = labels.reshape(len(texts), len(categories)).astype(np.float64)
-    sets = [{f for w in tokens(t) for f in word_features(w)} for t in texts]
-    chain = Chain(tuple(categories), select_features(sets, labels))
+    chain = Chain(tuple(categories), select_features(texts, labels))
     x = chain.matrix(texts).astype(np.float32)
     fold = np.arange(len(texts)) % folds
     for j in range(len(categories)):
