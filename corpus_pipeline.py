@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.near import near_dedup
 from lodestone.llm.packing import pack_documents
-from lodestone.llm.simhash import simhash_dedup
 from lodestone.llm.substrings import drop_repeats
 from lodestone.llm.toxicity import drop_toxic, labelled_chain
 from lodestone.runtime import Scratch
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one stays."""
-    return simhash_dedup(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) one stays."""
+    return near_dedup(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

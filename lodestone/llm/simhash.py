@@ -232,26 +232,24 @@ def links(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return cells.mapInArrow(compare, "u long, v long")
 
 
-def _labelled(df: DataFrame, id_col: str, text_col: str, radius: int, keyed: bool = False) -> DataFrame:
-    scratch = Scratch(df.sparkSession, "simhash")
-    docs = scratch.keep(fingerprints(df, id_col, text_col, keyed), "docs")
+def labelled(docs: DataFrame, link, scratch: Scratch) -> DataFrame:
+    """``docs`` (id, fp[, key]) with root and component_id; ``link`` gives the edges (u, v) among distinct fp."""
     nodes = scratch.keep(docs.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-    edges = scratch.keep(links(nodes, radius, scratch), "links")
+    edges = scratch.keep(link(nodes), "links")
     roots = scratch.keep(nodes.join(components(edges, scratch), nodes.fp == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
     least = scratch.keep(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = scratch.keep(roots.join(least, "root").select("fp", "root", "component_id"), "named")
     return docs.join(named, "fp", "left")
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row for each row of ``df``: id_col, fingerprint (16 hex digits), component_id."""
-    return _labelled(df, id_col, text_col, radius).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+def _labelled(df: DataFrame, id_col: str, text_col: str, radius: int, keyed: bool = False) -> DataFrame:
+    scratch = Scratch(df.sparkSession, "simhash")
+    docs = scratch.keep(fingerprints(df, id_col, text_col, keyed), "docs")
+    return labelled(docs, lambda nodes: links(nodes, radius, scratch), scratch)
 
 
-def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``df`` with one row left of each component: the one with the component's id (of several texts with that id, one)."""
-    scratch = Scratch(df.sparkSession, "simhash_drop")
-    rows = _labelled(df, id_col, text_col, radius, keyed=True)
+def one_left(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df`` with one row left of each root of ``rows`` (id, key, root, component_id)."""
     own = rows.select("root", "key", F.col("id").eqNullSafe(F.col("component_id")).alias("first"))
     keys = scratch.keep(own.groupBy("root", "key").agg(F.max("first").alias("first"), F.count("*").alias("n")), "keys")
     stays = scratch.keep(keys.filter("first").groupBy("root").agg(F.min("key").alias("stay")), "stays")
@@ -260,6 +258,17 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keep_rows(df, id_col, text_col, scratch.keep(drop, "drop"))
 
 
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row for each row of ``df``: id_col, fingerprint (16 hex digits), component_id."""
+    return _labelled(df, id_col, text_col, radius).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``df`` with one row left of each component: the one with the component's id (of several texts with that id, one)."""
+    rows = _labelled(df, id_col, text_col, radius, keyed=True)
+    return one_left(df, id_col, text_col, rows, Scratch(df.sparkSession, "simhash_drop"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, fingerprint, component_id."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
