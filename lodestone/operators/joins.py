@@ -60,13 +60,29 @@ def midpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def shared_items(df: DataFrame, key: str, items: str) -> DataFrame:
     """a, b, n: for each item, its smallest key a is linked to all others b; n counts the items that give the link.
 
-    A star for each item instead of all pairs: it grows with the rows, and two keys are connected if they share an item.
+    A star for each item instead of all pairs: it grows with the rows, but it is less than the relation.  Pairs without an
+    item's smallest key are lost, and n leaves out items with a smaller key; see ``shared_members`` and ``shared_pairs``.
     """
     own = df.select(F.col(key).alias("b"), F.explode(F.array_distinct(items)).alias("item"))
     first = own.groupBy("item").agg(F.min("b").alias("a"))
     return own.join(first, "item").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def shared_members(df: DataFrame, key: str, items: str) -> DataFrame:
+    """item, representative, key: every key of every item beside the item's smallest key.
+
+    It grows with the rows and loses nothing: two keys share as many items as they have in common here.
+    """
+    own = df.select(F.explode(F.array_distinct(items)).alias("item"), key).distinct()
+    return own.join(own.groupBy("item").agg(F.min(key).alias("representative")), "item").select("item", "representative", key)
+
+
+def shared_pairs(members: DataFrame, key: str) -> DataFrame:
+    """a, b, n: all pairs a < b of keys that share items, with the number of items they share.  It grows with the square of an item's keys."""
+    left, right = (members.select("item", F.col(key).alias(x)) for x in ("a", "b"))
+    return left.join(right, "item").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def closure(start: DataFrame, step: DataFrame, most: int = 5) -> DataFrame:
     """key, target, hops: where a chain of single steps (src, dst) ends, after at most ``most`` of them."""
     now = start.select("key", F.col("at").alias("target"), F.lit(0).alias("hops"))

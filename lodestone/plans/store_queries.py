@@ -179,11 +179,29 @@ def edges_dangling_strict(spark, d):
 f AS (SELECT w, min(a) AS a FROM t GROUP BY w)
 SELECT f.a AS a, t.a AS b, count(*) AS n FROM t JOIN f USING (w) WHERE f.a < t.a GROUP BY 1, 2""")
 def concept_shared_pairs(spark, d):
-    """C14: objects whose titles share long words."""
+    """C14, reduced to a star for each word: objects whose titles share long words."""
+    return joins.shared_items(_long_words(spark, d), "object_id", "words")
+
+
+def _long_words(spark, d):
     from lodestone.functions.text import tokens
 
-    own = contents(spark, d).select("object_id", F.filter(tokens("title"), lambda w: F.length(w) > 6).alias("words"))
-    return joins.shared_items(own, "object_id", "words")
+    return contents(spark, d).select("object_id", F.filter(tokens("title"), lambda w: F.length(w) > 6).alias("words"))
+
+
+LONG_WORDS = f"{CONTENTS}, t AS (SELECT DISTINCT object_id AS a, unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: len(x) > 6)) AS w FROM contents)"
+
+
+@query(f"WITH {LONG_WORDS} SELECT w AS item, min(a) OVER (PARTITION BY w) AS representative, a AS object_id FROM t")
+def concept_shared_members(spark, d):
+    """C14 without loss and without pairs: every object of every long word."""
+    return joins.shared_members(_long_words(spark, d), "object_id", "words")
+
+
+@query(f"WITH {LONG_WORDS} SELECT x.a AS a, y.a AS b, count(*) AS n FROM t x JOIN t y ON x.w = y.w AND x.a < y.a GROUP BY 1, 2")
+def concept_shared_all_pairs(spark, d):
+    """C14: all pairs of objects whose titles share long words."""
+    return joins.shared_pairs(joins.shared_members(_long_words(spark, d), "object_id", "words"), "object_id")
 
 
 HAVE = [("WebSearchResults", "query"), ("WebSearchResults", "created_at"), ("WebSearchResults", "old")]
