@@ -215,12 +215,21 @@ def schema_evolution_missing(spark, d):
 
 @query("SELECT conv_id, list(text ORDER BY turn) AS values FROM conversations WHERE turn < 2 AND role IS NOT NULL GROUP BY 1 HAVING conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)".replace("HAVING", "HAVING true AND"))
 def followup_fold(spark, d):
-    """Follow-ups are put behind what is there, in order."""
+    """B9, I7 on the turns 0 and 1 only: follow-ups are put behind what is there, in order."""
     c = table(spark, d, "conversations")
     base = c.filter("turn = 0").select("conv_id", F.array("text").alias("values"))
     return store.fold_appends(base, c.filter("turn = 1"), "conv_id", "turn", "text")
 
 
+@query("SELECT conv_id, list(text ORDER BY turn, text) AS values FROM conversations GROUP BY 1")
+def followup_fold_all(spark, d):
+    """All later turns are put behind each conversation's first one, in order."""
+    c = table(spark, d, "conversations")
+    c = c.join(c.groupBy("conv_id").agg(F.min("turn").alias("first")), "conv_id")
+    base = c.filter("turn = first").groupBy("conv_id").agg(F.array_sort(F.collect_list("text")).alias("values"))
+    return store.fold_appends(base, c.filter("turn > first"), "conv_id", "turn", "text")
+
+
 SHIPPED, PRESENT, NOTED = [("a", "1"), ("b", "2"), ("c", "2"), ("d", "2"), ("n", "1")], [("b", "2"), ("c", "1"), ("d", "9"), ("o", "1"), ("u", "8"), ("x", "1"), ("n", "7")], [("b", "2"), ("c", "1"), ("d", "1"), ("o", "1"), ("u", "1"), ("g", "1")]
 
 

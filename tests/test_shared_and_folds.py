@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 from lodestone.operators import joins
+from lodestone.plans import load
 
 
 def test_shared_items_without_loss(spark):
@@ -15,3 +16,11 @@ def test_shared_items_without_loss(spark):
     want = Counter((a, b) for i in "pqrs" for a, b in combinations(sorted(k for j, k in held if j == i), 2))
     assert {(r.a, r.b): r.n for r in joins.shared_pairs(members, "key").collect()} == want
     assert want["y", "z"] == 2  # which a star from x loses
+
+
+def test_fold_takes_all_turns(spark, tmp_path):
+    turns = [(1, t, "user", f"one {t}") for t in (3, 0, 2, 1)] + [(2, 5, "user", "b"), (2, 3, "user", "a")] + [(3, 7, "user", "only")]
+    turns += [(4, t, "user", f"hot {t}") for t in range(300, -1, -1)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r["values"] for r in load()[0]["followup_fold_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: [f"one {t}" for t in range(4)], 2: ["a", "b"], 3: ["only"], 4: [f"hot {t}" for t in range(301)]}
