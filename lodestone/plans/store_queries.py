@@ -9,7 +9,7 @@ from lodestone.functions.scalars import uuid5
 from lodestone.operators import joins, stats, store
 from lodestone.plans.registry import query, sql_values, values
 from lodestone.plans.search_queries import CONTENTS, UUID5
-from lodestone.sources.tables import contents, table, transcripts, web_pages
+from lodestone.sources.tables import contents, first_line, table, transcripts, web_pages
 
 
 @query("SELECT 'ContentAnalyses' AS collection, count(*) AS n FROM documents UNION ALL SELECT 'SessionTranscripts', count(*) FROM conversations UNION ALL SELECT 'WebSearchResults', count(*) FROM pages UNION ALL SELECT '(total)', (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversations) + (SELECT count(*) FROM pages)")
@@ -189,19 +189,27 @@ def _long_words(spark, d):
     return contents(spark, d).select("object_id", F.filter(tokens("title"), lambda w: F.length(w) > 6).alias("words"))
 
 
+def _title_words(spark, d):
+    """The same from documents alone: a left join to labels adds no object, but would shuffle whole texts."""
+    from lodestone.functions.text import tokens
+
+    own = uuid5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("object_id")
+    return table(spark, d, "documents").select(own, F.filter(tokens(first_line()), lambda w: F.length(w) > 6).alias("words"))
+
+
 LONG_WORDS = f"{CONTENTS}, t AS (SELECT DISTINCT object_id AS a, unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: len(x) > 6)) AS w FROM contents)"
 
 
 @query(f"WITH {LONG_WORDS} SELECT w AS item, min(a) OVER (PARTITION BY w) AS representative, a AS object_id FROM t")
 def concept_shared_members(spark, d):
     """C14 without loss and without pairs: every object of every long word."""
-    return joins.shared_members(_long_words(spark, d), "object_id", "words")
+    return joins.shared_members(_title_words(spark, d), "object_id", "words")
 
 
 @query(f"WITH {LONG_WORDS} SELECT x.a AS a, y.a AS b, count(*) AS n FROM t x JOIN t y ON x.w = y.w AND x.a < y.a GROUP BY 1, 2")
 def concept_shared_all_pairs(spark, d):
     """C14: all pairs of objects whose titles share long words."""
-    return joins.shared_pairs(joins.shared_members(_long_words(spark, d), "object_id", "words"), "object_id")
+    return joins.shared_pairs(joins.shared_members(_title_words(spark, d), "object_id", "words"), "object_id")
 
 
 HAVE = [("WebSearchResults", "query"), ("WebSearchResults", "created_at"), ("WebSearchResults", "old")]
