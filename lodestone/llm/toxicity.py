@@ -5,19 +5,22 @@ text has, and the log-odds of all categories before its own.  In training these
 row (out-of-fold predictions), as they do for new texts.  Features are words and beginnings of words, so that inflected
 and compounded forms of a stem count for it, and runs of signs; those that tell a category's rows from others are kept.
 
+Features are chosen anew for each fold, from the rows that the fold's model sees; so nothing that the out-of-fold
+predictions rest on has seen the row's labels.
+
 Training takes at most ``MAX_LABELLED`` labelled documents for each category and side, chosen by a hash of their id;
 this bounds what comes to the driver.  Scoring covers every row and whole texts.  Labels are taken by id; where an id
 has several, the largest counts.  The last category decides; its threshold is the best of the out-of-fold predictions.
 
-A null or empty text has no features and is scored like any text without them.  Null ids, repeated rows, an empty table
-and further columns need no care, as rows are scored one by one; null ids and null labels take no part in training.
+A text in which none of the chain's features occurs, such as a null or an empty one, shows nothing of any category: its
+probabilities are 0 and it is never rejected, whatever rows the chain was fitted on.  Null ids, repeated rows, an empty
+table and further columns need no care, as rows are scored one by one; null ids and null labels take no part in training.
 Without labelled rows of both sides a category's log-odds are constant: those of its share among the labelled rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -124,55 +127,76 @@ class Chain:
         return x[:, len(self.index) :]
 
     def probabilities(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.log_odds(self.matrix(texts))))
-
-
-def select_features(texts: list[str], labels: np.ndarray, most: int = FEATURES) -> dict[str, int]:
-    """The features that differ most between a category's rows and others, as many for each category.
-
-    Only counts are held: in all rows, and for each category in its smaller side.
-    """
-    chosen: dict[str, int] = {}
-    small = [bool(2 * y.sum() < len(y)) for y in labels.T]
-    counts: Counter[str] = Counter()
-    few: list[Counter[str]] = [Counter() for _ in small]
-    for t, row in zip(texts, labels):
-        own = {f for w in tokens(t) for f in word_features(w)}
-        counts.update(own)
-        for c, y, s in zip(few, row, small):
-            if bool(y) == s:
-                c.update(own)
-    names = sorted(f for f, n in counts.items() if n >= LEAST_DOCS)
-    n = np.array([counts[f] for f in names], np.float64)
-    for y, c, s in zip(labels.T, few, small):
+        """[rows, categories]; 0 throughout for a text without features."""
+        x = self.matrix(texts)
+        return np.where(x.any(axis=1, keepdims=True), 1 / (1 + np.exp(-self.log_odds(x))), 0.0)
+
+
+def encoded(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """(features by code, for each text the codes of its features)."""
+    codes: dict[str, int] = {}
+    known: dict[str, list[int]] = {}
+    rows = []
+    for t in texts:
+        own: set[int] = set()
+        for w in tokens(t):
+            if w not in known:
+                known[w] = [codes.setdefault(f, len(codes)) for f in word_features(w)]
+            own.update(known[w])
+        rows.append(np.fromiter(own, np.int32, len(own)))
+    return list(codes), rows
+
+
+def select_features(names: list[str], rows: list[np.ndarray], labels: np.ndarray, most: int = FEATURES) -> list[int]:
+    """Codes of the features that differ most between a category's rows and others, as many for each category."""
+    none = [np.zeros(0, np.int32)]
+    count = lambda some: np.bincount(np.concatenate([*none, *some]), minlength=len(names)).astype(np.float64)
+    total = count(rows)
+    codes = np.array(sorted(np.flatnonzero(total >= LEAST_DOCS).tolist(), key=names.__getitem__), np.int64)
+    chosen: dict[int, None] = {}
+    for y in labels.T:
         n1, n0 = int(y.sum()), len(y) - int(y.sum())
         if not n1 or not n0:
             continue
-        a = np.array([c[f] for f in names], np.float64)
-        a, b = (a, n - a) if s else (n - a, a)
+        a = count(r for r, t in zip(rows, y) if t)[codes]
+        b = total[codes] - a
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
         z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        for i in np.argsort(-z * np.sqrt(np.abs(odds)), kind="stable")[: most // labels.shape[1]]:
-            chosen.setdefault(names[i], len(chosen))
-    return chosen
+        best = np.argsort(-z * np.sqrt(np.abs(odds)), kind="stable")[: most // labels.shape[1]]
+        chosen.update(dict.fromkeys(codes[best].tolist()))
+    return list(chosen)
+
+
+def occurrence(rows: list[np.ndarray], chosen: list[int], n: int) -> np.ndarray:
+    """[rows, chosen]: 1 where a text has a feature; ``n`` is the number of all codes."""
+    column = np.full(n, -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    for out, own in zip(x, rows):
+        at = column[own]
+        out[at[at >= 0]] = 1
+    return x
 
 
 def fit_chain(texts: list[str], labels: np.ndarray, categories: tuple[str, ...] = CHAIN, folds: int = FOLDS) -> Chain:
     """``labels``: [rows, categories] of 0 and 1, categories in the chain's order."""
     labels = labels.reshape(len(texts), len(categories)).astype(np.float64)
-    chain = Chain(tuple(categories), select_features(texts, labels))
-    x = chain.matrix(texts).astype(np.float32)
+    names, rows = encoded(texts)
     fold = np.arange(len(texts)) % folds
+    held_out = np.zeros(labels.shape, np.float32)
+    split = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(min(folds, len(texts)))]
+    picked = [select_features(names, [rows[i] for i in seen], labels[seen]) for seen, _ in split]
+    for j in range(len(categories)):
+        for (seen, own), some in zip(split, picked):
+            x = np.hstack([occurrence(rows, some, len(names)), held_out[:, :j]])
+            held_out[own, j] = np.clip(fit_linear(x[seen], labels[seen, j])(x[own]), -8, 8)
+    chosen = select_features(names, rows, labels)
+    chain = Chain(tuple(categories), {names[c]: i for i, c in enumerate(chosen)})
+    x = occurrence(rows, chosen, len(names))
     for j in range(len(categories)):
-        y = labels[:, j]
-        held_out = np.zeros(len(texts))
-        for k in range(folds):
-            if (fold == k).any():
-                held_out[fold == k] = fit_linear(x[fold != k], y[fold != k])(x[fold == k])
-        chain.models.append(fit_linear(x, y))
-        x = np.hstack([x, np.clip(held_out, -8, 8)[:, None].astype(np.float32)])
+        chain.models.append(fit_linear(np.hstack([x, held_out[:, :j]]), labels[:, j]))
     if len(texts):
-        chain.threshold = best_threshold(x[:, -1], labels[:, -1])
+        chain.threshold = best_threshold(held_out[:, -1], labels[:, -1])
     return chain
 
 
