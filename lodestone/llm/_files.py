@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 
 
 def _at(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -35,3 +37,10 @@ def read_ranges(uri: str):
 
     read.close = file.close
     return read
+
+
+def read_parquet(uri: str) -> pa.Table:
+    """One Parquet file."""
+    fs, path = _at(uri)
+    with fs.open_input_file(path) as f:
+        return pq.read_table(f)

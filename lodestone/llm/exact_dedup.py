@@ -2,7 +2,8 @@
 
 The first pass reads every whole text once, writes a digest row for each document, and fills a Bloom filter
 of the hashes that possibly occur twice.  The second pass holds the digest rows against that filter: those
-that it names are shuffled by digest, all others pass straight through as groups of one.  No text is shuffled.
+that it names are shuffled by digest, all others pass straight through as groups of one.  No text is shuffled:
+``exact_dedup`` drops rows by their place, where they are read (a frame that does more than read files is written first).
 
 Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]; null counts as empty.  Of
 equal texts the row with most code points in the original stays, then the smallest id (a null id last); of rows
@@ -16,20 +17,20 @@ import hashlib
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._rows import SPACE, keep_rows, row_key
+from lodestone.llm._rows import SPACE, keep_rows, place, placed
 from lodestone.llm.bloom import RepeatedFilter, filter_bits, repeated_filter
 from lodestone.runtime import Scratch
 
 
-def _digests(df: DataFrame, id_col: str, text_col: str, keyed: bool) -> DataFrame:
-    """id, digest (SHA-256 of the text without white space), n_chars, h (the digest's first 8 bytes)[, key]."""
+def _digests(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """id, digest (SHA-256 of the text without white space), n_chars, h (the digest's first 8 bytes), more."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = df.select(F.col(id_col).alias("id"), text.alias("text"), *([row_key(id_col, text_col).alias("key")] if keyed else []))
-    schema = T.StructType([own.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("n_chars", T.LongType()), T.StructField("h", T.LongType()), *([own.schema["key"]] if keyed else [])])
+    own = df.select(F.col(id_col).alias("id"), text.alias("text"), *more)
+    schema = T.StructType([own.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("n_chars", T.LongType()), T.StructField("h", T.LongType()), *own.schema.fields[2:]])
 
     def digest(batches):
         sha = hashlib.sha256
@@ -42,11 +43,11 @@ def _digests(df: DataFrame, id_col: str, text_col: str, keyed: bool) -> DataFram
     return own.mapInArrow(digest, schema)
 
 
-def _groups(df: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+def _groups(df: DataFrame, id_col: str, text_col: str, *more: Column) -> tuple[DataFrame, DataFrame]:
     """(rows that pass straight through, rows in groups with the columns best and n)."""
     spark = df.sparkSession
     scratch = Scratch(spark, "exact")
-    digests = scratch.keep(_digests(df, id_col, text_col, keyed), "digests").withColumn("row", F.monotonically_increasing_id())
+    digests = scratch.keep(_digests(df, id_col, text_col, *more), "digests").withColumn("row", F.monotonically_increasing_id())
     bits = filter_bits(digests.count())
     sent = spark.sparkContext.broadcast(repeated_filter(digests, "h", bits))
 
@@ -77,11 +78,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row left of each group of equal texts."""
     scratch = Scratch(df.sparkSession, "exact_drop")
-    _, grouped = _groups(df, id_col, text_col, keyed=True)
-    kept = F.max((F.col("row") == F.col("best.row")).cast("int"))
-    drop = grouped.groupBy("key").agg(kept.alias("kept"), F.count("*").alias("n")).filter("kept = 0 OR n > 1")
-    drop = scratch.keep(drop.select(F.col("key").alias("__key"), (F.col("kept") == 1).alias("__once")), "drop")
-    return keep_rows(df, id_col, text_col, drop)
+    df = placed(df, scratch)
+    _, grouped = _groups(df, id_col, text_col, place(df).alias("place"))
+    return keep_rows(df, grouped.filter(F.col("row") != F.col("best.row")), scratch)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

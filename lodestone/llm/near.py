@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._rows import row_key
+from lodestone.llm._rows import look_up, place, placed
 from lodestone.llm.components import components
 from lodestone.llm.simhash import labelled, one_left, shingle_hashes
 from lodestone.runtime import Scratch, shuffle_partitions
@@ -80,10 +80,10 @@ def near_forest(sets: list[np.ndarray], cut: int | None, similarity: Fraction) -
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """id, fp (signed long that names the shingle set), key, bands."""
+    """id, fp (signed long that names the shingle set), place, bands; ``df`` is from ``placed``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    own = df.select(F.col(id_col).alias("id"), text.alias("text"), row_key(id_col, text_col).alias("key"))
-    schema = T.StructType([own.schema["id"], T.StructField("fp", T.LongType()), own.schema["key"], T.StructField("bands", T.ArrayType(T.LongType()))])
+    own = df.select(F.col(id_col).alias("id"), text.alias("text"), place(df).alias("place"))
+    schema = T.StructType([own.schema["id"], T.StructField("fp", T.LongType()), own.schema["place"], T.StructField("bands", T.ArrayType(T.LongType()))])
     factors = np.random.default_rng(42).integers(0, 1 << 63, BANDS * band_rows(similarity), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
@@ -105,16 +105,17 @@ def links(df: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int
     meet = scratch.keep(met.join(first, "band").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct(), "meet")
     groups = scratch.keep(components(meet, Scratch(df.sparkSession, "near_groups")).withColumnRenamed("node", "fp"), "groups")
     sizes = scratch.keep(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "group_sizes")
-    picks = scratch.keep(docs.select("fp", "key").join(groups, "fp").groupBy("fp", "root").agg(F.min("key").alias("key")).join(sizes, "root"), "picks")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    texts = df.select(row_key(id_col, text_col).alias("key"), text.alias("text")).join(picks, "key").select("fp", "root", "blocks", "text")
+    picks = docs.select("fp", "place").join(groups, "fp").groupBy("fp", "root").agg(F.min("place").alias("place")).join(sizes, "root")
 
-    def whole(batches):
-        for b in batches:
-            sets = pa.array([shingle_set(x.as_py(), width).view(np.int64) for x in b.column(3)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], sets], ["fp", "root", "blocks", "set"])
+    def whole(pairs):
+        for b, found in pairs:
+            for part, rows, at in found:
+                sets = pa.array([shingle_set(b.column(0)[i].as_py(), width).view(np.int64) for i in rows], pa.list_(pa.int64()))
+                own = part.take(at).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(own.column(c).combine_chunks() for c in ("fp", "root", "blocks")), sets], ["fp", "root", "blocks", "set"])
 
-    rows = scratch.keep(texts.mapInArrow(whole, "fp long, root long, blocks int, set array<long>").dropDuplicates(["fp"]), "sets")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+    rows = scratch.keep(look_up(df, picks, scratch, "picks", whole, "fp long, root long, blocks int, set array<long>", text), "sets")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "set")
     cells = cells.repartition(n_part, "root", "i", "j").sortWithinPartitions("root", "i", "j", "own")
@@ -152,6 +153,7 @@ def links(df: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with one row left of each component of texts that are similar: the one with the component's id, see ``simhash_dedup``."""
     scratch = Scratch(df.sparkSession, "near")
+    df = placed(df, scratch)
     docs = scratch.keep(signatures(df, id_col, text_col, width, similarity), "docs")
     edges = links(df, docs, id_col, text_col, width, similarity, scratch)
-    return one_left(df, id_col, text_col, labelled(docs.select("id", "fp", "key"), lambda _: edges, scratch), scratch)
+    return one_left(df, labelled(docs.select("id", "fp", "place"), lambda _: edges, scratch), scratch)

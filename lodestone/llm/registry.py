@@ -20,4 +20,5 @@ ORACLE_SQL = {
     "op4_topk": topk.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_url_filters": urls.SQL,
+    "op10_substrings": substrings.SQL,
 }

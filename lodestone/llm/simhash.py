@@ -21,11 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._rows import keep_rows, row_key
+from lodestone.llm._rows import keep_rows, place, placed
 from lodestone.llm.components import components
 from lodestone.runtime import Scratch, shuffle_partitions
 
@@ -156,11 +156,11 @@ def small_forest(values: np.ndarray, cell: np.ndarray, radius: int) -> tuple[np.
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
-    """id, fp (signed long)[, key]."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """id, fp (signed long), more."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    own = df.select(F.col(id_col).alias("id"), text.alias("text"), *([row_key(id_col, text_col).alias("key")] if keyed else []))
-    schema = T.StructType([own.schema["id"], T.StructField("fp", T.LongType()), *([own.schema["key"]] if keyed else [])])
+    own = df.select(F.col(id_col).alias("id"), text.alias("text"), *more)
+    schema = T.StructType([own.schema["id"], T.StructField("fp", T.LongType()), *own.schema.fields[2:]])
 
     def run(batches):
         for b in batches:
@@ -233,7 +233,7 @@ def links(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 
 
 def labelled(docs: DataFrame, link, scratch: Scratch) -> DataFrame:
-    """``docs`` (id, fp[, key]) with root and component_id; ``link`` gives the edges (u, v) among distinct fp."""
+    """``docs`` (id, fp, ...) with root and component_id; ``link`` gives the edges (u, v) among distinct fp."""
     nodes = scratch.keep(docs.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
     edges = scratch.keep(link(nodes), "links")
     roots = scratch.keep(nodes.join(components(edges, scratch), nodes.fp == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
@@ -242,20 +242,17 @@ def labelled(docs: DataFrame, link, scratch: Scratch) -> DataFrame:
     return docs.join(named, "fp", "left")
 
 
-def _labelled(df: DataFrame, id_col: str, text_col: str, radius: int, keyed: bool = False) -> DataFrame:
+def _labelled(df: DataFrame, id_col: str, text_col: str, radius: int, *more: Column) -> DataFrame:
     scratch = Scratch(df.sparkSession, "simhash")
-    docs = scratch.keep(fingerprints(df, id_col, text_col, keyed), "docs")
+    docs = scratch.keep(fingerprints(df, id_col, text_col, *more), "docs")
     return labelled(docs, lambda nodes: links(nodes, radius, scratch), scratch)
 
 
-def one_left(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``df`` with one row left of each root of ``rows`` (id, key, root, component_id)."""
-    own = rows.select("root", "key", F.col("id").eqNullSafe(F.col("component_id")).alias("first"))
-    keys = scratch.keep(own.groupBy("root", "key").agg(F.max("first").alias("first"), F.count("*").alias("n")), "keys")
-    stays = scratch.keep(keys.filter("first").groupBy("root").agg(F.min("key").alias("stay")), "stays")
-    met = keys.join(stays, "root").select("key", "n", "stay")
-    drop = met.filter("key <> stay OR n > 1").select(F.col("key").alias("__key"), (F.col("key") == F.col("stay")).alias("__once"))
-    return keep_rows(df, id_col, text_col, scratch.keep(drop, "drop"))
+def one_left(df: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df`` (from ``placed``) with one row left of each root of ``rows`` (id, place, root, component_id)."""
+    named = F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("place"))
+    stays = scratch.keep(rows.groupBy("root").agg(F.min(named).alias("stay"), F.count("*").alias("n")).filter("n > 1"), "stays")
+    return keep_rows(df, rows.join(stays, "root").filter("place <> stay"), scratch)
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -264,9 +261,10 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``df`` with one row left of each component: the one with the component's id (of several texts with that id, one)."""
-    rows = _labelled(df, id_col, text_col, radius, keyed=True)
-    return one_left(df, id_col, text_col, rows, Scratch(df.sparkSession, "simhash_drop"))
+    """``df`` with one row left of each component: the one with the component's id (of several with that id, one)."""
+    scratch = Scratch(df.sparkSession, "simhash_drop")
+    df = placed(df, scratch)
+    return one_left(df, _labelled(df, id_col, text_col, radius, place(df).alias("place")), scratch)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

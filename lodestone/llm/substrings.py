@@ -12,14 +12,15 @@ length alone is extended to the next, until the full width is reached or no cand
 * The last level takes the full windows of the survivors.
 
 At each level the hashes travel once, packed, to the task that owns their share of the hash space, together
-with where they came from; what repeats comes back as positions by text.  A hash is sent once by each task
-that has it, however often, so the windows of a passage that a third of all documents share do not pile up.
-Rows that survive carry the text on to the next level, others do not.
+with where they came from; what repeats comes back as positions by the rows' places in their files.  A hash is sent
+once by each task that has it, however often, so the windows of a passage that a third of all documents share do not
+pile up.  Texts are never shuffled: each level reads those that have survivors where they lie.  A task holds one share of
+the hashes at a time; there are as many shares as it takes for each to stand for about ``SHARE`` bytes of files.
 
-Words are runs of [^\\x20\\x09-\\x0D], unchanged.  A null text has none.  Equal texts have equal results, and each
-counts as an occurrence of its own, as repeated rows do.  Null ids are ids like any others.  An empty table gives
+Words are runs of [^\\x20\\x09-\\x0D], unchanged.  A null text has none.  Equal texts have equal results, as each
+counts as an occurrence of its own, and repeated rows do too.  Null ids are ids like any others.  An empty table gives
 an empty result.  Only ``id_col`` and ``text_col`` are read, except that ``drop_repeats`` returns all columns of its
-input.  Hashes have 64 bits at the levels that only select candidates, and 128 at the last.
+input, whatever their names.  Hashes have 64 bits at the levels that only select candidates, and 128 at the last.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._rows import text_key
+from lodestone.llm._rows import look_up, place, placed
 from lodestone.runtime import Scratch, shuffle_partitions
 
 WIDTH = 35
 #: Hashes that a task holds before it sends them.
 HELD = 1_500_000
+#: Bytes of input files for each share of the hashes, about.
+SHARE = 16 << 20
 MASK = (1 << 64) - 1
 
 
@@ -148,7 +151,7 @@ def anchors(words: Words, short: int, width: int) -> tuple[np.ndarray, np.ndarra
 def _requests(emit_rows, share: int):
     """A mapInArrow function that packs hashes for their owners.
 
-    ``emit_rows(batch)`` yields (key, h1, h2 or None, place) for each text: a hash or two and a number for each window.
+    ``emit_rows(batch)``, or of a batch and what was looked up for it, yields (key, h1, h2 or None, place) for each text: a hash or two and a number for each window.
     Rows out: share, h1, h2, doc (which of keys), keys, place, with each hash once; and where the task itself saw hashes
     repeat, a row for each text with its key and all such places, but no hashes.
     """
@@ -166,8 +169,8 @@ def _requests(emit_rows, share: int):
         known: dict[bytes, list[np.ndarray]] = {}
         for at in np.split(local, np.flatnonzero(np.diff(doc[local])) + 1) if len(local) else []:
             known.setdefault(keys[doc[at[0]]], []).append(place[at])
-        out: list[tuple] = [(int.from_bytes(key[:4], "little") % share, None, None, None, [key], np.unique(np.concatenate(p)).tobytes()) for key, p in known.items()]
-        to = (h1[first] >> np.uint64(40)).astype(np.int64) % share
+        out: list[tuple] = [(int.from_bytes(key[-4:], "big") % share, None, None, None, [key], np.unique(np.concatenate(p)).tobytes()) for key, p in known.items()]
+        to = (h1[first] >> np.uint64(32)).astype(np.int64) % share
         by = np.lexsort((first, to))
         first, to = first[by], to[by]
         cuts = np.flatnonzero(np.diff(to, prepend=-1))
@@ -177,9 +180,9 @@ def _requests(emit_rows, share: int):
             out.append((int(to[a]), h1[own].tobytes(), None if h2 is None else h2[own].tobytes(), at.astype(np.int32).tobytes(), [keys[d] for d in docs], place[own].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), REQUEST_TYPES)], REQUEST_NAMES)
 
-    def run(batches):
+    def run(rows):
         keys, counts, h1, h2, place, held = [], [], [], [], [], 0
-        for b in batches:
+        for b in rows:
             for key, a, c, p in emit_rows(b):
                 if len(a):
                     keys.append(key)
@@ -198,16 +201,16 @@ def _requests(emit_rows, share: int):
 
 
 REQUEST_NAMES = ["share", "h1", "h2", "doc", "keys", "place"]
-REQUEST_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
-REQUESTS = "share int, h1 binary, h2 binary, doc binary, keys array<binary>, place binary"
+REQUEST_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+REQUESTS = "share long, h1 binary, h2 binary, doc binary, keys array<binary>, place binary"
 
 
 def _answers(batches):
-    """Rows (key, place): where hashes of one share repeat.  Rows of a share come one after another."""
+    """Rows (place, places): where hashes of one share repeat.  Rows of a share come one after another."""
     now, held = None, []
 
     def out(keys, places):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.binary())], ["key", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.binary())], ["place", "places"])
 
     def solve():
         h1 = np.concatenate([np.frombuffer(r["h1"], np.uint64) for r in held])
@@ -244,12 +247,10 @@ def _answers(batches):
         yield solve()
 
 
-def _repeats(rows: DataFrame, emit_rows, scratch: Scratch, name: str) -> DataFrame:
-    """(key, places): for each text that has any, a list of packed int32 places whose hashes repeat."""
-    n = shuffle_partitions(rows.sparkSession)
-    asked = rows.mapInArrow(_requests(emit_rows, 4 * n), REQUESTS)
-    found = asked.repartition(n, "share").sortWithinPartitions("share").mapInArrow(_answers, "key binary, places binary")
-    return scratch.keep(found.groupBy("key").agg(F.collect_set("places").alias("places")), name)
+def _repeats(asked: DataFrame) -> DataFrame:
+    """(place, places): packed int32 numbers of the windows of a row whose hashes repeat, in one or more rows for each that has any."""
+    n = shuffle_partitions(asked.sparkSession)
+    return asked.repartition(n, "share").sortWithinPartitions("share").mapInArrow(_answers, "place binary, places binary")
 
 
 def _unpack(parts) -> np.ndarray:
@@ -259,43 +260,51 @@ def _unpack(parts) -> np.ndarray:
 # ---------------------------------------------------------------- the operator
 
 
+def _survivors(found) -> dict[int, list[bytes]]:
+    """What was looked up for a batch, by row."""
+    out: dict[int, list[bytes]] = {}
+    for part, rows, at in found:
+        for i, p in zip(rows.tolist(), part.column("places").take(at).to_pylist()):
+            out.setdefault(i, []).append(p)
+    return out
+
+
 def repeated_windows(df: DataFrame, text_col: str, width: int, scratch: Scratch) -> DataFrame:
-    """(key, places): for each text with repeated windows, its key and the words they begin at (lists of packed int32)."""
+    """(place, places): for the rows of ``df`` (from ``placed``) with repeated windows, the words they begin at, packed int32."""
     steps = levels(width)
     short = steps[0]
-    reach = width - short + 1
-    docs = df.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    share = max(4 * shuffle_partitions(df.sparkSession), size // SHARE)
 
     def level_1(b):
-        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+        for key, text in zip(b.column(1).to_pylist(), b.column(0)):
             words = Words(text.as_py())
             if words.n >= width:
                 where, h = anchors(words, short, width)
                 at = np.unique(where)
                 yield key, h[at], None, at
 
-    found = _repeats(docs, level_1, scratch, "level_1")
+    asked = df.select(text, place(df).alias("place")).mapInArrow(_requests(level_1, share), REQUESTS)
     if len(steps) == 1:
-        return found
-    texts = scratch.keep(docs.join(found, "key"), "texts")
+        return _repeats(asked)
     half = steps[-2]
-    if len(steps) == 3:
-
-        def level_2(b):
-            # places: 2 * word + 1 for the extension to the right of a short window at that word, 2 * word for that to the left
-            for key, text, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                words, at = Words(text.as_py()), _unpack(parts)
-                right, left = at[at + half <= words.n], at[at + short >= half]
-                h = words.hashes(np.concatenate([right, left + short - half]), half)
-                h[len(right) :] ^= np.uint64(0x5851F42D4C957F2D)
-                yield key, h, None, np.concatenate([2 * right + 1, 2 * left])
-
-        found = _repeats(texts, level_2, scratch, "level_2")
-        texts = texts.drop("places").join(found, "key")
-
-    def last(b):
-        for key, text, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-            words, at = Words(text.as_py()), _unpack(parts)
+
+    def rows_of(pair):
+        b, found = pair
+        for i, parts in _survivors(found).items():
+            yield b.column(1)[i].as_py(), Words(b.column(0)[i].as_py()), _unpack(parts)
+
+    def level_2(pair):
+        # places: 2 * word + 1 for the extension to the right of a short window at that word, 2 * word for that to the left
+        for key, words, at in rows_of(pair):
+            right, left = at[at + half <= words.n], at[at + short >= half]
+            h = words.hashes(np.concatenate([right, left + short - half]), half)
+            h[len(right) :] ^= np.uint64(0x5851F42D4C957F2D)
+            yield key, h, None, np.concatenate([2 * right + 1, 2 * left])
+
+    def last(pair):
+        for key, words, at in rows_of(pair):
             where, _ = anchors(words, short, width)
             ahead = where - np.arange(len(where))  # words of the window before its least short window
             if len(steps) == 2:
@@ -305,55 +314,76 @@ def repeated_windows(df: DataFrame, text_col: str, width: int, scratch: Scratch)
             first = np.flatnonzero(live)
             yield key, words.hashes(first, width), words.hashes(first, width, 2), first
 
-    found = _repeats(texts, last, scratch, "last")
-    scratch.drop("texts", *(f"level_{k}" for k in range(1, len(steps))))
-    return found
-
+    for k, extend in enumerate([level_2, last][3 - len(steps) :]):
+        asked = look_up(df, _repeats(asked), scratch, f"level_{k + 1}", _requests(extend, share), REQUESTS, text)
+    return _repeats(asked)
 
-def _cut(df: DataFrame, found: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``df`` with n_words, n_removed and kept_text (the kept words joined by one space)."""
-    own = df.withColumn("__key", text_key(text_col)).join(found.select(F.col("key").alias("__key"), F.col("places").alias("__places")), "__key", "left").drop("__key")
-    schema = T.StructType([*own.schema.fields[:-1], T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept_text", T.StringType())])
-    at = df.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            total, removed, kept = [], [], []
-            for text, parts in zip(b.column(at).cast(pa.binary()), b.column(b.num_columns - 1)):
-                words = (text.as_py() or b"").split()
-                gone = 0
-                if parts.is_valid:
-                    first = _unpack(parts.as_py())
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + width, -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    gone = len(words) - int(stays.sum())
-                    words = [words[i] for i in np.flatnonzero(stays)]
-                total.append(len(words) + gone)
-                removed.append(gone)
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema.names)
-
-    return own.mapInArrow(run, schema)
+def _cut(text: bytes, parts: list[bytes] | None, width: int) -> tuple[int, int, bytes]:
+    """(words, words removed, the kept words joined by one space)."""
+    words = text.split()
+    n = len(words)
+    if parts:
+        first = _unpack(parts)
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + width, -1)
+        words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+    return n, n - len(words), b" ".join(words)
 
 
 def repeat_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row for each row of ``df``: id_col, n_words, n_removed, kept_text."""
     scratch = Scratch(df.sparkSession, "substrings")
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = _cut(own, repeated_windows(own, "text", width, scratch), "text", width)
-    return cut.select(F.col("id").alias(id_col), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_text").alias("kept_text"))
+    df = placed(df, scratch)
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+
+    def run(pairs):
+        for b, found in pairs:
+            own = _survivors(found)
+            n, gone, kept = zip(*(_cut(text.as_py(), own.get(i), width) for i, text in enumerate(b.column(1)))) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema.names)
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+    return look_up(df, repeated_windows(df, text_col, width, scratch), scratch, "last", run, schema, id_col, text)
 
 
 def drop_repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``df`` with repeated words cut from the text: kept words joined by one space; texts without any stay as they are."""
     scratch = Scratch(df.sparkSession, "substrings_cut")
-    cut = _cut(df, repeated_windows(df, text_col, width, scratch), text_col, width)
-    return cut.withColumn(text_col, F.when(F.col("__n_removed") > 0, F.col("__kept_text")).otherwise(F.col(text_col))).select(*df.columns)
+    df = placed(df, scratch)
+    at = df.columns.index(text_col)
+
+    def run(pairs):
+        for b, found in pairs:
+            columns = b.columns[:-1]
+            if own := _survivors(found):
+                text = columns[at].to_pylist()
+                for i, parts in own.items():
+                    text[i] = _cut(text[i].encode(), parts, width)[2].decode()
+                columns[at] = pa.array(text, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    return look_up(df, repeated_windows(df, text_col, width, scratch), scratch, "last", run, df.schema)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_words, n_removed, kept_sha256."""
     report = repeat_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return report.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), v AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM v) WHERE n > 1
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

@@ -146,15 +146,26 @@ class TokenRollup:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of ``documents`` for two tokenizer versions, by three batches: all documents are inserted, the same batch comes
-    again (no change), and all counts are revised to include an end mark of one token for each document."""
+    """Totals of ``documents`` for two tokenizer versions, with one token more for each document (an end mark).
+
+    They come about as those of a living corpus do: French documents are first inserted as stubs of one line; the batch comes
+    again, which changes nothing; short documents are inserted a second time by a further batch, and deleted again; the
+    stubs are revised to whole documents; and all counts are revised to include the end mark."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     versions = {"word_bpe_49k@1": (WORD, public_tokenizers.path("word_bpe_49k.json")), "piece_bpe_32k@1": (PIECE, public_tokenizers.path("piece_bpe_32k.model"))}
     rollup = TokenRollup(spark, Scratch(spark, "token_counts").root)
-    rollup.commit("insert-1", deltas(docs, versions))
-    rollup.commit("insert-1", deltas(docs, versions))
+    stub = F.col("lang").eqNullSafe("fr")
+    line = F.substring_index("text", "\n", 1)
+    short = docs.filter("n_chars < 300")
+    whole = docs.filter(stub)
+    first = deltas(docs.withColumn("text", F.when(stub, line).otherwise(F.col("text"))), versions)
+    rollup.commit("insert-1", first)
+    rollup.commit("insert-1", first)
+    rollup.commit("insert-2", deltas(short, versions))
+    rollup.commit("delete-2", deltas(short, versions, -1))
+    rollup.commit("revise-1", revisions(whole.withColumn("text", line), whole, versions))
     marks = rollup.totals().select(*KEYS, F.lit(0).cast("long").alias("documents"), F.col("documents").alias("tokens"))
-    rollup.commit("revise-1", marks)
+    rollup.commit("revise-2", marks)
     return rollup.totals()

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import packing, simhash, substrings
 from lodestone.llm.exact_dedup import exact_dedup, exact_groups
@@ -247,3 +248,49 @@ def test_empty_tables(spark):
     assert simhash.simhash_groups(none).count() == simhash.simhash_dedup(none).count() == 0
     assert substrings.repeat_report(none).count() == substrings.drop_repeats(none).count() == 0
     assert packing.pack_documents(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_files_with_clashing_columns(spark, tmp_path):
+    """Frames that only read files are not copied; columns may have any names, those of the operators' own tables too."""
+    from lodestone.llm._rows import placed
+    from lodestone.llm.near import near_dedup
+
+    names = ["__key", "__once", "__n", "__places", "__kept_text", "place", "place_", "part", "share", "_metadata", "id", "fp", "root"]
+    df = spark.createDataFrame(corpus(seed=3), SCHEMA)
+    for c in names:
+        df = df.withColumn(c, F.lit(c))
+    df.repartition(7).write.option("parquet.block.size", 1 << 14).parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    some = df.filter("doc_id IS NULL OR doc_id <> 20").withColumn("more", F.lit(1))
+    twice = spark.read.parquet(f"{tmp_path}/docs", f"{tmp_path}/docs")
+    assert placed(df, None) is df and placed(some, None) is some
+    for own in (df, some, twice):
+        plain = own.repartition(3)  # no longer a plain scan
+        for f in (exact_dedup, simhash.simhash_dedup, near_dedup, substrings.drop_repeats):
+            got = f(own)
+            assert got.columns == own.columns
+            rows = got.collect()
+            assert all(r[c] == c for r in rows for c in names)
+            assert sorted(norm(r.text) for r in rows) == sorted(norm(r.text) for r in f(plain).collect())
+
+
+def test_pack_comes_back_to_what_it_passed_over():
+    """The best filling of the first bin is a dead end here."""
+    r = random.Random(11)
+    proven = 0
+    for _ in range(150):
+        capacity = 60
+        bins = [[] for _ in range(r.randrange(3, 7))]
+        for b in bins:  # bins that are full to the brim, so the bound can be met
+            room = capacity
+            while room > 12:
+                b.append(r.randrange(6, room - 5))
+                room -= b[-1]
+            b.append(room)
+        counts = Counter(x for b in bins for x in b)
+        found = packing.pack(counts, capacity)
+        assert sum((Counter({k: n * m for k, n in p}) for p, m in found.items()), Counter()) == counts
+        assert all(sum(k * n for k, n in p) <= capacity for p in found)
+        assert packing.optimal(found, capacity) == (sum(found.values()) == packing.lower_bound(counts, capacity))
+        proven += packing.optimal(found, capacity)
+    assert proven >= 145
