@@ -9,7 +9,7 @@ Of records with equal payloads of at least ``least`` bytes, that with the larges
 are revisits of it, without payload.  Smaller ones are all responses.  A null id counts as the smallest; of repeated
 rows of the largest id (the same id and payload), that with the largest url is the response, once, and the others
 are revisits that refer to the same id.  A null payload is empty, a null url has no WARC-Target-URI.  An empty table
-gives an empty index.  Only ``id_col``, ``url_col`` and ``payload_col`` are read.
+gives an empty index.  Payloads are not shuffled: which rows are revisits is told to the rows where they are read.  Only ``id_col``, ``url_col`` and ``payload_col`` are read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import _files
+from lodestone.llm._rows import keep_rows, place, placed
 from lodestone.runtime import Scratch, shuffle_partitions
 
 LEAST = 1000
@@ -83,28 +84,16 @@ INDEX = "id string, url string, kind string, refers_to string, digest string, pa
 def _records(df: DataFrame, id_col: str, url_col: str, payload_col: str, least: int, scratch: Scratch) -> DataFrame:
     """id, url, kind, refers_to, digest, payload_bytes, payload for each row of ``df``; payloads of revisits go nowhere."""
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    own = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
-    own = own.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long"))
-    large = F.col("payload_bytes") >= least
-    keys = own.filter(large).groupBy("digest", "payload_bytes", "id", "url").agg(F.count("*").alias("n"))
-    keys = scratch.keep(keys, "keys")
-    rank = F.struct(F.col("id").isNotNull().alias("some"), F.col("id").alias("id"), F.col("url").isNotNull().alias("url_some"), F.col("url").alias("url"))
-    heads = scratch.keep(keys.groupBy("digest").agg(F.max(rank).alias("head"), F.sum("n").alias("all")).filter("`all` > 1"), "heads")
-    met = keys.join(heads, "digest").withColumn("is_head", F.col("id").eqNullSafe(F.col("head.id")) & F.col("url").eqNullSafe(F.col("head.url")))
-    met = scratch.keep(met, "met")
-    copies = F.col("n") - F.col("is_head").cast("long")
-    revisits = met.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    revisits = revisits.select("id", "url", F.lit("revisit").alias("kind"), F.col("head.id").alias("refers_to"), "digest", "payload_bytes", F.lit(None).cast("binary").alias("payload"))
-    same = ["digest", "id", "url"]
-    on = lambda a, b: a["digest"].eqNullSafe(b["digest"]) & a["id"].eqNullSafe(b["id"]) & a["url"].eqNullSafe(b["url"])
-    gone = scratch.keep(met.filter("NOT is_head").select(*same), "gone")
-    twice = scratch.keep(met.filter("is_head AND n > 1").select(*same), "twice")
-    left = own.join(gone, on(own, gone), "left_anti")
-    if not twice.isEmpty():
-        one = left.join(twice, on(left, twice), "left_semi").dropDuplicates(same)
-        left = left.join(twice, on(left, twice), "left_anti").unionByName(one)
-    left = left.select("id", "url", F.lit("response").alias("kind"), F.lit(None).cast(own.schema["id"].dataType).alias("refers_to"), "digest", "payload_bytes", "payload")
-    return left.unionByName(revisits)
+    rows = placed(df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("payload")), scratch)
+    digests = [F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("payload_bytes")]
+    large = scratch.keep(rows.select("id", "url", *digests, place(rows).alias("place")).filter(F.col("payload_bytes") >= least), "large")
+    rank = F.struct(F.col("id").isNotNull().alias("some"), "id", F.col("url").isNotNull().alias("url_some"), "url", "place")
+    heads = scratch.keep(large.groupBy("digest").agg(F.max(rank).alias("head"), F.count("*").alias("n")).filter("n > 1").select("digest", "head"), "heads")
+    revisits = scratch.keep(large.join(heads, "digest").filter("place <> head.place"), "revisits")
+    names = ["id", "url", "kind", "refers_to", "digest", "payload_bytes", "payload"]
+    none = F.lit(None).cast(rows.schema["id"].dataType)
+    left = keep_rows(rows, revisits, scratch).select("id", "url", F.lit("response").alias("kind"), none.alias("refers_to"), *digests, "payload")
+    return left.unionByName(revisits.select("id", "url", F.lit("revisit").alias("kind"), F.col("head.id").alias("refers_to"), "digest", "payload_bytes", F.lit(None).cast("binary").alias("payload")).select(names))
 
 
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
