@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from lodestone.plans import load  # noqa: E402
 from lodestone.runtime import local_session  # noqa: E402
 
-HEADLINE = ["search_keyword_topk", "search_semantic_topk", "search_hybrid_topk", "search_reranked_topk", "search_cross_collection", "search_filtered", "related_objects", "knn_cross_reference", "stats_grouped", "stats_counts", "upsert_latest_wins", "upsert_merge", "report_parent_child", "history_last_n", "session_ttl_gaps", "single_active_guard", "job_latest_status", "concept_shared_pairs", "object_ids_uuid5", "slugify_titles", "html_gate", "annotate_documents"]
+HEADLINE = ["keyword_index", "search_keyword_topk", "search_semantic_topk", "search_hybrid_topk", "search_reranked_topk", "search_cross_collection", "search_filtered", "related_objects", "knn_cross_reference", "stats_grouped", "stats_counts", "upsert_latest_wins", "upsert_merge", "report_parent_child", "history_last_n", "session_ttl_gaps", "single_active_guard", "job_latest_status", "concept_shared_pairs", "object_ids_uuid5", "slugify_titles", "html_gate", "annotate_documents"]
 
 
 def main() -> None:

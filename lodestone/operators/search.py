@@ -1,34 +1,52 @@
 """Keyword, semantic and hybrid search with reranking over one or more collections.
 
 Each collection is a leg with a top-k of its own; legs are united and cut once more, so no more than legs * k rows meet.
-Scores are rounded to six decimals before they are compared; every order ends with the object id.
+A leg that has a stored index reads the postings of the query's terms; its texts are not read, but for the few hits that are
+reranked.  Scores are rounded to six decimals before they are compared; every order ends with the object id.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import bm25, terms_of, tokens
+from lodestone.functions.text import bm25, bm25_from_postings, terms_of, tokens
 from lodestone.functions.vectors import cosine
 from lodestone.operators.filters import build_filter
+from lodestone.operators.index import Index
+from lodestone.runtime import Scratch, ship
 
 OVERFETCH = 3
 
 
 @dataclass
 class Leg:
-    """A collection to search: object_id, a text expression, optionally a vector column and a property to rerank on."""
+    """A collection to search.
+
+    ``df`` has the ``keys`` that name a row (object_id if nothing else is said), the properties that filters know, and what
+    ``text``, ``object_id`` and ``rerank`` are made of.  ``vectors`` has the keys and a column vector, where vectors are
+    not a column of ``df`` itself.
+    """
 
     name: str
     df: DataFrame
     text: Column
     vector: str | None = None
     rerank: Column | None = None
+    keys: list[str] = field(default_factory=lambda: ["object_id"])
+    object_id: Column = field(default_factory=lambda: F.col("object_id"))
+    index: Index | None = None
+    vectors: DataFrame | None = None
 
 
 def _check(limit: int, alpha: float) -> None:
@@ -38,27 +56,39 @@ def _check(limit: int, alpha: float) -> None:
         raise ValueError("alpha is from 0 to 1")
 
 
-def keyword(leg: Leg, query: str, where: Column | None = None, extra: list[str] = ()) -> DataFrame:
-    return bm25(leg.df, leg.text, query, ["object_id", *extra], where).withColumnRenamed("bm25", "score")
+def _within(leg: Leg, rows: DataFrame, where: Column | None) -> DataFrame:
+    """Rows (keys, ...) whose objects fulfil the condition."""
+    return rows if where is None else rows.join(leg.df.filter(where).select(*leg.keys), leg.keys, "left_semi")
 
 
-def semantic(leg: Leg, vector: DataFrame, where: Column | None = None, extra: list[str] = ()) -> DataFrame:
-    """``vector`` is one row with an array ``q``."""
-    own = leg.df if where is None else leg.df.filter(where)
-    return own.filter(F.col(leg.vector).isNotNull()).crossJoin(F.broadcast(vector)).select("object_id", *extra, cosine(F.col(leg.vector), F.col("q")).alias("score"))
+def keyword(leg: Leg, query: str, where: Column | None = None) -> DataFrame:
+    """keys, score of the objects that have a term."""
+    if leg.index is None:
+        return bm25(leg.df, leg.text, query, leg.keys, where).withColumnRenamed("bm25", "score")
+    return _within(leg, bm25_from_postings(leg.index.postings, leg.index.corpus, query, leg.keys), where).withColumnRenamed("bm25", "score")
 
 
-def _scaled(df: DataFrame) -> DataFrame:
-    """Scores from 0 to 1 over the leg's own rows; a constant leg is 1."""
-    edge = df.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    return df.crossJoin(F.broadcast(edge)).select("object_id", F.coalesce(F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(1.0)).alias("score"))
+def semantic(leg: Leg, vector: DataFrame, where: Column | None = None) -> DataFrame:
+    """keys, score of the objects that have a vector.  ``vector`` is one row with an array ``q``."""
+    own = leg.df.select("*", F.col(leg.vector).alias("__v")) if leg.vectors is None else leg.vectors.withColumnRenamed("vector", "__v")
+    own = (own if where is None else own.filter(where)) if leg.vectors is None else _within(leg, own.join(leg.df.select(*leg.keys), leg.keys, "left_semi"), where)
+    return own.filter("__v IS NOT NULL").crossJoin(F.broadcast(vector)).select(*leg.keys, cosine(F.col("__v"), F.col("q")).alias("score"))
 
 
 def hybrid(leg: Leg, query: str, vector: DataFrame, alpha: float = 0.5, where: Column | None = None) -> DataFrame:
-    """alpha * vector + (1 - alpha) * keyword, each scaled; what a leg doesn't have scores 0 there."""
-    k, v = _scaled(keyword(leg, query, where)).withColumnRenamed("score", "k"), _scaled(semantic(leg, vector, where)).withColumnRenamed("score", "v")
-    both = k.join(v, "object_id", "full")
-    return both.select("object_id", (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("k", F.lit(0.0))).alias("score"))
+    """alpha * vector + (1 - alpha) * keyword, each scaled from 0 to 1 over its own rows (constant ones: 1); what a side doesn't have scores 0 there.
+
+    Both sides are scored once, into narrow tables, which give their extremes and then their rows.
+    """
+    scratch = Scratch(leg.df.sparkSession, "hybrid")
+    sides = []
+    for name, rows in (("k", keyword(leg, query, where)), ("v", semantic(leg, vector, where))):
+        rows = scratch.keep(rows, name)
+        low, high = rows.agg(F.min("score"), F.max("score")).first()
+        scaled = F.lit(1.0) if low == high else (F.col("score") - F.lit(low)) / (F.lit(high) - F.lit(low))
+        sides.append(rows.select(*leg.keys, scaled.alias(name)))
+    both = sides[0].join(sides[1], leg.keys, "full")
+    return both.select(*leg.keys, (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("k", F.lit(0.0))).alias("score"))
 
 
 def overlap(query: str, text: Column) -> Column:
@@ -68,40 +98,68 @@ def overlap(query: str, text: Column) -> Column:
     return F.size(F.array_intersect(q, own)) / F.size(F.array_union(q, own))
 
 
-def top(df: DataFrame, limit: int) -> DataFrame:
-    return df.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "object_id").limit(limit)
+def top(hits: DataFrame, limit: int, leg: Leg | None = None) -> DataFrame:
+    """The best ``limit`` of (keys, score), with object_id."""
+    named = hits if leg is None else hits.withColumn("object_id", leg.object_id)
+    return named.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "object_id").limit(limit)
+
+
+def with_properties(leg: Leg, hits: DataFrame, **columns: Column) -> DataFrame:
+    """Hits (at most some hundreds) with columns of their objects.  Their keys reach the scan as literals."""
+    rows = hits.collect()
+    found = hits.sparkSession.createDataFrame(rows, hits.schema)
+    near = [F.col(k).isin([r[k] for r in rows]) for k in leg.keys]
+    own = leg.df.filter(reduce(lambda a, b: a & b, near)).select(*leg.keys, *(c.alias(n) for n, c in columns.items()))
+    return own.join(F.broadcast(found), leg.keys)
 
 
-def search(legs: list[Leg], query: str, mode: str = "hybrid", limit: int = 10, alpha: float = 0.5, vector: DataFrame | None = None, rerank: bool = False, **conditions: str | None) -> DataFrame:
+def search(legs: list[Leg], query: str, mode: str = "hybrid", limit: int = 10, alpha: float = 0.5, vector: DataFrame | None = None, rerank: bool = False, skipped: dict[str, str] | None = None, **conditions: str | None) -> DataFrame:
     """collection, object_id, score, rerank_score, place (from 1) of the best ``limit`` hits over all legs.
 
     A leg that is reranked fetches three times as many first.  Order: rerank score (legs without one last), score, order of
-    legs, place in the leg.
+    legs, place in the leg.  A leg that can't be searched (a column that isn't there, no vectors) is left out and named in
+    ``skipped`` with the reason; without ``skipped`` it raises, as does a search of which no leg is left.
     """
     _check(limit, alpha)
+    if mode not in ("keyword", "semantic", "hybrid"):
+        raise ValueError(f"no search mode {mode!r}")
     out = []
     for n, leg in enumerate(legs):
-        where = build_filter(leg.df, **conditions)
-        if mode == "keyword":
-            hits = keyword(leg, query, where)
-        elif mode == "semantic":
-            hits = semantic(leg, vector, where)
-        elif mode == "hybrid":
-            hits = hybrid(leg, query, vector, alpha, where)
-        else:
-            raise ValueError(f"no search mode {mode!r}")
-        again = rerank and leg.rerank is not None
-        hits = top(hits, limit * OVERFETCH if again else limit)
-        score = F.lit(None).cast("double")
-        if again:
-            hits = leg.df.select("object_id", leg.rerank.alias("__r")).join(F.broadcast(hits), "object_id")  # 300 rows at most
-            score = F.round(overlap(query, F.col("__r")), 6)
-        hits = hits.select(F.lit(leg.name).alias("collection"), F.lit(n).alias("leg"), "object_id", "score", score.alias("rerank_score"))
-        hits = hits.orderBy(F.desc_nulls_last("rerank_score"), F.desc("score"), "object_id").limit(limit)
-        out.append(hits)
+        try:
+            out.append(_leg_hits(leg, n, query, mode, limit, alpha, vector, rerank, conditions))
+        except (AnalysisException, NotSearchable) as e:
+            if skipped is None:
+                raise
+            skipped[leg.name] = str(e).split("\n")[0]
+    if not out:
+        raise ValueError(f"no collection could be searched: {skipped}")
     return merge(out, limit)
 
 
+class NotSearchable(ValueError):
+    """A leg lacks what a search mode needs."""
+
+
+def _leg_hits(leg: Leg, n: int, query: str, mode: str, limit: int, alpha: float, vector: DataFrame | None, rerank: bool, conditions: dict[str, str | None]) -> DataFrame:
+    if mode != "keyword" and (leg.vector is None and leg.vectors is None or vector is None):
+        raise NotSearchable(f"{leg.name} has no vectors to search")
+    where = build_filter(leg.df, **conditions)
+    if mode == "keyword":
+        hits = keyword(leg, query, where)
+    elif mode == "semantic":
+        hits = semantic(leg, vector, where)
+    else:
+        hits = hybrid(leg, query, vector, alpha, where)
+    again = rerank and leg.rerank is not None
+    hits = top(hits, limit * OVERFETCH if again else limit, leg)
+    score = F.lit(None).cast("double")
+    if again:
+        hits = with_properties(leg, hits, __r=leg.rerank)
+        score = F.round(overlap(query, F.col("__r")), 6)
+    hits = hits.select(F.lit(leg.name).alias("collection"), F.lit(n).alias("leg"), "object_id", "score", score.alias("rerank_score"))
+    return hits.orderBy(F.desc_nulls_last("rerank_score"), F.desc("score"), "object_id").limit(limit)
+
+
 def merge(legs: list[DataFrame], limit: int) -> DataFrame:
     """One ranking of all legs' hits."""
     rows = reduce(DataFrame.unionByName, legs)
@@ -121,13 +179,79 @@ def related(df: DataFrame, object_id: str, limit: int = 5, id_col: str = "object
     return scored.orderBy(F.desc("score"), "object_id").limit(limit)
 
 
+#: Vectors of ``left`` that a task holds at once, in bytes.
+WAVE = 32 << 20
+
+
 def nearest_join(left: DataFrame, right: DataFrame, k: int = 5) -> DataFrame:
     """left_id, right_id, score, rank: the k nearest rows of ``right`` (id, vector) for each row of ``left``.
 
-    ``left`` is a batch of new objects: it is taken in blocks, so each pair of blocks gives at most k rows a query before
-    the final ranking.
+    ``left`` goes to the tasks in waves of at most ``WAVE`` bytes.  In each wave ``right`` is read once, in Arrow batches, as
+    products of matrices of unit vectors; a task keeps the k best rows for each vector of the wave and nothing else, so no
+    pairs are made as rows.  What the tasks keep is ranked once more.  Ties go to the smaller id.  A null or zero vector
+    scores 0 against all others.
     """
-    scored = left.select(F.col("id").alias("left_id"), F.col("vector").alias("a")).crossJoin(right.select(F.col("id").alias("right_id"), F.col("vector").alias("b")))
-    scored = scored.select("left_id", "right_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("score"))
+    spark = left.sparkSession
+    ship(spark)
+    schema = T.StructType([T.StructField("left_id", left.schema["id"].dataType), T.StructField("right_id", right.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    own = [df.select("id", F.col("vector").cast("array<double>").alias("vector")) for df in (left, right)]
+    kept = [own[1].mapInArrow(_nearest(spark.sparkContext.broadcast(wave), k, schema.names), schema) for wave in _waves(own[0])]
+    rows = reduce(DataFrame.unionByName, kept) if kept else spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows of length 1; zeros for null and zero vectors."""
+    sizes = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.zeros(0, np.int64)
+    width = int(sizes.max(initial=1)) or 1
+    flat = np.nan_to_num(vectors.flatten().to_numpy(zero_copy_only=False))
+    out = np.zeros((len(vectors), width))
+    full = np.flatnonzero((sizes == width) & vectors.is_valid().to_numpy(zero_copy_only=False))
+    out[full] = flat.reshape(-1, width)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, size, out=out, where=size > 0)
+
+
+def _waves(left: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, unit vectors): the driver holds one wave at a time."""
+    ids, vectors, size = [], [], 0
+    for r in left.toLocalIterator(prefetchPartitions=True):
+        ids.append(r.id)
+        vectors.append(r.vector)
+        size += 8 * len(r.vector or ())
+        if size >= WAVE:
+            yield pa.array(ids), _unit(pa.array(vectors, pa.list_(pa.float64())))
+            ids, vectors, size = [], [], 0
+    if ids:
+        yield pa.array(ids), _unit(pa.array(vectors, pa.list_(pa.float64())))
+
+
+def _nearest(sent, k: int, names: list[str]):
+    """A mapInArrow function: the k best of a partition for each vector of a wave."""
+
+    def run(batches):
+        ids, wave = sent.value
+        best, who = np.zeros((len(wave), 0)), np.zeros((len(wave), 0), object)
+        for b in batches:
+            right = b.column(0)
+            order = np.array(pa.compute.sort_indices(right))
+            for at in range(0, b.num_rows, 1024):
+                rows = order[at : at + 1024]
+                other = right.take(pa.array(rows)).to_numpy(zero_copy_only=False)
+                scores = np.round(wave @ _unit(b.column(1).take(pa.array(rows))).T, 6) + 0.0
+                if scores.shape[1] > k:  # the k best, ties to the first, as rows are in the order of their ids
+                    step = np.round(scores * 1e6).astype(np.int64) * len(rows) + np.arange(len(rows), 0, -1) - 1
+                    pick = np.argpartition(-step, k - 1, axis=1)[:, :k]
+                else:
+                    pick = np.broadcast_to(np.arange(len(rows)), scores.shape)
+                best = np.hstack([best, np.take_along_axis(scores, pick, 1)])
+                who = np.hstack([who, other[pick]]) if who.shape[1] else other[pick]
+                if best.shape[1] > k:
+                    pick = np.lexsort((who, -best), axis=1)[:, :k]
+                    best, who = np.take_along_axis(best, pick, 1), np.take_along_axis(who, pick, 1)
+        n = best.shape[1]
+        if n:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(wave)), n))), pa.array(who.ravel()), pa.array(best.ravel())], names)
+
+    return run

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import search as s
+from lodestone.functions.scalars import uuid5
 from lodestone.operators.filters import apply_filter
+from lodestone.operators.index import build, stored
 from lodestone.plans.registry import query
-from lodestone.sources.tables import contents, table, transcripts, web_pages
+from lodestone.runtime import Scratch
+from lodestone.sources.tables import contents, table
 
 QUERY = "the worthless idea of an idiot"
 TOKENS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -42,10 +45,21 @@ COSINE = "coalesce(list_inner_product(a, b) / nullif(sqrt(list_inner_product(a,
 
 
 def _docs_leg(spark: SparkSession, d: str) -> s.Leg:
-    """Documents with the vectors that some of them have."""
+    """Documents with the vectors that some of them have; texts are indexed by document."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    own = contents(spark, d).join(vectors, "doc_id", "left")
-    return s.Leg("ContentAnalyses", own, F.col("summary"), "vector", F.col("title"))
+    named = uuid5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    return s.Leg("ContentAnalyses", contents(spark, d), F.col("summary"), None, F.col("title"), ["doc_id"], named, stored(table(spark, d, "documents"), ("doc_id",), "text"), vectors)
+
+
+def _turns_leg(spark: SparkSession, d: str) -> s.Leg:
+    named = F.concat(F.lit("turn:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    turns = table(spark, d, "conversations")
+    return s.Leg("SessionTranscripts", turns.withColumn("turn_response", F.col("text")), F.col("text"), None, F.col("text"), ["conv_id", "turn"], named, stored(turns, ("conv_id", "turn"), "text"))
+
+
+def _pages_leg(spark: SparkSession, d: str) -> s.Leg:
+    pages = table(spark, d, "pages")
+    return s.Leg("WebSearchResults", pages, F.col("html"), None, None, ["page_id"], F.concat(F.lit("page:"), F.col("page_id").cast("string")), stored(pages, ("page_id",), "html"))
 
 
 def _probe(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +69,8 @@ def _probe(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CONTENTS}, {bm25_sql('k', 'contents', 'object_id', 'summary', TERMS)} SELECT id AS object_id, round(score, 6) AS score FROM k ORDER BY 2 DESC, 1 LIMIT 10")
 def search_keyword_topk(spark, d):
     """F2, F7."""
-    return s.top(s.keyword(_docs_leg(spark, d), QUERY), 10)
+    leg = _docs_leg(spark, d)
+    return s.top(s.keyword(leg, QUERY), 10, leg).select("object_id", "score")
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7) AS b FROM embeddings)
@@ -77,7 +92,8 @@ vs AS (SELECT id, coalesce((score - min(score) OVER ()) / nullif(max(score) OVER
 @query(f"WITH {HYBRID} SELECT id AS object_id, round(0.3 * coalesce(v, 0) + 0.7 * coalesce(k, 0), 6) AS score FROM ks FULL JOIN vs USING (id) ORDER BY 2 DESC, 1 LIMIT 20")
 def search_hybrid_topk(spark, d):
     """F4."""
-    return s.top(s.hybrid(_docs_leg(spark, d), QUERY, _probe(spark, d), 0.3), 20)
+    leg = _docs_leg(spark, d)
+    return s.top(s.hybrid(leg, QUERY, _probe(spark, d), 0.3), 20, leg).select("object_id", "score")
 
 
 def jaccard_sql(text: str) -> str:
@@ -112,8 +128,7 @@ SELECT collection, object_id, score, rerank_score, (row_number() OVER (ORDER BY
 @query(CROSS)
 def search_cross_collection(spark, d):
     """Three collections, one of them never reranked."""
-    legs = [_docs_leg(spark, d), s.Leg("SessionTranscripts", transcripts(spark, d), F.col("turn_response"), rerank=F.col("turn_response")), s.Leg("WebSearchResults", web_pages(spark, d), F.col("response"))]
-    return s.search(legs, QUERY, "keyword", 10, rerank=True)
+    return s.search([_docs_leg(spark, d), _turns_leg(spark, d), _pages_leg(spark, d)], QUERY, "keyword", 10, rerank=True)
 
 
 @query(f"""WITH {CONTENTS}, {bm25_sql('k', 'contents', 'object_id', 'summary', TERMS)}
@@ -153,7 +168,7 @@ SELECT 'Found 5 objects: ' || string_agg(title, ' | ' ORDER BY score DESC, id) A
 def knowledge_ask(spark, d):
     """the extractive stand-in, an answer with the ids that it cites."""
     leg = _docs_leg(spark, d)
-    hits = s.top(s.keyword(leg, QUERY), 5).join(leg.df.select("object_id", "title"), "object_id")
+    hits = s.with_properties(leg, s.top(s.keyword(leg, QUERY), 5, leg), title=F.col("title"))
     rows = hits.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("n"), "object_id", "title"))).alias("h"))
     return rows.select(F.concat(F.lit("Found "), F.size("h").cast("string"), F.lit(" objects: "), F.array_join(F.col("h.title"), " | ")).alias("answer"), F.col("h.object_id").alias("sources"))
 
@@ -165,6 +180,25 @@ def summary_prompt_batch(spark, d):
     from pyspark.sql.window import Window
 
     leg = _docs_leg(spark, d)
-    hits = s.top(s.keyword(leg, QUERY), 100).join(leg.df.select("object_id", "summary"), "object_id")
+    hits = s.with_properties(leg, s.top(s.keyword(leg, QUERY), 100, leg), summary=F.col("summary"))
     place = F.row_number().over(Window.orderBy(F.desc("score"), "object_id"))  # 100 rows at most
     return hits.select(place.alias("place"), "object_id", F.substring("summary", 1, 300).alias("snippet"))
+
+
+@query(f"""WITH {bm25_sql('k', 'documents', 'doc_id', 'text', ['x'])}, p AS (SELECT id, unnest(list_distinct(t)) AS term FROM k_d)
+SELECT n AS texts, round(avgdl, 6) AS mean_length, (SELECT count(DISTINCT term) FROM p) AS terms, (SELECT count(*) FROM p) AS postings FROM k_s""")
+def keyword_index(spark, d):
+    """an index of all documents, built anew."""
+    index = build(table(spark, d, "documents"), ("doc_id",), "text", Scratch(spark, "keyword_index").root)
+    sizes = index.postings.groupBy("term").count().agg(F.count("*").alias("terms"), F.sum("count").alias("postings"))
+    return index.corpus.crossJoin(F.broadcast(sizes)).select(F.col("n").alias("texts"), F.round("avgdl", 6).alias("mean_length"), "terms", "postings")  # one row each
+
+
+@query(f"""WITH {CONTENTS}, {bm25_sql('k', 'contents', 'object_id', 'summary', TERMS)}
+SELECT id AS object_id, round(score, 6) AS score, 'VideoAnalyses, WebSearchResults' AS skipped FROM k ORDER BY 2 DESC, 1 LIMIT 5""")
+def search_partial(spark, d):
+    """F8: collections that can't be searched are left out and named; the rest is returned."""
+    legs = [s.Leg("VideoAnalyses", table(spark, d, "events"), F.col("summary"), keys=["event_id"], object_id=F.col("event_id")), _docs_leg(spark, d), s.Leg("WebSearchResults", table(spark, d, "pages"), F.col("response"), keys=["page_id"], object_id=F.col("page_id"))]
+    skipped: dict[str, str] = {}
+    found = s.search(legs, QUERY, "keyword", 5, skipped=skipped)
+    return found.select("object_id", "score", F.lit(", ".join(sorted(skipped))).alias("skipped"))
