@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from ipaddress import ip_network
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ def is_timecode(c: Column) -> Column:
 
 
 def timecode_seconds(c: Column) -> Column:
-    """MM:SS or HH:MM:SS in seconds; null where a part is no number."""
+    """Whole numbers between colons, however many, in seconds; null where a part is no number."""
     parts = F.transform(F.split(c, ":"), lambda x: x.try_cast("int"))
     return F.aggregate(parts, F.lit(0), lambda a, x: a * 60 + x)
 
@@ -65,17 +68,19 @@ def slug(c: Column, most: int = 50) -> Column:
 
 
 def component_name(c: Column) -> Column:
-    """PascalCase with the suffix Scene; a leading digit gets the prefix Scene."""
+    """PascalCase with the suffix Scene; a leading digit gets the prefix Scene; without letters and digits: GeneratedScene."""
     words = F.regexp_extract_all(F.regexp_replace(c, "['\\u2019]", ""), F.lit("([a-zA-Z0-9]+)"), 1)
-    joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), F.substring(w, 2, 1000))), "")
-    return F.concat(F.when(joined.rlike("^[0-9]"), F.concat(F.lit("Scene"), joined)).otherwise(joined), F.lit("Scene"))
+    joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), "")
+    named = F.when(joined == "", "Generated").when(joined.rlike("^[0-9]"), F.concat(F.lit("Scene"), joined)).otherwise(joined)
+    return F.concat(named, F.lit("Scene"))
 
 
 def scene_key(c: Column) -> Column:
-    """snake_case without a leading article."""
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "['\\u2019]", ""), "[^a-z0-9]+", " ")), " ")
-    drop = F.element_at(words, 1).isin("the", "a", "an") & (F.size(words) > 1)
-    return F.array_join(F.when(drop, F.slice(words, 2, 1000)).otherwise(words), "_")
+    """snake_case of the words between white space, less a leading article (which may leave nothing); other signs are dropped, not split at."""
+    words = F.filter(F.split(F.lower(c), "\\s+"), lambda w: w != "")
+    named = F.when(F.get(words, F.lit(0)).isin("the", "a", "an"), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    plain = F.regexp_replace(F.array_join(named, "_"), "[^a-z0-9_]", "")
+    return F.trim(F.regexp_replace(plain, "_+", "_"), F.lit("_"))
 
 
 def basename(c: Column) -> Column:
@@ -122,7 +127,7 @@ SHORT_HOSTS = ["youtu.be", "www.youtu.be"]
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)", 1))
 
 
 def url_path(url: Column) -> Column:
@@ -163,18 +168,58 @@ def paper_pdf(url: Column) -> Column:
     return F.when(found != "", F.concat(F.lit("https://arxiv.org/pdf/"), found, F.lit(".pdf"))).otherwise(url)
 
 
+#: Networks that a download may not reach (private, loopback, link-local, multicast and reserved ones), and
+#: networks within them that it may.
+BLOCKED_V4 = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3"]
+OPEN_V4 = ["192.0.0.9/32", "192.0.0.10/32"]
+BLOCKED_V6 = ["::/3", "2001::/23", "2001:db8::/32", "2002::/16", "4000::/2", "8000::/2", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10", "ff00::/8"]
+OPEN_V6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+
+
+def _in_networks(words: Column, networks: list[str], bits: int) -> Column:
+    """Whether an address, as an array of numbers of ``bits`` bits, is in one of the networks."""
+    out = F.lit(False)
+    for n in map(ip_network, networks):
+        whole, rest = divmod(n.prefixlen, bits)
+        numbers = [int(n.network_address) >> (n.max_prefixlen - bits * (i + 1)) & (1 << bits) - 1 for i in range(whole + bool(rest))]
+        same = F.lit(True)
+        for i, number in enumerate(numbers):
+            drop = 0 if i < whole else bits - rest
+            same = same & (F.shiftright(F.get(words, F.lit(i)), drop) == number >> drop)
+        out = out | same
+    return out
+
+
+def ip_numbers_v6(host: Column) -> Column:
+    """The eight numbers of an address in square brackets; null if it is none.  A dotted tail counts as two of them."""
+    inner = F.regexp_extract(host, "^\\[([0-9a-f:.]+)(?:%[^\\]]*)?\\]$", 1)
+    tail = F.transform(F.split(F.regexp_extract(inner, "([0-9.]+\\.[0-9]+)$", 1), "\\."), lambda x: x.try_cast("int"))
+    pair = F.concat_ws(":", F.lower(F.hex(F.get(tail, F.lit(0)) * 256 + F.get(tail, F.lit(1)))), F.lower(F.hex(F.get(tail, F.lit(2)) * 256 + F.get(tail, F.lit(3)))))
+    plain = F.when(inner.contains("."), F.concat(F.regexp_replace(inner, "[0-9.]+\\.[0-9]+$", ""), pair)).otherwise(inner)
+    part = lambda t: F.filter(F.split(t, ":"), lambda x: x != "")
+    head, end = part(F.substring_index(plain, "::", 1)), F.when(plain.contains("::"), part(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
+    gap = F.when(plain.contains("::"), F.array_repeat(F.lit("0"), F.greatest(8 - F.size(head) - F.size(end), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.concat(head, gap, end), lambda x: F.conv(x, 16, 10).cast("int"))
+    return F.when((inner != "") & (F.size(words) == 8), words)
+
+
+def blocked_address(host: Column) -> Column:
+    """Whether a host is a literal address in a blocked network, or localhost.  Names are not resolved."""
+    v4 = F.when(host.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"), F.transform(F.split(host, "\\."), lambda x: x.try_cast("int")))
+    v6 = ip_numbers_v6(host)
+    hit4 = _in_networks(v4, BLOCKED_V4, 8) & ~_in_networks(v4, OPEN_V4, 8)
+    hit6 = _in_networks(v6, BLOCKED_V6, 16) & ~_in_networks(v6, OPEN_V6, 16)
+    return F.coalesce(hit4, F.lit(False)) | F.coalesce(hit6, F.lit(False)) | (host == "localhost")
+
+
 def url_policy(url: Column) -> Column:
-    """Why a download is refused, or ok: https only, no user info, a host, no private IPv4 address."""
+    """Why a download is refused, or ok: https only, no user info, a host, no address that is private or reserved."""
     host = url_host(url)
-    parts = F.transform(F.split(host, "\\."), lambda x: x.try_cast("int"))
-    a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    v4 = host.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$")
-    private = v4 & (a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)))
     return (
         F.when(F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)) != "https", "not https")
-        .when(url.rlike("^[A-Za-z]+://[^/?#]*@"), "user info")
+        .when(url.rlike("^[A-Za-z]+://(?!:?@)[^/?#]*@"), "user info")
         .when(host == "", "no host")
-        .when(private | (host == "localhost"), "blocked address")
+        .when(blocked_address(host), "blocked address")
         .otherwise("ok")
     )
 
@@ -188,7 +233,9 @@ def store_url(c: Column) -> Column:
 
 
 def download_name(url: Column, default: str = "document.pdf") -> Column:
-    return truthy(basename(F.regexp_replace(url_path(url), "/+$", "")), F.lit(default))
+    """What follows the last slash, less a query, if it has a dot."""
+    name = F.substring_index(F.substring_index(url, "/", -1), "?", 1)
+    return F.when(name.contains("."), name).otherwise(default)
 
 
 # ---- files
@@ -217,6 +264,7 @@ def within(path: Column, root: str) -> Column:
 
 # ---- errors
 
+#: Words of a message that say a call may be tried again.
 RETRYABLE = ["429", "quota", "resource_exhausted", "timeout", "503", "service unavailable"]
 
 
@@ -224,26 +272,43 @@ def retryable(message: Column) -> Column:
     return F.coalesce(F.lower(message).rlike("|".join(RETRYABLE)), F.lit(False))
 
 
-#: Category and the words that name it, in the order in which they are tried.
-ERROR_CATEGORIES = [
-    ("URL_INVALID", ["invalid url", "not a valid url"]),
-    ("API_PERMISSION_DENIED", ["403", "permission denied", "forbidden"]),
-    ("API_NOT_FOUND", ["404", "not found"]),
-    ("API_QUOTA_EXCEEDED", ["429", "quota", "resource_exhausted"]),
-    ("API_INVALID_ARGUMENT", ["400", "invalid argument"]),
-    ("NETWORK_ERROR", ["timeout", "timed out", "connection", "503", "unavailable"]),
-    ("FILE_UNSUPPORTED", ["unsupported", "extension"]),
+#: Categories by the kind of an error, tried before its message.
+ERROR_KINDS = {"url policy": "URL_POLICY_BLOCKED", "permission": "PERMISSION_DENIED", "timeout": "NETWORK_ERROR", "network": "NETWORK_ERROR"}
+#: Categories by words of the message, in the order in which they are tried; of each list one word must occur.
+ERROR_WORDS = [
+    ("API_PERMISSION_DENIED", [["403"], ["permission"]]),
+    ("VIDEO_RESTRICTED", [["403"]]),
+    ("API_QUOTA_EXCEEDED", [["429", "quota", "resource_exhausted"]]),
+    ("API_INVALID_ARGUMENT", [["400", "invalid mode", "invalid thinking level"]]),
+    ("VIDEO_UNAVAILABLE", [["404"]]),
+    ("VIDEO_PRIVATE", [["private"]]),
+    ("VIDEO_UNAVAILABLE", [["unavailable"]]),
+    ("NETWORK_ERROR", [["timeout", "timed out"]]),
+    ("FILE_NOT_FOUND", "file not found"),
+    ("FILE_UNSUPPORTED", [["unsupported video extension"]]),
+    ("WEAVIATE_CONNECTION", [["weaviate"], ["connect", "unreachable", "refused"]]),
+    ("WEAVIATE_SCHEMA", [["weaviate"], ["schema", "collection"]]),
+    ("WEAVIATE_IMPORT", [["weaviate"], ["import", "insert", "batch"]]),
+    ("WEAVIATE_QUERY", [["weaviate"]]),
 ]
-RETRY_SECONDS = {"API_QUOTA_EXCEEDED": 60, "NETWORK_ERROR": None}
+#: Categories after which a call may be tried again.
+RETRY_CATEGORIES = ["API_QUOTA_EXCEEDED", "NETWORK_ERROR", "WEAVIATE_CONNECTION"]
+
+
+def error_category(message: Column, kind: Column | None = None) -> Column:
+    """The first category that fits.  ``kind`` is the class of an error: a key of ERROR_KINDS, 'file not found', or anything else."""
+    m, kind = F.lower(F.coalesce(message, F.lit(""))), F.lit(None).cast("string") if kind is None else kind
+    out = F.when(F.lit(False), "")
+    for name, category in ERROR_KINDS.items():
+        out = out.when(kind == name, category)
+    for category, words in ERROR_WORDS:
+        hit = kind == words if isinstance(words, str) else reduce(lambda a, b: a & b, (m.rlike("|".join(w)) for w in words))
+        out = out.when(hit, category)
+    return out.otherwise("UNKNOWN")
 
 
-def error_category(message: Column) -> Column:
-    m = F.lower(F.coalesce(message, F.lit("")))
-    out = None
-    for name, words in ERROR_CATEGORIES:
-        hit = m.rlike("|".join(words))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("UNKNOWN")
+def retry_category(category: Column) -> Column:
+    return category.isin(RETRY_CATEGORIES)
 
 
 def retry_after(category: Column) -> Column:
@@ -257,17 +322,35 @@ def backoff(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
 # ---- text
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+
 def fenced_code(c: Column) -> Column:
-    """The first fenced block of code; else the text itself if it looks like a module; else null."""
-    block = F.regexp_extract(c, "(?s)```(?:tsx|typescript|ts|jsx|javascript)?[ ]*\\n(.*?)```", 1)
-    return F.coalesce(F.nullif(F.trim(block), F.lit("")), F.when(F.contains(c, F.lit("import ")) & F.contains(c, F.lit("export ")), F.trim(c)))
+    """The first fenced block, which may be empty; else the text itself if it looks like a module; else null."""
+    pattern = "(?s)```(?:typescript|tsx|ts)?\\s*(.*?)```"
+    return F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1))).when(c.contains("import") & c.contains("export"), strip(c))
 
 
 def markdown_links(c: Column) -> Column:
-    """Targets of links but web addresses and fragments, without fragment and query."""
-    found = F.regexp_extract_all(c, F.lit("\\[[^\\]]*\\]\\(([^)]+)\\)"), 1)
-    kept = F.filter(found, lambda x: ~x.rlike("^(https?://|#|mailto:)"))
-    return F.transform(kept, lambda x: F.regexp_replace(x, "[#?].*$", ""))
+    """Targets of links but web addresses and fragments, as written."""
+    found = F.regexp_extract_all(c, F.lit("\\[.*?\\]\\(([^)]+)\\)"), 1)
+    return F.filter(found, lambda x: ~x.rlike("^(https?://|#)") & (link_path(x) != ""))
+
+
+def link_path(c: Column) -> Column:
+    """A link without fragment and query."""
+    return F.substring_index(F.substring_index(c, "#", 1), "?", 1)
+
+
+def resolve(folder: Column, path: Column) -> Column:
+    """The absolute path of ``path`` as seen from an absolute folder, with . and .. taken out."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", folder, path))
+    steps = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(steps, none, lambda a, x: F.when(x != "..", F.concat(a, F.array(x))).when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(none))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
 def screenshots(c: Column) -> Column:

@@ -58,14 +58,13 @@ def midpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def shared_items(df: DataFrame, key: str, items: str) -> DataFrame:
-    """a, b, n: for each item, its smallest key a is linked to all others b; n counts the items that give the link.
+    """item, a, b: for each item, its smallest key a beside every other key b that has it.
 
-    A star for each item instead of all pairs: it grows with the rows, but it is less than the relation.  Pairs without an
-    item's smallest key are lost, and n leaves out items with a smaller key; see ``shared_members`` and ``shared_pairs``.
+    A star for each item, which grows with the rows.  No link is lost: two keys share an item if each is its a or one of
+    its b, and as many items as that holds for; ``shared_pairs`` spells the pairs out.
     """
-    own = df.select(F.col(key).alias("b"), F.explode(F.array_distinct(items)).alias("item"))
-    first = own.groupBy("item").agg(F.min("b").alias("a"))
-    return own.join(first, "item").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    own = shared_members(df, key, items)
+    return own.filter(F.col("representative") < F.col(key)).select("item", F.col("representative").alias("a"), F.col(key).alias("b"))
 
 
 def shared_members(df: DataFrame, key: str, items: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.scalars import is_timecode, timecode_seconds
+from lodestone.functions.scalars import is_timecode, link_path, markdown_links, resolve, timecode_seconds
 
 
 def timestamp_issues(df: DataFrame, key: str, order: str, time: str) -> DataFrame:
@@ -19,10 +19,9 @@ def timestamp_issues(df: DataFrame, key: str, order: str, time: str) -> DataFram
 
 
 def coverage(df: DataFrame, key: str, time: str, duration: str) -> DataFrame:
-    """key, coverage: the last time over the duration, at most 1; without a duration 1."""
-    last = F.max(F.when(is_timecode(F.col(time)), timecode_seconds(F.col(time))))
-    own = df.groupBy(key).agg(last.alias("__l"), F.max(duration).alias("__d"))
-    ratio = F.least(F.coalesce("__l", F.lit(0)) / F.col("__d"), F.lit(1.0))
+    """key, coverage: the last time over the duration, at most 1; without a duration 1.  Whole numbers between colons are a time, however many."""
+    own = df.groupBy(key).agg(F.max(timecode_seconds(F.col(time))).alias("__l"), F.max(duration).alias("__d"))
+    ratio = F.least(F.greatest(F.coalesce("__l", F.lit(0)), F.lit(0)) / F.col("__d"), F.lit(1.0))
     return own.select(key, F.when(F.coalesce("__d", F.lit(0)) <= 0, 1.0).otherwise(ratio).alias("coverage"))
 
 
@@ -46,3 +45,13 @@ def report(issues: DataFrame, key: str, check: str, issue: str, checks: list[str
 
 def verdict(checks: DataFrame, key: str) -> DataFrame:
     return checks.groupBy(key).agg(F.when(F.bool_and("passed"), "pass").otherwise("fail").alias("status"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+def link_issues(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """root, name, link, issue: links of markdown pages (root, name, content) that leave their root folder, or lead to no file (path)."""
+    links = pages.select("root", "name", F.explode(markdown_links(F.col("content"))).alias("link"))
+    links = links.withColumn("path", resolve(F.col("root"), link_path(F.col("link"))))
+    inside = (F.col("path") == F.col("root")) | F.col("path").startswith(F.concat("root", F.lit("/")))
+    known = files.select("path").distinct().withColumn("__there", F.lit(True))
+    own = links.join(known, "path", "left").withColumn("issue", F.when(~inside, "escapes").when(F.col("__there").isNull(), "broken"))
+    return own.filter("issue IS NOT NULL").select("root", "name", "link", "issue")

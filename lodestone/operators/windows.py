@@ -42,20 +42,29 @@ def context(df: DataFrame, key: str, order: str, word: str, n: int = 2) -> DataF
     return df.withColumn("context", F.array_join(F.collect_list(word).over(w), " "))
 
 
-def elide(df: DataFrame, key: str, order: str, head: int = 20, tail: int = 10, most: int = 35) -> DataFrame:
-    """All rows of a key with at most ``most``; else the first ``head`` and the last ``tail``."""
+def elide(df: DataFrame, key: str, order: str, text: str, head: int = 20, tail: int = 10, most: int = 35) -> DataFrame:
+    """All rows of a key with at most ``most``; else the first ``head``, a row that says how many are left out, and the last ``tail``.
+
+    ``elided`` is that number, 0 for all other rows; the row has the order of the last one before it.
+    """
     w = Window.partitionBy(key)
     own = df.withColumn("__i", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
-    return own.filter((F.col("__n") <= most) | (F.col("__i") <= head) | (F.col("__i") > F.col("__n") - tail)).drop("__i", "__n")
+    left = F.col("__n") - head - tail
+    own = own.filter((F.col("__n") <= most) | (F.col("__i") <= head) | (F.col("__i") > F.col("__n") - tail))
+    marks = F.when((F.col("__n") > most) & (F.col("__i") == head), F.array(F.lit(0).cast("long"), left)).otherwise(F.array(F.lit(0).cast("long")))
+    own = own.withColumn("elided", F.explode(marks))
+    said = F.concat(F.lit("... ("), F.col("elided").cast("string"), F.lit(" more words) ..."))
+    return own.withColumn(text, F.when(F.col("elided") > 0, said).otherwise(F.col(text))).drop("__i", "__n")
 
 
-TRANSITIONS = ["but", "however", "then", "now", "next", "finally", "because", "so", "first", "instead"]
+#: Words that mark a turn of a narration.
+TRANSITIONS = ["but", "however", "the", "this", "that", "so", "now", "finally", "first", "second", "third", "next", "then"]
 
 
-def key_phrases(df: DataFrame, key: str, order: str, word: str, most: int = 15) -> DataFrame:
-    """The first words of each key that are transitions or longer than six letters."""
-    plain = F.rtrim(F.col(word), F.lit(",.!?"))
-    own = df.filter(F.lower(plain).isin(TRANSITIONS) | (F.length(plain) > 6))
+def key_phrases(df: DataFrame, key: str, order: str, word: str, most: int = 15, around: int = 2) -> DataFrame:
+    """The first words of each key that are transitions or longer than six letters, with the words ``around`` them as context."""
+    plain = F.rtrim(F.lower(F.col(word)), F.lit(",.!?"))
+    own = context(df, key, order, word, around).filter(plain.isin(TRANSITIONS) | (F.length(plain) > 6))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return own.withColumn("place", rank).filter(F.col("place") <= most)
 

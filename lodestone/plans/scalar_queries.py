@@ -57,21 +57,37 @@ def slugify_titles(spark, d):
     return table(spark, d, "documents").select("doc_id", x.slug(F.substring_index("text", "\n", 1)).alias("slug"))
 
 
-NAMES = ["The Hook", "What's the Big Deal?", "Step 1 Setup", "3D Overview", "The Big Problem", "Cutting Images", "What's Next?", "a", "An Apple", ""]
-
-
-@query(f"""SELECT s, CASE WHEN regexp_matches(j, '^[0-9]') THEN 'Scene' ELSE '' END || j || 'Scene' AS component FROM (
-SELECT s, array_to_string(list_transform(regexp_extract_all(replace(s, '''', ''), '[a-zA-Z0-9]+'), lambda w: upper(w[1]) || w[2:]), '') AS j FROM {_sql(NAMES)})""")
+#: title, component, key.
+NAMES = [
+    ("Deep Water", "DeepWaterScene", "deep_water"),
+    ("The Long Way Home", "TheLongWayHomeScene", "long_way_home"),
+    ("It's Who's Left?", "ItsWhosLeftScene", "its_whos_left"),
+    ("it’s late", "ItsLateScene", "its_late"),
+    ("AI-driven design", "AIDrivenDesignScene", "aidriven_design"),
+    ("v2.0 of Node.js", "V20OfNodeJsScene", "v20_of_nodejs"),
+    ("7 Rules", "Scene7RulesScene", "7_rules"),
+    ("a", "AScene", ""),
+    ("The", "TheScene", ""),
+    ("AN OPEN DOOR", "ANOPENDOORScene", "open_door"),
+    ("the_end _ of", "TheEndOfScene", "the_end_of"),
+    ("  spaced \t out ", "SpacedOutScene", "spaced_out"),
+    ("?!", "GeneratedScene", ""),
+    ("", "GeneratedScene", ""),
+    ("x" * 1500, "X" + "x" * 1499 + "Scene", "x" * 1500),
+    (" ".join(["ab"] * 1200), "Ab" * 1200 + "Scene", "_".join(["ab"] * 1200)),
+]
+
+
+@query(f"SELECT s, component FROM ({sql_values(*NAMES)}) x(s, component, key)")
 def component_names(spark, d):
     """H6."""
-    return _strings(spark, NAMES).select("s", x.component_name(F.col("s")).alias("component"))
+    return _strings(spark, [n[0] for n in NAMES]).select("s", x.component_name(F.col("s")).alias("component"))
 
 
-@query(f"""SELECT s, array_to_string(CASE WHEN w[1] IN ('the', 'a', 'an') AND len(w) > 1 THEN w[2:] ELSE w END, '_') AS key FROM (
-SELECT s, string_split(trim(regexp_replace(replace(lower(s), '''', ''), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM {_sql(NAMES)})""")
+@query(f"SELECT s, key FROM ({sql_values(*NAMES)}) x(s, component, key)")
 def scene_keys(spark, d):
     """H7."""
-    return _strings(spark, NAMES).select("s", x.scene_key(F.col("s")).alias("key"))
+    return _strings(spark, [n[0] for n in NAMES]).select("s", x.scene_key(F.col("s")).alias("key"))
 
 
 @query("SELECT doc_id, doc_id || '_analyze_' || CASE WHEN lang = 'en' THEN 'default' ELSE substr(md5(lang), 1, 8) END || '_' || substr(md5('model-1'), 1, 8) AS key FROM documents")
@@ -132,7 +148,12 @@ def url_policy(spark, d):
     return table(spark, d, "pages").select("page_id", x.url_policy(F.col("url")).alias("policy"), x.url_host(F.col("url")).alias("host"))
 
 
-GUARDED = [("https://a.b/c", "ok"), ("http://a.b", "not https"), ("https://u:p@a.b/", "user info"), ("https:///x", "no host"), ("https://127.0.0.1/", "blocked address"), ("https://10.1.2.3", "blocked address"), ("https://172.20.0.1", "blocked address"), ("https://172.32.0.1", "ok"), ("https://192.168.0.1:8", "blocked address"), ("https://169.254.1.1", "blocked address"), ("https://224.0.0.1", "blocked address"), ("https://8.8.8.8", "ok"), ("https://localhost/", "blocked address"), ("ftp://a", "not https")]
+GUARDED = [
+    ("https://a.b/c", "ok"), ("http://a.b", "not https"), ("ftp://a", "not https"), ("https://u:p@a.b/", "user info"), ("https://u@a.b/", "user info"), ("https://@a.b/", "ok"), ("https:///x", "no host"), ("https://a.b/x@y", "ok"),
+    ("https://0.1.2.3", "blocked address"), ("https://127.0.0.1/", "blocked address"), ("https://10.1.2.3", "blocked address"), ("https://172.20.0.1", "blocked address"), ("https://172.32.0.1", "ok"), ("https://192.168.0.1:8", "blocked address"), ("https://169.254.1.1", "blocked address"), ("https://224.0.0.1", "blocked address"), ("https://255.255.255.255", "blocked address"),
+    ("https://100.64.0.1", "ok"), ("https://192.0.0.8", "blocked address"), ("https://192.0.0.9", "ok"), ("https://192.0.2.77", "blocked address"), ("https://192.0.3.1", "ok"), ("https://198.18.0.1", "blocked address"), ("https://198.19.255.1", "blocked address"), ("https://198.20.0.1", "ok"), ("https://198.51.100.7", "blocked address"), ("https://203.0.113.9", "blocked address"), ("https://8.8.8.8", "ok"), ("https://localhost/", "blocked address"),
+    ("https://[::1]/", "blocked address"), ("https://[::]/", "blocked address"), ("https://[fe80::1%25eth0]:8/", "blocked address"), ("https://[fd12:3456::1]", "blocked address"), ("https://[ff02::1]", "blocked address"), ("https://[2001:db8::1]", "blocked address"), ("https://[2001:0:1::]", "blocked address"), ("https://[2001:3::5]", "ok"), ("https://[2001:21::5]", "ok"), ("https://[2001:4860:4860::8888]/x", "ok"), ("https://[2606:4700:4700:0:0:0:0:1111]", "ok"), ("https://[::ffff:10.0.0.1]", "blocked address"), ("https://[2002:a00:1::]", "blocked address"), ("https://[64:ff9b:1::1]", "blocked address"), ("https://[5f00::1]", "blocked address"),
+]
 
 
 @query(f"SELECT s, policy FROM ({sql_values(*GUARDED)}) x(s, policy)")
@@ -153,13 +174,30 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", x.html_escape(F.col("url")).alias("escaped"))
 
 
-LINKS = ["see [a](x/y.md) and [b](https://w) [c](#f) [d](z.md#part?q)", "none", "[e](../out.md) [f](mailto:a@b)", None]
+#: text, links.
+LINKS = [
+    ("see [a](x/y.md) and [b](https://w) [c](#f) [d](z.md#part?q)", ["x/y.md", "z.md#part?q"]),
+    ("none", []),
+    ("[e](../out.md) [f](mailto:a@b) [](g.md) [h](?q=1) [i](http.md)", ["../out.md", "mailto:a@b", "g.md", "http.md"]),
+    ("[j [k](l.md) ](m.md)\n[n](\no.md)", ["l.md", "\no.md"]),
+    (None, None),
+]
 
 
-@query(f"SELECT s, list_transform(list_filter(regexp_extract_all(s, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda l: NOT regexp_matches(l, '^(https?://|#|mailto:)')), lambda l: regexp_replace(l, '[#?].*$', '')) AS links FROM {_sql(LINKS)}")
+@query(f"SELECT s, links FROM ({sql_values(*LINKS)}) x(s, links)")
 def markdown_links(spark, d):
-    """H27."""
-    return _strings(spark, LINKS).select("s", x.markdown_links(F.col("s")).alias("links"))
+    """What is left to resolve."""
+    return _strings(spark, [t for t, _ in LINKS]).select("s", x.markdown_links(F.col("s")).alias("links"))
+
+
+LINKED = [("/w/out", "analysis.md", "[a](strategy.md) [b](./img/../strategy.md#top) [c](missing.md) [d](../out/strategy.md) [e](../other/x.md) [f](/etc/passwd) [g](mailto:a@b) [h](../../../../w/out/strategy.md)"), ("/w/out", "strategy.md", "[i](analysis.md?x) [j](sub/../../out2/y.md)")]
+THERE = [("/w/out/analysis.md",), ("/w/out/strategy.md",), ("/w/other/x.md",), ("/w/out2/y.md",)]
+
+
+@query("SELECT * FROM (VALUES ('/w/out', 'analysis.md', 'missing.md', 'broken'), ('/w/out', 'analysis.md', '../other/x.md', 'escapes'), ('/w/out', 'analysis.md', '/etc/passwd', 'escapes'), ('/w/out', 'analysis.md', 'mailto:a@b', 'broken'), ('/w/out', 'strategy.md', 'sub/../../out2/y.md', 'escapes')) t(root, name, link, issue)")
+def link_issues(spark, d):
+    """Links that leave their folder, and broken ones."""
+    return quality.link_issues(values(spark, "root string, name string, content string", *LINKED), values(spark, "path string", *THERE))
 
 
 SHOTS = ["a [SCREENSHOT:1:05:the chart] b [SCREENSHOT:12:30:end]", "none"]
@@ -171,13 +209,26 @@ def screenshot_markers(spark, d):
     return _strings(spark, SHOTS).select("s", F.explode(x.screenshots(F.col("s"))).alias("m")).select("s", F.col("m.time").alias("time"), F.col("m.text").alias("label"))
 
 
-CODE = ["text ```tsx\nconst a = 1;\n``` end", "```ts\nb\n```", "import x\nexport y", "nothing", ""]
+#: text, code.
+CODE = [
+    ("text ```tsx\nconst a = 1;\n``` end", "const a = 1;"),
+    ("```ts\nb\n``` and ```\nc\n```", "b"),
+    ("```typescript let d = 2```", "let d = 2"),
+    ("```python\nx\n```", "python\nx"),
+    ("``` ```", ""),
+    ("  import x\nexport y \n", "import x\nexport y"),
+    ("importance of exports", "importance of exports"),
+    ("import alone", None),
+    ("```ts\nnever closed; import, export", "```ts\nnever closed; import, export"),
+    ("", None),
+    (None, None),
+]
 
 
-@query(f"SELECT s, coalesce(nullif(trim(regexp_extract(s, '```(?:tsx|typescript|ts|jsx|javascript)?[ ]*\\n(.*?)```', 1, 's'), ' '), ''), CASE WHEN contains(s, 'import ') AND contains(s, 'export ') THEN trim(s) END) AS code FROM {_sql(CODE)}")
+@query(f"SELECT s, code FROM ({sql_values(*CODE)}) x(s, code)")
 def code_extraction(spark, d):
     """H8."""
-    return _strings(spark, CODE).select("s", x.fenced_code(F.col("s")).alias("code"))
+    return _strings(spark, [t for t, _ in CODE]).select("s", x.fenced_code(F.col("s")).alias("code"))
 
 
 MESSAGES = ["429 Too Many Requests", "Quota exceeded for x", "RESOURCE_EXHAUSTED: y", "Request timeout after 5", "503 Service Unavailable", "service unavailable", "400 Bad Request", "Not found", "Permission denied", "unsupported extension", None, "boom"]
@@ -189,14 +240,46 @@ def retryable(spark, d):
     return _strings(spark, MESSAGES).select("s", x.retryable(F.col("s")).alias("retryable"))
 
 
-LADDER = " ".join(f"WHEN regexp_matches(lower(coalesce(s, '')), '{'|'.join(w)}') THEN '{n}'" for n, w in x.ERROR_CATEGORIES)
-
-
-@query(f"SELECT s, category, CASE WHEN category = 'API_QUOTA_EXCEEDED' THEN 60 END AS retry_after FROM (SELECT s, CASE {LADDER} ELSE 'UNKNOWN' END AS category FROM {_sql(MESSAGES)})")
+#: message, kind, category, whether to try again, seconds to wait.
+ERRORS = [
+    ("429 Too Many Requests", None, "API_QUOTA_EXCEEDED", True, 60),
+    ("Quota exceeded for x", None, "API_QUOTA_EXCEEDED", True, 60),
+    ("RESOURCE_EXHAUSTED: y", None, "API_QUOTA_EXCEEDED", True, 60),
+    ("403 Permission denied", None, "API_PERMISSION_DENIED", False, None),
+    ("403 Forbidden", None, "VIDEO_RESTRICTED", False, None),
+    ("Permission denied", None, "UNKNOWN", False, None),
+    ("Permission denied", "permission", "PERMISSION_DENIED", False, None),
+    ("400 Bad Request", None, "API_INVALID_ARGUMENT", False, None),
+    ("400 and 429", None, "API_QUOTA_EXCEEDED", True, 60),
+    ("400 MIME type", None, "API_INVALID_ARGUMENT", False, None),
+    ("Invalid thinking level 'x'", None, "API_INVALID_ARGUMENT", False, None),
+    ("404 page", None, "VIDEO_UNAVAILABLE", False, None),
+    ("This is private", None, "VIDEO_PRIVATE", False, None),
+    ("503 Service Unavailable", None, "VIDEO_UNAVAILABLE", False, None),
+    ("Request timeout after 5", None, "NETWORK_ERROR", True, None),
+    ("it timed out", None, "NETWORK_ERROR", True, None),
+    ("anything", "timeout", "NETWORK_ERROR", True, None),
+    ("404", "network", "NETWORK_ERROR", True, None),
+    ("403", "url policy", "URL_POLICY_BLOCKED", False, None),
+    ("no such file", "file not found", "FILE_NOT_FOUND", False, None),
+    ("404 no such file", "file not found", "VIDEO_UNAVAILABLE", False, None),
+    ("Unsupported video extension .x", None, "FILE_UNSUPPORTED", False, None),
+    ("unsupported extension", None, "UNKNOWN", False, None),
+    ("Weaviate refused", None, "WEAVIATE_CONNECTION", True, None),
+    ("weaviate: collection exists", None, "WEAVIATE_SCHEMA", False, None),
+    ("weaviate batch lost", None, "WEAVIATE_IMPORT", False, None),
+    ("weaviate?", None, "WEAVIATE_QUERY", False, None),
+    ("Connection refused", None, "UNKNOWN", False, None),
+    ("Not found", None, "UNKNOWN", False, None),
+    (None, None, "UNKNOWN", False, None),
+]
+
+
+@query(f"SELECT s, kind, category, again, retry_after FROM ({sql_values(*ERRORS)}) x(s, kind, category, again, retry_after)")
 def error_categories(spark, d):
     """The first category of the ladder that fits."""
-    own = _strings(spark, MESSAGES).withColumn("category", x.error_category(F.col("s")))
-    return own.withColumn("retry_after", x.retry_after(F.col("category")))
+    own = values(spark, "s string, kind string", *(e[:2] for e in ERRORS)).withColumn("category", x.error_category(F.col("s"), F.col("kind")))
+    return own.withColumn("again", x.retry_category(F.col("category"))).withColumn("retry_after", x.retry_after(F.col("category")))
 
 
 @query("SELECT n, least(1.0 * pow(2, n), 60.0)::DOUBLE AS seconds FROM range(10) t(n)")
@@ -262,10 +345,10 @@ def timestamps_order_check(spark, d):
     return quality.timestamp_issues(values(spark, "doc string, i int, t string", *STAMPS), "doc", "i", "t")
 
 
-COVER = [("a", "09:30", 600), ("a", "01:00", 600), ("b", "03:00", 600), ("c", "20:00", 600), ("d", "01:00", 0), ("e", "bad", 600)]
+COVER = [("a", "09:30", 600), ("a", "01:00", 600), ("b", "03:00", 600), ("c", "20:00", 600), ("d", "01:00", 0), ("e", "bad", 600), ("e", "1:xx", 600), ("e", "", 600), ("f", "120:30", 14460), ("g", "5", 10), ("h", "0:0:1:30", 180), ("i", "-5", 10), ("j", None, 10)]
 
 
-@query(f"""WITH c(doc, t, duration) AS ({sql_values(*COVER)}) SELECT doc, CASE WHEN max(duration) <= 0 THEN 1.0 ELSE least(coalesce(max(CASE WHEN {OK_TIME} THEN {SEC.replace('p::INTEGER', 'try_cast(p AS INTEGER)')} END), 0) / max(duration), 1.0) END::DOUBLE AS coverage FROM c GROUP BY doc""")
+@query("SELECT * FROM (VALUES ('a', 0.95::DOUBLE), ('b', 0.3), ('c', 1.0), ('d', 1.0), ('e', 0.0), ('f', 0.5), ('g', 0.5), ('h', 0.5), ('i', 0.0), ('j', 0.0)) t(doc, coverage)")
 def coverage_ratio(spark, d):
     """E6."""
     return quality.coverage(values(spark, "doc string, t string, duration int", *COVER), "doc", "t", "duration")

@@ -175,18 +175,11 @@ def edges_dangling_strict(spark, d):
     return store.dangling(values(spark, "source string, target string", *EDGES), values(spark, "id string", *NODES), strict=True)
 
 
-@query(f"""WITH {CONTENTS}, t AS (SELECT DISTINCT object_id AS a, unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: len(x) > 6)) AS w FROM contents),
-f AS (SELECT w, min(a) AS a FROM t GROUP BY w)
-SELECT f.a AS a, t.a AS b, count(*) AS n FROM t JOIN f USING (w) WHERE f.a < t.a GROUP BY 1, 2""")
+@query(f"""WITH {CONTENTS}, t AS (SELECT DISTINCT object_id AS b, unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: len(x) > 6)) AS item FROM contents)
+SELECT item, a, b FROM (SELECT item, min(b) OVER (PARTITION BY item) AS a, b FROM t) WHERE a < b""")
 def concept_shared_pairs(spark, d):
-    """C14, reduced to a star for each word: objects whose titles share long words."""
-    return joins.shared_items(_long_words(spark, d), "object_id", "words")
-
-
-def _long_words(spark, d):
-    from lodestone.functions.text import tokens
-
-    return contents(spark, d).select("object_id", F.filter(tokens("title"), lambda w: F.length(w) > 6).alias("words"))
+    """C14: objects whose titles share long words, as a star for each word."""
+    return joins.shared_items(_title_words(spark, d), "object_id", "words")
 
 
 def _title_words(spark, d):
@@ -221,12 +214,15 @@ def schema_evolution_missing(spark, d):
     return store.missing(schema.catalog(spark, "WebSearchResults"), values(spark, "collection string, property string", *HAVE), ["collection", "property"]).select("property")
 
 
-@query("SELECT conv_id, list(text ORDER BY turn) AS values FROM conversations WHERE turn < 2 AND role IS NOT NULL GROUP BY 1 HAVING conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)".replace("HAVING", "HAVING true AND"))
+@query("SELECT conv_id, list(text ORDER BY turn)[1:1] AS report, list('turn:' || conv_id || ':' || turn ORDER BY turn)[2:] AS follow_up_ids, list(text ORDER BY turn)[2:] AS follow_ups FROM conversations GROUP BY 1")
 def followup_fold(spark, d):
-    """B9, I7 on the turns 0 and 1 only: follow-ups are put behind what is there, in order."""
-    c = table(spark, d, "conversations")
-    base = c.filter("turn = 0").select("conv_id", F.array("text").alias("values"))
-    return store.fold_appends(base, c.filter("turn = 1"), "conv_id", "turn", "text")
+    """Ids and texts of all later turns are put behind each conversation's first one, in order."""
+    c = table(spark, d, "conversations").withColumn("id", F.concat(F.lit("turn:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")))
+    first = c.groupBy("conv_id").agg(F.min_by(F.struct("turn", "text"), "turn").alias("f"))
+    later = c.join(first, "conv_id").filter("turn > f.turn").select("conv_id", "turn", "id", "text")
+    none = first.select("conv_id", F.array().cast("array<string>").alias("values"))
+    ids, texts = (store.fold_appends(none, later, "conv_id", "turn", v).withColumnRenamed("values", n) for v, n in (("id", "follow_up_ids"), ("text", "follow_ups")))
+    return first.select("conv_id", F.array("f.text").alias("report")).join(ids, "conv_id").join(texts, "conv_id")
 
 
 @query("SELECT conv_id, list(text ORDER BY turn, text) AS values FROM conversations GROUP BY 1")

@@ -133,19 +133,20 @@ def word_context_window(spark, d):
     return w.context(_words(spark, d), "k", "i", "word").select("conv_id", "turn", "i", "context")
 
 
-@query(f"SELECT conv_id, turn, i, word FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM ({WORDS})) WHERE n <= 35 OR r <= 20 OR r > n - 10")
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM ({WORDS}))
+SELECT conv_id, turn, i, word, 0::BIGINT AS elided FROM r WHERE n <= 35 OR r <= 20 OR r > n - 10
+UNION ALL SELECT conv_id, turn, i, '... (' || (n - 30) || ' more words) ...', n - 30 FROM r WHERE n > 35 AND r = 20""")
 def timeline_elide(spark, d):
     """E27."""
-    return w.elide(_words(spark, d), "k", "i").select("conv_id", "turn", "i", "word")
+    return w.elide(_words(spark, d), "k", "i", "word").select("conv_id", "turn", "i", "word", "elided")
 
 
-TRANS = ", ".join(f"'{t}'" for t in w.TRANSITIONS)
-
-
-@query(f"SELECT conv_id, turn, i, word, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i))::INTEGER AS place FROM ({WORDS}) WHERE lower(rtrim(word, ',.!?')) IN ({TRANS}) OR len(rtrim(word, ',.!?')) > 6 QUALIFY place <= 15")
+@query(f"""WITH c AS (SELECT conv_id, turn, i, word, rtrim(lower(word), ',.!?') AS p, string_agg(word, ' ') OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM ({WORDS}))
+SELECT conv_id, turn, i, word, context, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i))::INTEGER AS place FROM c
+WHERE len(p) > 6 OR p IN ('first', 'second', 'third', 'this', 'that', 'the', 'but', 'so', 'however', 'now', 'then', 'next', 'finally') QUALIFY place <= 15""")
 def key_phrases(spark, d):
     """E28."""
-    return w.key_phrases(_words(spark, d), "k", "i", "word").select("conv_id", "turn", "i", "word", "place")
+    return w.key_phrases(_words(spark, d), "k", "i", "word").select("conv_id", "turn", "i", "word", "context", "place")
 
 
 NODES = [("g1", f"n{i}") for i in range(10)] + [("g2", "a")]
