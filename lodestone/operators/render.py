@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import html_escape, truthy
+
 
 def ordered_text(df: DataFrame, key: str, order: str, line: Column, separator: str = "\n") -> DataFrame:
     """key, text: the lines of each key in order."""
@@ -17,3 +19,45 @@ def findings_text(df: DataFrame, key: str, order: str, claim: str, tier: str, em
     line = F.concat(F.col(order).cast("string"), F.lit(". ["), F.coalesce(tier, F.lit("UNKNOWN")), F.lit("] "), F.coalesce(claim, F.lit("")))
     out = ordered_text(df, key, order, line)
     return out.select(key, F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit(empty)).alias("text"))
+
+
+#: Headings of a report by language.
+HEADINGS = {
+    "en": {"summary": "Summary", "key_points": "Key Points", "timestamps": "Timestamps", "topics": "Topics", "strategy_notes": "Strategic Notes", "concept_map": "Concept Map", "source": "Source", "see_also": "See also"},
+    "nl": {"summary": "Samenvatting", "key_points": "Kernpunten", "timestamps": "Tijdstempels", "topics": "Onderwerpen", "strategy_notes": "Strategische Notities", "concept_map": "Conceptkaart", "source": "Bron", "see_also": "Zie ook"},
+    "es": {"summary": "Resumen", "key_points": "Puntos Clave", "timestamps": "Marcas de Tiempo", "topics": "Temas", "strategy_notes": "Notas Estratégicas", "concept_map": "Mapa Conceptual", "source": "Fuente", "see_also": "Ver también"},
+}
+
+
+def heading(language: Column, name: str) -> Column:
+    """A heading in a language; in English where that isn't known."""
+    known = F.create_map(*(F.lit(x) for lang, h in HEADINGS.items() for x in (lang, h[name])))
+    return F.coalesce(F.try_element_at(known, language), F.lit(HEADINGS["en"][name]))
+
+
+def preamble(title: str, channel: str, category: str, duration: str, tags: Column) -> Column:
+    """What a prompt says of a video first."""
+    return F.format_string('Video context: "%s" by %s (%s, %s). Tags: %s', F.col(title), F.col(channel), truthy(F.col(category), F.lit("Unknown")), F.col(duration), tags)
+
+
+def excerpt(c: Column, most: int = 200) -> Column:
+    """The first characters, with dots where there are more."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+
+
+def analysis_markdown(language: Column, title: Column, source: Column, summary: Column, points: Column, topics: Column) -> Column:
+    """A report of a result: sections that have nothing are left out."""
+    none = F.array().cast("array<string>")
+    section = lambda name, there, lines: F.when(there, F.concat(F.array(F.concat(F.lit("## "), heading(language, name)), F.lit("")), lines, F.array(F.lit("")))).otherwise(none)
+    lines = F.concat(
+        F.array(F.concat(F.lit("# "), title), F.lit(""), F.concat(F.lit("**"), heading(language, "source"), F.lit(":** "), source), F.lit("")),
+        section("summary", F.coalesce(summary, F.lit("")) != "", F.array(summary)),
+        section("key_points", F.coalesce(F.size(points), F.lit(0)) > 0, F.transform(points, lambda p: F.concat(F.lit("- "), p))),
+        section("topics", F.coalesce(F.size(topics), F.lit(0)) > 0, F.array(F.array_join(topics, ", "))),
+    )
+    return F.array_join(lines, "\n")
+
+
+def page_html(language: Column, title: Column, body: Column) -> Column:
+    """A page with escaped texts."""
+    return F.concat(F.lit("<!DOCTYPE html>\n<html lang=\""), html_escape(language), F.lit("\"><head><title>"), html_escape(title), F.lit("</title></head><body><h1>"), heading(language, "concept_map"), F.lit("</h1><p>"), html_escape(body), F.lit("</p></body></html>"))

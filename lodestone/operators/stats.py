@@ -36,3 +36,18 @@ def tally(df: DataFrame, cases: dict[str, Column]) -> DataFrame:
 def storage(df: DataFrame, size: str) -> DataFrame:
     """files, total_mb (two digits)."""
     return df.agg(F.count("*").alias("files"), F.round(F.coalesce(F.sum(size), F.lit(0)) / 1048576.0, 2).alias("total_mb"))
+
+
+def opinions(df: DataFrame, key: str, sentiment: str, theme: str, likes: str, text: str, most: int = 3) -> DataFrame:
+    """key, comments, percentages of positive, negative and neutral ones (one digit), and the most liked theme and text of the first two.
+
+    Themes are added up before they are ranked, so a theme with many comments costs one row a task.
+    """
+    share = lambda s: F.round(F.count_if(F.col(sentiment) == s) * 100 / F.count("*"), 1)
+    shares = df.groupBy(key).agg(F.count("*").alias("comments"), *(share(s).alias(s) for s in ("positive", "negative", "neutral")))
+    best = F.max(F.struct(F.col(likes).alias("l"), F.col(text).alias("t")))
+    themes = df.filter(F.col(sentiment) != "neutral").groupBy(key, sentiment, theme).agg(best.alias("b"), F.count("*").alias("n"))
+    order = F.struct((-F.col("b.l")).alias("a"), (-F.col("n")).alias("n"), F.col(theme).alias("theme"), F.col("b.t").alias("quote"))
+    ranked = themes.groupBy(key).pivot(sentiment, ["positive", "negative"]).agg(F.slice(F.array_sort(F.collect_list(order)), 1, most))
+    named = lambda s: F.coalesce(F.transform(s, lambda x: F.concat(x["theme"], F.lit(": "), x["quote"])), F.array().cast("array<string>"))
+    return shares.join(ranked.select(key, named("positive").alias("supportive"), named("negative").alias("critical")), key, "left").na.fill(0)

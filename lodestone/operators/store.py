@@ -1,8 +1,7 @@
 """Mutations: appends, upserts by deterministic id, edges, folds and schema evolution.
 
 Plain Parquet has no MERGE, so an upsert unites old and new rows, keeps the last write of each id by a struct maximum
-(which is combined before the shuffle, so a hot id costs one row a task), and writes a new version folder.  Readers follow
-a pointer that is replaced last.
+(which is combined before the shuffle, so a hot id costs one row a task), and writes a new version folder.
 """
 
 from __future__ import annotations
@@ -105,7 +104,11 @@ def fold_appends(base: DataFrame, items: DataFrame, key: str, order: str, value:
 
 
 class CollectionStore:
-    """Versioned Parquet folders, one for each collection, and an edge table."""
+    """A folder for each collection, and one for edges.  One writer at a time.
+
+    A collection is its last version (v1, v2, ...) and what was appended to that (v2-a1, v2-a2, ...), each a Parquet folder
+    that counts once its marker is there.  Appends write new rows only; upserts, deletes and rebuilds write a new version.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -114,43 +117,78 @@ class CollectionStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _versions(self, name: str) -> list[int]:
+    def _parts(self, name: str) -> tuple[int, list[int]]:
+        """(last version or 0, numbers of what was appended to it)."""
         fs, p = self._path(f"{self.root}/{name}")
         if not fs.exists(p):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(v[1:]) for v in found if v.startswith("v") and fs.exists(self._path(f"{self.root}/{name}/{v}/_SUCCESS")[1]))
+            return 0, []
+        whole = [n for n in (s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(self._path(f"{self.root}/{name}/{n}/_SUCCESS")[1])]
+        found = [(int(v), int(a or 0)) for v, a in (n.removeprefix("v").split("-a") if "-a" in n else (n.removeprefix("v"), "") for n in whole)]
+        last = max((v for v, _ in found), default=0)
+        return last, sorted(a for v, a in found if v == last and a)
 
     def schema_of(self, name: str) -> T.StructType:
         return schema.struct(name) if name in schema.COLLECTIONS else T._parse_datatype_string(schema.EDGE_SCHEMA)
 
+    def _folders(self, name: str) -> list[str]:
+        last, appended = self._parts(name)
+        base = f"{self.root}/{name}/v{last}"
+        return [base] * (last > 0) + [f"{base}-a{n}" for n in appended]
+
     def read(self, name: str) -> DataFrame:
-        """The last version; properties that it lacks are null."""
-        versions, own = self._versions(name), self.schema_of(name)
-        if not versions:
-            return self.spark.createDataFrame([], own)
-        return self.spark.read.schema(own).parquet(f"{self.root}/{name}/v{versions[-1]}")
+        """All rows; properties that a file lacks are null."""
+        folders, own = self._folders(name), self.schema_of(name)
+        return self.spark.read.schema(own).parquet(*folders) if folders else self.spark.createDataFrame([], own)
+
+    def create(self, name: str) -> list[str]:
+        """Make the collection if it isn't there; the properties that what is there lacks, which are null from now on."""
+        folders = self._folders(name)
+        if not folders:
+            self._write(name, self.spark.createDataFrame([], self.schema_of(name)))
+            return []
+        have = self.spark.read.option("mergeSchema", True).parquet(*folders).columns
+        return [f for f in self.schema_of(name).fieldNames() if f not in have]
 
     def _write(self, name: str, df: DataFrame) -> None:
-        n = max(self._versions(name), default=0) + 1
-        df.select(*self.schema_of(name).fieldNames()).write.mode("overwrite").parquet(f"{self.root}/{name}/v{n}")
+        df.select(*self.schema_of(name).fieldNames()).write.mode("overwrite").parquet(f"{self.root}/{name}/v{self._parts(name)[0] + 1}")
 
     def _fit(self, name: str, df: DataFrame) -> DataFrame:
         own = self.schema_of(name)
         return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in own))
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Rows get random ids and, where they have none, the time of writing."""
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows get random ids and, where they have none, the time of writing; returns them as written.  Nothing else is touched."""
         own = self._fit(name, df)
         if name in schema.COLLECTIONS:
             own = own.withColumn("object_id", F.coalesce("object_id", F.uuid())).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-        self._write(name, self.read(name).unionByName(own))
-
-    def upsert(self, name: str, df: DataFrame, key: Column) -> None:
-        """Rows get the id of their ``key``; an empty key gets a random one.  The last row of an id in ``df`` counts."""
-        own = self._fit(name, df.withColumn("object_id", F.when(F.coalesce(key, F.lit("")) == "", F.uuid()).otherwise(uuid5(key))))
-        own = own.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())).withColumn("__n", F.monotonically_increasing_id())
-        self._write(name, upsert(self.read(name), last_write_wins(own, ["object_id"], ["__n"]).drop("__n")))
+        last, appended = self._parts(name)
+        if not last and not appended:
+            path = f"{self.root}/{name}/v1"
+        else:
+            path = f"{self.root}/{name}/v{last}-a{max(appended, default=0) + 1}"
+        own.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema_of(name)).parquet(path)
+
+    def ingest(self, name: str, df: DataFrame) -> DataFrame:
+        """``append`` of rows whose columns are all properties of the collection; raises with the allowed names and types."""
+        validate([dict.fromkeys(df.columns)], name)
+        return self.append(name, df)
+
+    def append_edges(self, edges: DataFrame) -> DataFrame:
+        """Concept edges: texts that are missing are empty, a missing type is related_to, a missing tool video_analyze."""
+        default = {"source_tool": "video_analyze", "relationship_type": "related_to"}
+        names = ("source_tool", "from_concept", "to_concept", "relationship_type", "source_url", "source_category")
+        given = lambda c: F.col(c).cast("string") if c in edges.columns else F.lit(None).cast("string")
+        return self.append("RelationshipEdges", edges.select(*(F.coalesce(given(c), F.lit(default.get(c, ""))).alias(c) for c in names)))
+
+    def upsert(self, name: str, df: DataFrame, key: Column, order: Column | None = None) -> None:
+        """Rows get the id of their ``key``; an empty key gets a random one.  Of rows with the same id the one with the largest
+        ``order`` counts; without one, the last as ``df`` comes, which only says something of a frame in a definite order."""
+        named = df.withColumn("object_id", F.when(F.coalesce(key, F.lit("")) == "", F.uuid()).otherwise(uuid5(key)))
+        named = named.withColumn("__n", F.struct((F.lit(0) if order is None else order).alias("o"), F.monotonically_increasing_id().alias("i")))
+        own = self._fit(name, last_write_wins(named, ["object_id"], ["__n"]))
+        own = own.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
+        self._write(name, upsert(self.read(name), own))
 
     def delete(self, name: str, ids: list[str]) -> int:
         old = self.read(name)
@@ -160,7 +198,9 @@ class CollectionStore:
         return gone
 
     def link(self, edges: DataFrame) -> None:
-        self._write("edges", self.read("edges").unionByName(self._fit("edges", edges)).distinct())
+        """Edges that aren't there yet are appended."""
+        own = self._fit("edges", edges).distinct()
+        self.append("edges", own.join(self.read("edges"), own.columns, "left_anti"))
 
     def export(self, name: str) -> DataFrame:
         """Every object with an array of ids for each reference of its collection."""

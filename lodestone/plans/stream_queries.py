@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestone.operators import annotate as a
@@ -15,36 +13,32 @@ from lodestone.streaming import machines as m
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _stream(spark, d, parts: int = 3):
-    """The events as files that arrive in time order."""
+def _stream(spark, d):
+    """The events as files that arrive in time order, a slice of them with each micro-batch."""
     scratch = Scratch(spark, "stream")
-    table(spark, d, "events").repartitionByRange(parts, "ts").write.parquet(scratch.path("in"))
+    m.write_slices(table(spark, d, "events"), "ts", scratch.path("in"))
     return m.read_events(spark, scratch.path("in"), EVENTS), scratch
 
 
-def _name():
-    return f"q{uuid.uuid4().hex[:10]}"
-
-
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def stream_latest_status(spark, d):
     """I8."""
     s, scratch = _stream(spark, d)
-    return m.run_to_table(m.latest_status(s), _name(), scratch.path("c"), "complete")
+    return m.run_updates(m.latest_status(s), scratch.path("out"), scratch.path("c"), ["user_id"])
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_type_counts(spark, d):
-    """Counts in complete mode."""
+    """Counts in update mode."""
     s, scratch = _stream(spark, d)
-    return m.run_to_table(s.groupBy("event_type").agg(F.count("*").alias("n")), _name(), scratch.path("c"), "complete")
+    return m.run_updates(s.groupBy("event_type").agg(F.count("*").alias("n")), scratch.path("out"), scratch.path("c"), ["event_type"])
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def stream_dedup(spark, d):
     """I10."""
     s, scratch = _stream(spark, d)
-    return m.run_to_table(m.single_flight(s, ["user_id", "event_type"], "400 days").select("user_id", "event_type", F.lit(1).cast("long").alias("n")), _name(), scratch.path("c"))
+    return m.run_to_parquet(m.single_flight(s, ["user_id", "event_type"], "400 days").select("user_id", "event_type", F.lit(1).cast("long").alias("n")), scratch.path("out"), scratch.path("c"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -53,31 +47,33 @@ r AS (SELECT user_id, event_id, us, i, us AS kept, true AS accepted FROM e WHERE
 SELECT user_id, event_id, accepted FROM r""")
 def stream_single_active(spark, d):
     """I5 with keyed state."""
-    s, scratch = _stream(spark, d, 1)
-    return m.run_to_table(m.single_active(s), _name(), scratch.path("c"))
+    s, scratch = _stream(spark, d)
+    return m.run_to_parquet(m.single_active(s), scratch.path("out"), scratch.path("c"))
 
 
 @query("SELECT conv_id, count(*) AS turn_count, list(text ORDER BY turn)[-4:] AS history FROM conversations GROUP BY 1")
 def stream_history(spark, d):
     """The last four texts of each session."""
     scratch = Scratch(spark, "stream")
-    table(spark, d, "conversations").coalesce(1).write.parquet(scratch.path("in"))
-    s = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(scratch.path("in"))
-    return m.run_to_table(m.last_turns(s, 4), _name(), scratch.path("c"), "update")
+    m.write_slices(table(spark, d, "conversations"), "turn", scratch.path("in"))
+    s = spark.readStream.schema("conv_id long, turn long, role string, text string").option("maxFilesPerTrigger", 4).parquet(scratch.path("in"))
+    return m.run_updates(m.last_turns(s, 4, ttl=None), scratch.path("out"), scratch.path("c"), ["conv_id"])
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(spark, d):
-    """Rows only, as sessions that are open at the end are not emitted."""
+    """Sessions that the watermark has passed; one that is open at the end is not emitted."""
     s, scratch = _stream(spark, d)
-    return m.run_to_table(m.session_counts(s), _name(), scratch.path("c"))
+    return m.run_to_parquet(m.session_counts(s), scratch.path("out"), scratch.path("c"))
 
 
-@query()
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
 def stream_daily_counts(spark, d):
     """Event-time windows: days that the watermark has passed."""
     s, scratch = _stream(spark, d)
-    return m.run_to_table(m.daily_counts(s), _name(), scratch.path("c"))
+    return m.run_to_parquet(m.daily_counts(s), scratch.path("out"), scratch.path("c"))
 
 
 def _inputs(spark, d):
@@ -109,5 +105,5 @@ def batch_success_tally(spark, d):
             raise ValueError("refused")
         return a.offline(rows)
 
-    out = a.annotate(_inputs(spark, d).withColumnRenamed("content_id", "key"), provider, 4)
+    out = a.annotate(_inputs(spark, d).withColumnRenamed("content_id", "key"), provider)
     return out.agg(F.count_if(F.col("error") == "").alias("succeeded"), F.count_if(F.col("error") != "").alias("failed"))

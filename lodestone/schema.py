@@ -57,6 +57,8 @@ RERANK_PROPERTY = {
 EVIDENCE_TIERS = ["CONFIRMED", "STRONG INDICATOR", "INFERENCE", "SPECULATION", "UNKNOWN"]
 RELATIONSHIP_TYPES = ["enables", "example_of", "builds_on", "contradicts", "related_to"]
 KNOWLEDGE_STATES = ["know", "fuzzy", "unknown"]
+#: Properties of a configuration that hold secrets.
+SECRETS = ["gemini_api_key", "youtube_api_key", "weaviate_api_key", "infra_admin_token"]
 
 EDGE_SCHEMA = "from_collection string, from_id string, ref_name string, to_collection string, to_id string"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import MIME_TYPES, duration_seconds, extension, format_seconds, mime_type
 from lodestone.operators.joins import label
@@ -106,6 +107,31 @@ def playlist_rows(responses: DataFrame, most: int = 50) -> DataFrame:
     return s.select("position", F.col("resourceId.videoId").alias("video_id"), "title").orderBy("position").limit(most)
 
 
+COMMENTS = "items array<struct<snippet struct<topLevelComment struct<snippet struct<textDisplay string, likeCount bigint, authorDisplayName string>>>>>"
+
+
+def comment_rows(responses: DataFrame, most: int = 200) -> DataFrame:
+    """n (from 0), text, likes, author of comment pages (page, body) in their order, at most ``most`` of a video."""
+    own = responses.select("page", F.posexplode(F.from_json("body", COMMENTS)["items"]).alias("at", "i"))
+    own = own.select("page", "at", "i.snippet.topLevelComment.snippet.*").orderBy("page", "at").limit(most)  # a few pages
+    n = (F.row_number().over(Window.orderBy("page", "at")) - 1).alias("n")
+    return own.select(n, F.coalesce("textDisplay", F.lit("")).alias("text"), F.coalesce("likeCount", F.lit(0)).alias("likes"), F.coalesce("authorDisplayName", F.lit("")).alias("author"))
+
+
+def entry_blocks(lines: DataFrame, kind: str) -> DataFrame:
+    """entry (from 1), name, value of the entries in a text file (n, line): 'yaml' lists of flat maps, or 'markdown' headings with bullets.
+
+    An entry begins at a dash (yaml) or a second-level heading (markdown, its text being the title); 'name: value' lines belong to
+    the entry before them.  A file is one object, so its lines are numbered in one window.
+    """
+    begins = "^- " if kind == "yaml" else "^## "
+    own = lines.withColumn("entry", F.sum(F.col("line").rlike(begins).cast("int")).over(Window.orderBy("n"))).filter("entry > 0")
+    titled = F.when(F.lit(kind == "markdown") & F.col("line").rlike(begins), F.concat(F.lit("title: "), F.regexp_replace("line", begins, ""))).otherwise(F.col("line"))
+    pattern = "^(?:- |\\s*)(?:[-*] )?([A-Za-z_][A-Za-z0-9_]*):\\s*(.*?)\\s*$"
+    own = own.select("entry", F.regexp_extract(titled, pattern, 1).alias("name"), F.regexp_extract(titled, pattern, 2).alias("value"))
+    return own.filter("name <> ''").withColumn("value", F.regexp_replace("value", "^([\"'])(.*)\\1$", "$2"))
+
+
 OUTPUTS = "array<struct<text string, content array<struct<type string, text string>>>>"
 
 
@@ -137,12 +163,14 @@ def project_list(status: DataFrame) -> DataFrame:
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file from the driver, by way of a temporary name and a rename."""
+    """Write a small file from the driver: whole under a temporary name, which then replaces the file in one step."""
     jvm = spark._jvm
     tmp, final = jvm.org.apache.hadoop.fs.Path(path + ".tmp"), jvm.org.apache.hadoop.fs.Path(path)
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(final, False)
-    fs.rename(tmp, final)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(final), replace)

@@ -16,8 +16,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestone.operators.state import accept
 
 
-def read_events(spark: SparkSession, folder: str, schema: str, files_each: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream with a time that watermarks accept."""
+def write_slices(df: DataFrame, order: str, folder: str, slices: int = 3, files: int = 4) -> None:
+    """Rows as a log that comes in slices of ``order``, one after another, each of at most ``files`` files."""
+    edges = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)]).alias("e")).first().e or []
+    place = sum(((F.col(order) > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    for i in range(len(edges) + 1):
+        df.filter(place == i).repartition(files).write.mode("append").parquet(folder)
+
+
+def read_events(spark: SparkSession, folder: str, schema: str, files_each: int = 4) -> DataFrame:
+    """Parquet files of a folder, the oldest first, as a stream with a time that watermarks accept."""
     own = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(folder)
     return own.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -71,26 +79,54 @@ def single_active(events: DataFrame, key: str = "user_id", seconds: int = 1800)
     return own.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, accepted boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def last_turns(turns: DataFrame, keep: int, key: str = "conv_id") -> DataFrame:
-    """key, turn_count, history: the last ``keep`` texts of each session, and how many there have been."""
+def last_turns(turns: DataFrame, keep: int, key: str = "conv_id", ttl: str | None = "7 days") -> DataFrame:
+    """key, turn_count, history: the last ``keep`` texts of each session, and how many there have been.
+
+    Turns of a session that come in one micro-batch are taken in their order.  A session that gets none for ``ttl`` is
+    forgotten.  That clock never stops, so a run over what there is, which should end, takes None.
+    """
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(frames)).sort_values("turn")
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, kept = state.get if state.exists else (0, [])
-        kept = [*kept, *own["text"].tolist()][-keep:]
-        state.update((n + len(own), kept))
-        yield pd.DataFrame({key: [k[0]], "turn_count": [n + len(own)], "history": [kept]})
+        own = sorted((turn, text) for f in frames for turn, text in zip(f["turn"], f["text"]))
+        n, kept = n + len(own), [*kept, *(text for _, text in own)][-keep:]
+        state.update((n, kept))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({key: [k[0]], "turn_count": [n], "history": [kept]})
 
-    return turns.select(key, "turn", "text").groupBy(key).applyInPandasWithState(step, f"{key} long, turn_count long, history array<string>", "n long, kept array<string>", "update", GroupStateTimeout.NoTimeout)
+    return turns.select(key, "turn", "text").groupBy(key).applyInPandasWithState(step, f"{key} long, turn_count long, history array<string>", "n long, kept array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run over what there is and return the rows of a memory table (tests and small results)."""
+    """Run over what there is and return the rows of a memory table, which the driver holds (for small results only)."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
 
-def run_to_parquet(stream: DataFrame, folder: str, checkpoint: str) -> None:
+def run_to_parquet(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Run over what there is into Parquet, exactly once by the sink's log."""
     stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
+def run_updates(stream: DataFrame, folder: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run over what there is in update mode; the last row of each key.
+
+    Each micro-batch writes the rows it has changed to a folder named by its number, so one that is tried again replaces
+    what it has written before.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *(F.col(f"last.{c}").alias(c) for c in rest))
