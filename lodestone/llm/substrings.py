@@ -12,10 +12,11 @@ length alone is extended to the next, until the full width is reached or no cand
 * The last level takes the full windows of the survivors.
 
 At each level the hashes travel once, packed, to the task that owns their share of the hash space, together
-with where they came from; what repeats comes back as positions by the rows' places in their files.  A hash is sent
-once by each task that has it, however often, so the windows of a passage that a third of all documents share do not
-pile up.  Texts are never shuffled: each level reads those that have survivors where they lie.  A task holds one share of
-the hashes at a time; there are as many shares as it takes for each to stand for about ``SHARE`` bytes of files.
+with where they came from; what repeats comes back, packed too, to buckets of rows, and there becomes one row of
+positions for each text, by its place in its file.  A hash is sent once by each task that has it, however often, so the
+windows of a passage that a third of all documents share do not pile up.  Texts are never shuffled: each level reads
+those that have survivors where they lie.  A task holds one share of the hashes, or one bucket, at a time; there are as
+many as it takes for each to stand for ``SHARE`` bytes of files at most, and equally many for each partition.
 
 Words are runs of [^\\x20\\x09-\\x0D], unchanged.  A null text has none.  Equal texts have equal results, as each
 counts as an occurrence of its own, and repeated rows do too.  Null ids are ids like any others.  An empty table gives
@@ -25,6 +26,8 @@ input, whatever their names.  Hashes have 64 bits at the levels that only select
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +38,7 @@ from lodestone.llm._rows import look_up, place, placed
 from lodestone.runtime import Scratch, shuffle_partitions
 
 WIDTH = 35
-#: Hashes that a task holds before it sends them.
+#: Hashes, or positions that are answered, that a task holds before it sends them.
 HELD = 1_500_000
 #: Bytes of input files for each share of the hashes, about.
 SHARE = 16 << 20
@@ -148,12 +151,43 @@ def anchors(words: Words, short: int, width: int) -> tuple[np.ndarray, np.ndarra
 # ---------------------------------------------------------------- what repeats, over all tasks
 
 
+def _by_text(parts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of parts (keys, which of them, places): all keys, and (which, place) of each pair once, in order."""
+    number: dict[bytes, int] = {}
+    doc, place = [], []
+    for keys, which, at in parts:
+        doc.append(np.array([number.setdefault(k, len(number)) for k in keys], np.int64)[which])
+        place.append(at)
+    doc, place = np.concatenate(doc), np.concatenate(place)
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    once = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
+    return list(number), doc[once], place[once]
+
+
+def _cuts(sorted_values: np.ndarray):
+    """(start, end) of each run of equals."""
+    at = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
+    return zip(at.tolist(), [*at[1:].tolist(), len(sorted_values)])
+
+
+def _bucketed(parts, buckets: int):
+    """Rows (bucket, doc, keys, place) of ``parts`` as in ``_by_text``: one for each bucket, whatever the number of texts."""
+    keys, doc, place = _by_text(parts)
+    bucket = np.array([zlib.crc32(k) % buckets for k in keys])[doc]
+    order = np.argsort(bucket, kind="stable")
+    bucket, doc, place = bucket[order], doc[order], place[order]
+    for a, z in _cuts(bucket):
+        docs, at = np.unique(doc[a:z], return_inverse=True)
+        yield int(bucket[a]), at.astype(np.int32).tobytes(), [keys[d] for d in docs], place[a:z].tobytes()
+
+
 def _requests(emit_rows, share: int):
     """A mapInArrow function that packs hashes for their owners.
 
     ``emit_rows(batch)``, or of a batch and what was looked up for it, yields (key, h1, h2 or None, place) for each text: a hash or two and a number for each window.
     Rows out: share, h1, h2, doc (which of keys), keys, place, with each hash once; and where the task itself saw hashes
-    repeat, a row for each text with its key and all such places, but no hashes.
+    repeat, rows without hashes that hold all such places, by their texts' buckets.
     """
 
     def send(keys, counts, h1, h2, place):
@@ -165,16 +199,15 @@ def _requests(emit_rows, share: int):
         if h2 is not None:
             same &= h2[order][1:] == h2[order][:-1]
         first = order[np.append(True, ~same)]
-        local = np.sort(order[np.append(False, same) | np.append(same, False)])
-        known: dict[bytes, list[np.ndarray]] = {}
-        for at in np.split(local, np.flatnonzero(np.diff(doc[local])) + 1) if len(local) else []:
-            known.setdefault(keys[doc[at[0]]], []).append(place[at])
-        out: list[tuple] = [(int.from_bytes(key[-4:], "big") % share, None, None, None, [key], np.unique(np.concatenate(p)).tobytes()) for key, p in known.items()]
+        local = order[np.append(False, same) | np.append(same, False)]
+        out: list[tuple] = []
+        if len(local):
+            docs, at = np.unique(doc[local], return_inverse=True)
+            out += [(b, None, None, *rest) for b, *rest in _bucketed([([keys[d] for d in docs], at, place[local])], share)]
         to = (h1[first] >> np.uint64(32)).astype(np.int64) % share
         by = np.lexsort((first, to))
         first, to = first[by], to[by]
-        cuts = np.flatnonzero(np.diff(to, prepend=-1))
-        for a, z in zip(cuts, [*cuts[1:], len(to)]):
+        for a, z in _cuts(to):
             own = first[a:z]
             docs, at = np.unique(doc[own], return_inverse=True)
             out.append((int(to[a]), h1[own].tobytes(), None if h2 is None else h2[own].tobytes(), at.astype(np.int32).tobytes(), [keys[d] for d in docs], place[own].tobytes()))
@@ -203,54 +236,87 @@ def _requests(emit_rows, share: int):
 REQUEST_NAMES = ["share", "h1", "h2", "doc", "keys", "place"]
 REQUEST_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
 REQUESTS = "share long, h1 binary, h2 binary, doc binary, keys array<binary>, place binary"
+ANSWER_NAMES, ANSWER_TYPES = ["bucket", *REQUEST_NAMES[3:]], [pa.int64(), *REQUEST_TYPES[3:]]
+ANSWERS = "bucket long, doc binary, keys array<binary>, place binary"
 
 
-def _answers(batches):
-    """Rows (place, places): where hashes of one share repeat.  Rows of a share come one after another."""
-    now, held = None, []
+def _part(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    return row["keys"], np.frombuffer(row["doc"], np.int32), np.frombuffer(row["place"], np.int32)
 
-    def out(keys, places):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.binary())], ["place", "places"])
-
-    def solve():
-        h1 = np.concatenate([np.frombuffer(r["h1"], np.uint64) for r in held])
-        h2 = np.concatenate([np.frombuffer(r["h2"], np.uint64) for r in held]) if held[0]["h2"] is not None else None
-        place = np.concatenate([np.frombuffer(r["place"], np.int32) for r in held])
-        number: dict[bytes, int] = {}
-        for r in held:
-            for key in r["keys"]:
-                number.setdefault(key, len(number))
-        keys = list(number)
-        doc = np.concatenate([np.array([number[k] for k in r["keys"]])[np.frombuffer(r["doc"], np.int32)] for r in held])
-        order = np.argsort(h1, kind="stable") if h2 is None else np.lexsort((h2, h1))
-        same = h1[order][1:] == h1[order][:-1]
-        if h2 is not None:
-            same &= h2[order][1:] == h2[order][:-1]
-        hit = np.zeros(len(h1), bool)
-        hit[order] = np.append(False, same) | np.append(same, False)
-        hit = np.flatnonzero(hit)
-        hit = hit[np.argsort(doc[hit], kind="stable")]
-        parts = np.split(hit, np.flatnonzero(np.diff(doc[hit])) + 1) if len(hit) else []
-        return out([keys[doc[p[0]]] for p in parts], [np.unique(place[p]).tobytes() for p in parts])
 
+def _grouped(batches, by: str):
+    """Lists of the rows that have the same ``by``; they come one after another."""
+    held: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
-            if r["h1"] is None:
-                yield out(r["keys"], [r["place"]])
-                continue
-            if r["share"] != now:
-                if held:
-                    yield solve()
-                now, held = r["share"], []
+            if held and r[by] != held[0][by]:
+                yield held
+                held = []
             held.append(r)
     if held:
-        yield solve()
+        yield held
+
+
+def _repeated(rows: list[dict]) -> tuple[list[bytes], np.ndarray, np.ndarray] | None:
+    """The windows of one share whose hashes repeat, as a part for ``_by_text``."""
+    h1 = np.concatenate([np.frombuffer(r["h1"], np.uint64) for r in rows])
+    h2 = np.concatenate([np.frombuffer(r["h2"], np.uint64) for r in rows]) if rows[0]["h2"] is not None else None
+    order = np.argsort(h1, kind="stable") if h2 is None else np.lexsort((h2, h1))
+    same = h1[order][1:] == h1[order][:-1]
+    if h2 is not None:
+        same &= h2[order][1:] == h2[order][:-1]
+    hit = order[np.append(False, same) | np.append(same, False)]
+    if not len(hit):
+        return None
+    keys: list[bytes] = []
+    doc, place = [], []
+    for own, which, at in map(_part, rows):
+        doc.append(which + len(keys))
+        place.append(at)
+        keys += own
+    docs, which = np.unique(np.concatenate(doc)[hit], return_inverse=True)
+    return [keys[d] for d in docs], which, np.concatenate(place)[hit]
+
+
+def _answers(share: int):
+    """A mapInArrow function: from requests, sorted by share, to packed places of what repeats, one row a bucket for ``HELD`` of them."""
+
+    def send(parts):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_bucketed(parts, share)), ANSWER_TYPES)], ANSWER_NAMES)
+
+    def run(batches):
+        parts, held = [], 0
+        for rows in _grouped(batches, "share"):
+            new = [_part(r) for r in rows if r["h1"] is None]
+            if rows := [r for r in rows if r["h1"] is not None]:
+                new += filter(None, [_repeated(rows)])
+            parts += new
+            held += sum(len(at) for _, _, at in new)
+            if held >= HELD:
+                yield send(parts)
+                parts, held = [], 0
+        if held:
+            yield send(parts)
+
+    return run
+
+
+def _texts(batches):
+    """One row (place, places) for each text of a bucket, from answers sorted by bucket."""
+    for rows in _grouped(batches, "bucket"):
+        keys, doc, place = _by_text(map(_part, rows))
+        found = [(keys[doc[a]], place[a:z].tobytes()) for a, z in _cuts(doc)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["place", "places"])
+
+
+def _repeats(asked: DataFrame, share: int) -> DataFrame:
+    """(place, places): packed int32 numbers of the windows of a row whose hashes repeat, in one row for each that has any."""
 
+    def dealt(df: DataFrame, by: str) -> DataFrame:
+        return df.repartitionById(shuffle_partitions(df.sparkSession), F.col(by).cast("int")).sortWithinPartitions(by)
 
-def _repeats(asked: DataFrame) -> DataFrame:
-    """(place, places): packed int32 numbers of the windows of a row whose hashes repeat, in one or more rows for each that has any."""
-    n = shuffle_partitions(asked.sparkSession)
-    return asked.repartition(n, "share").sortWithinPartitions("share").mapInArrow(_answers, "place binary, places binary")
+    answers = dealt(asked, "share").mapInArrow(_answers(share), ANSWERS)
+    return dealt(answers, "bucket").mapInArrow(_texts, "place binary, places binary")
 
 
 def _unpack(parts) -> np.ndarray:
@@ -275,7 +341,8 @@ def repeated_windows(df: DataFrame, text_col: str, width: int, scratch: Scratch)
     short = steps[0]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    share = max(4 * shuffle_partitions(df.sparkSession), size // SHARE)
+    n_part = shuffle_partitions(df.sparkSession)
+    share = n_part * max(1, -(-size // (n_part * SHARE)))  # a multiple, so that all partitions have equally many
 
     def level_1(b):
         for key, text in zip(b.column(1).to_pylist(), b.column(0)):
@@ -287,7 +354,7 @@ def repeated_windows(df: DataFrame, text_col: str, width: int, scratch: Scratch)
 
     asked = df.select(text, place(df).alias("place")).mapInArrow(_requests(level_1, share), REQUESTS)
     if len(steps) == 1:
-        return _repeats(asked)
+        return _repeats(asked, share)
     half = steps[-2]
 
     def rows_of(pair):
@@ -315,8 +382,8 @@ def repeated_windows(df: DataFrame, text_col: str, width: int, scratch: Scratch)
             yield key, words.hashes(first, width), words.hashes(first, width, 2), first
 
     for k, extend in enumerate([level_2, last][3 - len(steps) :]):
-        asked = look_up(df, _repeats(asked), scratch, f"level_{k + 1}", _requests(extend, share), REQUESTS, text)
-    return _repeats(asked)
+        asked = look_up(df, _repeats(asked, share), scratch, f"level_{k + 1}", _requests(extend, share), REQUESTS, text)
+    return _repeats(asked, share)
 
 
 def _cut(text: bytes, parts: list[bytes] | None, width: int) -> tuple[int, int, bytes]:

@@ -7,12 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import packing, simhash, substrings
 from lodestone.llm.exact_dedup import exact_dedup, exact_groups
+from lodestone.runtime import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,7 +123,6 @@ def test_simhash(docs):
 @pytest.mark.parametrize("block", [2, 64, 1024])
 def test_links_of_hot_keys(spark, monkeypatch, block):
     from lodestone.llm.components import components
-    from lodestone.runtime import Scratch
 
     monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(block)
@@ -173,6 +174,28 @@ def test_substrings(docs, width):
     assert Counter(pairs(substrings.repeat_report(docs, width=width), "doc_id", "n_words", "n_removed", "kept_text")) == want
 
 
+def test_substrings_one_row_a_text(spark, docs):
+    """What repeats comes back as one row for each text, however many shares its windows fall in; a passage that all share is found in all."""
+    passage = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(i, f"own{i} {passage} end{i}") for i in range(200)], "doc_id long, text string").repartition(4)
+    scratch = Scratch(spark, "one_row")
+    got = substrings.repeated_windows(substrings.placed(df, scratch), "text", 35, scratch).collect()
+    assert len(got) == len({bytes(r.place) for r in got}) == 200
+    assert {len(np.frombuffer(r.places, np.int32)) for r in got} == {266}
+
+
+def test_substrings_answers_in_small_sends(monkeypatch):
+    monkeypatch.setattr(substrings, "HELD", 5)
+    h, doc = np.repeat(np.arange(40, dtype=np.uint64), 2), np.tile([0, 1], 40).astype(np.int32)
+    rows = [{"share": int(k), "h1": h[h % 4 == k].tobytes(), "h2": None, "doc": doc[h % 4 == k].tobytes(), "keys": [b"a", b"b"], "place": h[h % 4 == k].astype(np.int32).tobytes()} for k in range(4)]
+    rows.append({"share": 3, "h1": None, "h2": None, "doc": np.zeros(1, np.int32).tobytes(), "keys": [b"c"], "place": np.full(1, 7, np.int32).tobytes()})
+    sent = list(substrings._answers(4)([pa.RecordBatch.from_pylist(rows)]))
+    assert len(sent) == 4
+    answers = sorted((r for b in sent for r in b.to_pylist()), key=lambda r: r["bucket"])
+    texts = [r for b in substrings._texts([pa.RecordBatch.from_pylist(answers)]) for r in b.to_pylist()]
+    assert {r["place"]: np.frombuffer(r["places"], np.int32).tolist() for r in texts} == {b"a": list(range(40)), b"b": list(range(40)), b"c": [7]} and len(texts) == 3
+
+
 def test_substrings_cut_keeps_columns_and_clean_texts(docs):
     cut = substrings.drop_repeats(docs)
     assert cut.columns == docs.columns
