@@ -52,7 +52,11 @@ def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> np.nd
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     """A bit is set if it is set in over half of the shingles' hashes."""
-    h = shingle_hashes(text, width, seed)
+    return majority(shingle_hashes(text, width, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; no hashes: zero."""
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)
@@ -112,11 +116,8 @@ def sliced_within(plane, size: int, radius: int, start: np.ndarray | None = None
     return out
 
 
-def forest(values: np.ndarray, cut: int | None, radius: int) -> list[tuple[int, int]]:
-    """Pairs of positions that span the links among ``values``, or with ``cut`` those between values[:cut] and values[cut:]."""
-    n = len(values)
-    left, right = (values, values) if cut is None else (values[:cut], values[cut:])
-    shift = 0 if cut is None else cut
+def within(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """[left, words]: a bit for each of ``right``, 64 to a word, that differs from a value of ``left`` in at most ``radius`` bits."""
     planes = planes_of(right)
     width = planes.shape[1]
     flips = np.where(np.unpackbits(left.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool), ALL, np.uint64(0))
@@ -124,7 +125,15 @@ def forest(values: np.ndarray, cut: int | None, radius: int) -> list[tuple[int,
     if len(right) % 64:
         spare[-1] = ALL << np.uint64(len(right) % 64)
     found = sliced_within(lambda p, active: planes[p, active % width] ^ flips[active // width, p], len(left) * width, radius, np.tile(spare, len(left)))
-    found = found.reshape(len(left), width)
+    return found.reshape(len(left), width)
+
+
+def forest(values: np.ndarray, cut: int | None, radius: int) -> list[tuple[int, int]]:
+    """Pairs of positions that span the links among ``values``, or with ``cut`` those between values[:cut] and values[cut:]."""
+    n = len(values)
+    left, right = (values, values) if cut is None else (values[:cut], values[cut:])
+    shift = 0 if cut is None else cut
+    found = within(left, right, radius)
     label = np.arange(n)
     edges = []
     for i in np.flatnonzero(found.any(axis=1)):

@@ -10,7 +10,7 @@ from test_pipeline import check_packing, texts
 
 import corpus_pipeline
 from lodestone.llm import near
-from lodestone.llm.simhash import simhash_dedup
+from lodestone.llm.simhash import majority, simhash_dedup, within
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -93,6 +93,28 @@ def test_forest(cut):
     assert same(reach) == same(want)
 
 
+@pytest.mark.parametrize("cut", [None, 70])
+@pytest.mark.parametrize("radius", [0, 2, 29, 31, 63])
+def test_bit_slices(cut, radius):
+    r = np.random.default_rng(radius)
+    prints = r.integers(0, 1 << 63, 150, np.uint64) * np.uint64(2)
+    prints[::3] ^= np.uint64(5)
+    left, right = prints[:cut], prints[cut or 0 :]
+    got = np.unpackbits(within(left, right, radius).view(np.uint8), axis=1, bitorder="little")
+    assert got[:, : len(right)].tolist() == [[int(x ^ y).bit_count() <= radius for y in right.tolist()] for x in left.tolist()]
+    assert not got[:, len(right) :].any()
+
+
+def test_radius_at_the_threshold():
+    radius, r = near.wide_radius(Fraction("0.8")), np.random.default_rng(5)
+    assert near.wide_radius(Fraction(1)) == 0 and radius < 30
+    for shared, left, right in [(4, 1, 0), (8, 2, 0), (8, 1, 1), (40, 5, 5), (400, 100, 0)]:
+        h = r.integers(0, 1 << 63, (2000, shared + left + right), np.uint64) * np.uint64(2) + r.integers(0, 2, (2000, shared + left + right), np.uint64)
+        bits = [majority(x[: shared + left]) ^ majority(np.append(x[:shared], x[shared + left :])) for x in h]
+        assert max(x.bit_count() for x in bits) <= radius
+        assert abs(np.mean([x.bit_count() for x in bits]) / 64 - near.bit_odds(shared, left, right)) < 0.01
+
+
 def test_whole_pipeline(spark, sf_dir):
     now = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, f in corpus_pipeline.STAGES[:2]:
