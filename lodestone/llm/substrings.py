@@ -21,12 +21,14 @@ many as it takes for each to stand for ``SHARE`` bytes of files at most, and equ
 Words are runs of [^\\x20\\x09-\\x0D], unchanged.  A null text has none.  Equal texts have equal results, as each
 counts as an occurrence of its own, and repeated rows do too.  Null ids are ids like any others.  An empty table gives
 an empty result.  Only ``id_col`` and ``text_col`` are read, except that ``drop_repeats`` returns all columns of its
-input, whatever their names.  Hashes have 64 bits at the levels that only select candidates, and 128 at the last.
+input, whatever their names.  The levels that only select candidates use a rolling hash of 64 bits, which some texts can
+make collide; what two texts share is decided at the last level, by 128 bits of BLAKE2b over each window's words.
 """
 
 from __future__ import annotations
 
 import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,8 @@ class Lane:
     """A polynomial hash over the bytes of words joined by single spaces: any window's hash from two prefix sums.
 
     Bytes stand for random 64-bit numbers, sums are modulo 2**64, and the base is odd, so that its powers have inverses.
+    Equal windows have equal hashes; that unequal ones differ is likely, but not for words such as a Thue-Morse run and its
+    complement, so this hash may choose candidates only.
     """
 
     def __init__(self, seed: int):
@@ -91,13 +95,7 @@ class Lane:
         return _mix((sums[ends] - sums[starts]) * self.inverses[starts])
 
 
-_lanes: dict[int, Lane] = {}
-
-
-def lane(seed: int) -> Lane:
-    if seed not in _lanes:
-        _lanes[seed] = Lane(seed)
-    return _lanes[seed]
+LANE = Lane(1)
 
 
 class Words:
@@ -106,18 +104,25 @@ class Words:
     def __init__(self, text: bytes):
         self.list = text.split()
         self.n = len(self.list)
-        self.data = np.frombuffer(b" ".join(self.list), np.uint8)
+        self.joined = b" ".join(self.list)
+        self.data = np.frombuffer(self.joined, np.uint8)
         gaps = np.flatnonzero(self.data == 32)
         self.starts = np.concatenate([[0], gaps + 1]) if self.n else gaps
         self.ends = np.append(gaps, len(self.data)) if self.n else gaps
-        self._sums: dict[int, np.ndarray] = {}
+        self._sums: np.ndarray | None = None
 
-    def hashes(self, first: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
+    def hashes(self, first: np.ndarray, width: int) -> np.ndarray:
         """Of the windows of ``width`` words that begin at the words ``first``."""
-        own = lane(seed)
-        if seed not in self._sums:
-            self._sums[seed] = own.sums(self.data)
-        return own.windows(self._sums[seed], self.starts[first], self.ends[first + width - 1])
+        if self._sums is None:
+            self._sums = LANE.sums(self.data)
+        return LANE.windows(self._sums, self.starts[first], self.ends[first + width - 1])
+
+    def digests(self, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each such window's bytes, as two numbers."""
+        data = self.joined
+        both = b"".join(blake2b(data[a:z], digest_size=16).digest() for a, z in zip(self.starts[first].tolist(), self.ends[first + width - 1].tolist()))
+        both = np.frombuffer(both, np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -350,7 +355,7 @@ def repeated_windows(df: DataFrame, text_col: str, width: int, scratch: Scratch)
             if words.n >= width:
                 where, h = anchors(words, short, width)
                 at = np.unique(where)
-                yield key, h[at], None, at
+                yield key, *(words.digests(at, width) if short == width else (h[at], None)), at
 
     asked = df.select(text, place(df).alias("place")).mapInArrow(_requests(level_1, share), REQUESTS)
     if len(steps) == 1:
@@ -379,7 +384,7 @@ def repeated_windows(df: DataFrame, text_col: str, width: int, scratch: Scratch)
             else:
                 live = np.isin(np.where(ahead + half <= width, 2 * where + 1, 2 * where), at)
             first = np.flatnonzero(live)
-            yield key, words.hashes(first, width), words.hashes(first, width, 2), first
+            yield key, *words.digests(first, width), first
 
     for k, extend in enumerate([level_2, last][3 - len(steps) :]):
         asked = look_up(df, _repeats(asked, share), scratch, f"level_{k + 1}", _requests(extend, share), REQUESTS, text)

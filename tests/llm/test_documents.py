@@ -317,3 +317,22 @@ def test_pack_comes_back_to_what_it_passed_over():
         assert packing.optimal(found, capacity) == (sum(found.values()) == packing.lower_bound(counts, capacity))
         proven += packing.optimal(found, capacity)
     assert proven >= 145
+
+
+def thue_morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("a, b", ["ab", "xq"])
+@pytest.mark.parametrize("width", [1, 3, 35])
+def test_words_made_to_collide(spark, width, a, b):
+    """A Thue-Morse run and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    rows = []
+    for i, odd in enumerate((thue_morse(2048, a, b), thue_morse(2048, b, a))):
+        rows.append((i, " ".join([*(f"w{k}" for k in range(width // 2)), odd, *(f"x{k}" for k in range(width // 2))])))
+    df = spark.createDataFrame([*rows, (2, rows[0][1])], "doc_id long, text string")
+    got = sorted(pairs(substrings.repeat_report(df.filter("doc_id < 2"), width=width), "doc_id", "n_removed"))
+    want = [(0, 0), (1, 0)] if width > 1 else [(i, g) for (i, _), (_, g, _) in zip(rows, slow_repeats([t for _, t in rows], 1))]
+    assert got == want
+    assert sorted(pairs(substrings.repeat_report(df, width=width), "doc_id", "n_removed"))[1] == (1, 0)
+    assert sorted(pairs(substrings.drop_repeats(df.filter("doc_id < 2"), width=width), "doc_id", "text")) == rows
