@@ -306,6 +306,8 @@ class WordTokenizer:
 
     Where the file marks the ends of words in its vocabulary and splits letters from signs, words of letters are
     tokenized as one text and told apart by those marks, and a word with signs behind it as its letters and its signs.
+    Some letters end in a combining mark once they are normalized, which then belongs to the signs; so whether signs may be
+    split off after a letter is what the tokenizer itself says of that letter.
     """
 
     LIMIT = 400_000
@@ -326,6 +328,14 @@ class WordTokenizer:
             for token, i in self.tokenizer.get_vocab().items():
                 self.ends[i] = token.endswith(suffix)
         self.known: dict[str, bytes] = {}
+        self.apart: dict[str, bool] = {}
+
+    def splits(self, letter: str) -> bool:
+        """Whether signs behind this letter are tokenized apart from it."""
+        if letter not in self.apart:
+            both, one, sign = self.each([f"{letter}.", letter, "."])
+            self.apart[letter] = both == one + sign
+        return self.apart[letter]
 
     def each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -350,7 +360,8 @@ class WordTokenizer:
         for w in words:
             x = w.lower() if w.isascii() else w
             stem = x.rstrip(",.!?;:%*$&#")
-            parts.append((stem, x[len(stem) :]) if stem.isalpha() else (x if x.isascii() else w, ""))
+            apart = stem.isalpha() and (len(stem) == len(x) or stem[-1] < "\x80" or self.splits(stem[-1]))
+            parts.append((stem, x[len(stem) :]) if apart else (x, ""))
         letters = {a for a, _ in parts if a.isalpha() and a not in known}
         others = {t for p in parts for t in p if t and not t.isalpha() and t not in known}
         letters = list(letters)
