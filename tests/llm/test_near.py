@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from test_documents import slow_repeats
-from test_pipeline import check_packing, texts
+from test_pipeline import check_packing, similar, slow_kept, texts
 
 import corpus_pipeline
 from lodestone.llm import near
@@ -15,31 +15,6 @@ from lodestone.llm.simhash import majority, simhash_dedup, within
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def grams(t):
-    words = (t or "").lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def similar(a, b):
-    return a == b or len(a & b) * 5 >= len(a | b) * 4
-
-
-def slow_kept(rows):
-    """Smallest id of each component, by all pairs."""
-    sets, label = [grams(t) for _, t in rows], list(range(len(rows)))
-    links = 0
-    for i in range(len(rows)):
-        for j in range(i):
-            if similar(sets[i], sets[j]):
-                links += 1
-                old, new = label[i], label[j]
-                label = [new if x == old else x for x in label]
-    least = {}
-    for (i, _), x in zip(rows, label):
-        least[x] = min(least.get(x, i), i)
-    return sorted(least.values()), links
-
-
 def planted(seed=1):
     """Texts and copies with 1 to 12 words changed, short and empty ones, and one group that a block can't hold."""
     r = random.Random(seed)
