@@ -408,35 +408,51 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity:
     return own.mapInArrow(run, schema)
 
 
+class Ranks:
+    """Of pieces with columns length, task and rank, as written to the shared folder: how many have each length, and ranks among all of a length."""
+
+    def __init__(self, cut: DataFrame, scratch: Scratch):
+        self.cut, self.scratch = cut, scratch
+        self.by_task = scratch.keep(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "by_task")
+        self.counts = {r.length: r.n for r in self.by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+
+    def look_up(self, run, schema: T.StructType, *columns: str) -> DataFrame:
+        """What ``run`` makes of the pieces and their tasks' bases, see ``_rows.look_up``."""
+        before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+        bases = self.by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        key = F.unhex(F.lpad(F.hex("task"), 16, "0"))
+        bases = bases.groupBy("task").agg(F.collect_list("length").alias("lengths"), F.collect_list("base").alias("bases")).select(key.alias("place"), "lengths", "bases")
+        return look_up(self.cut, bases, self.scratch, "bases", run, schema, *columns, key=key)
+
+
+def whole_ranks(rank: pa.Array, length: pa.Array, found, capacity: int) -> np.ndarray:
+    """Ranks among all pieces, from ranks within tasks and the tasks' bases that were found for them."""
+    rank, length = rank.to_numpy(zero_copy_only=False).copy(), length.to_numpy(zero_copy_only=False)
+    for part, rows, at in found:
+        for j in np.unique(at):
+            own = rows[at == j]
+            base = np.zeros(capacity + 1, np.int64)
+            base[part.column("lengths")[int(j)].as_py()] = part.column("bases")[int(j)].as_py()
+            rank[own] += base[length[own]]
+    return rank
+
+
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, max_nodes: int = MAX_NODES) -> DataFrame:
     """One row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset, optimal."""
     spark = df.sparkSession
     scratch = Scratch(spark, "packing")
     cut = scratch.keep(pieces(df, tokenizer, id_col, text_col, capacity, end_id), "pieces")
-    by_task = scratch.keep(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "by_task")
-    counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    patterns = pack(counts, capacity, max_nodes)
+    ranks = Ranks(cut, scratch)
+    patterns = pack(ranks.counts, capacity, max_nodes)
     plan, proven = spark.sparkContext.broadcast(Plan(patterns)), optimal(patterns, capacity)
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    bases = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    key = F.unhex(F.lpad(F.hex("task"), 16, "0"))
-    bases = bases.groupBy("task").agg(F.collect_list("length").alias("lengths"), F.collect_list("base").alias("bases")).select(key.alias("place"), "lengths", "bases")
     schema = T.StructType([*cut.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("optimal", T.BooleanType())])
 
     def place(pairs):
         for b, found in pairs:
-            length, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
-            rank = rank.copy()
-            for part, rows, at in found:
-                for j in np.unique(at):
-                    own = rows[at == j]
-                    base = np.zeros(capacity + 1, np.int64)
-                    base[part.column("lengths")[int(j)].as_py()] = part.column("bases")[int(j)].as_py()
-                    rank[own] += base[length[own]]
-            bins, offsets = plan.value.place(length, rank)
+            bins, offsets = plan.value.place(b.column(3).to_numpy(zero_copy_only=False), whole_ranks(b.column(5), b.column(3), found, capacity))
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(bins), pa.array(offsets), pa.array(np.full(b.num_rows, proven))], schema.names)
 
-    return look_up(cut, bases, scratch, "bases", place, schema, "id", "piece", "start", "length", "ids_crc32", "rank", key=key).withColumnRenamed("id", id_col)
+    return ranks.look_up(place, schema, "id", "piece", "start", "length", "ids_crc32", "rank").withColumnRenamed("id", id_col)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
