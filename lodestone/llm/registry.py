@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from lodestone.llm import bestfit, exact_dedup, packing, pieces, simhash, substrings, token_counts, topk, toxicity, urls, warc
+from lodestone.llm import bestfit, exact_dedup, importance, packing, pieces, simhash, substrings, token_counts, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_substrings": substrings.op10_substrings,
     "op12_best_fit": bestfit.op12_best_fit,
+    "op13_importance": importance.op13_importance,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_url_filters": urls.SQL,
     "op10_substrings": substrings.SQL,
+    "op13_importance": importance.SQL,
 }
