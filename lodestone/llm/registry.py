@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from lodestone.llm import bestfit, exact_dedup, importance, packing, pieces, simhash, substrings, token_counts, topk, toxicity, urls, warc
+from lodestone.llm import alignment, bestfit, exact_dedup, importance, packing, pieces, simhash, substrings, token_counts, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_packing": packing.op9_packing,
     "op10_substrings": substrings.op10_substrings,
+    "op11_alignment": alignment.op11_alignment,
     "op12_best_fit": bestfit.op12_best_fit,
     "op13_importance": importance.op13_importance,
 }
