@@ -6,8 +6,8 @@ distinct segments of about ``BATCH`` bytes of texts and tokenize each of them on
 
 * ``posexplode`` makes a row of each token, and a window over a segment sums up byte lengths to where each token ends.
 * An equi-join on segment and end finds where tokens of both sides end: the cuts.
-* The number of cuts before a token, a running count, is the number of its group within the segment.
-* Groups of both sides are joined by that number; all pairs of a group are its links.
+* The running count of cuts is a group's number within the segment; its tokens are those behind the cut before.
+* The segments are joined with their cuts, and the tokens of each group's two ranges give its links.
 
 Then each batch's documents meet their segments: a document's numbers are sums over its segments, its groups their groups
 in order, its pairs the union of theirs.  Distinct pairs of a document are counted within batches and added up over all, and
@@ -23,12 +23,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -41,10 +43,13 @@ from lodestone.runtime import Scratch, shuffle_partitions
 
 #: Bytes of texts in a batch, about; segments that are tokenized as one text.
 BATCH, JOINED = 32 << 20, 512
+#: White space.
+SPACES = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: Texts that hold a space behind white space, or a NUL, are cut by a pattern; others wherever there is a space.
-ODD = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] |\\x{0}"
+ODD = f"[{SPACES}] |\\x{{0}}"
 CUT = re.compile(r"(?<=\S)(?= )")
-SIMPLE = re.compile(rf" [^\s{MARK}]+")
+#: A segment whose only space is at its start and that ends in no white space: in a run of them, a token that starts with a space starts a segment.
+PLAIN = f"^ [^ {MARK}]*[^{MARK}{SPACES}]$"
 
 
 def segments(texts: pa.Array) -> pa.ListArray:
@@ -75,29 +80,38 @@ class Side:
         self.length = np.array([len(x) for x in surface], np.int32)
         self.first = np.array([x[:1] == b" " for x in surface])
 
-    def encode(self, own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, own: list[str], simple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all segments one after another, how many each has, whether each is given back by its bytes)."""
-        ids: list[np.ndarray] = []
         size, good = np.zeros(len(own), np.int64), np.ones(len(own), bool)
-        simple = np.array([bool(SIMPLE.fullmatch(s)) for s in own], bool)
-        at = 0
-        while at < len(own):
-            end = at + 1
-            while simple[at] and end < len(own) and simple[end] and end - at < JOINED:
-                end += 1
-            text = "".join(own[at:end])
-            new = self.joined(text) if simple[at] else self.single(text)
-            cuts = np.flatnonzero(self.first[new]) if simple[at] else np.zeros(1, np.int64)
-            if len(cuts) == end - at and b"".join([self.surface[i] for i in new]) == text.encode():
+        ids, order = [], []
+
+        def alone(k: int) -> None:
+            new = self.single(own[k])
+            ids.append(new)
+            order.append([k])
+            size[k], good[k] = len(new), b"".join([self.surface[i] for i in new]) == own[k].encode()
+
+        rows = np.flatnonzero(simple)
+        for at in range(0, len(rows), JOINED):
+            some = rows[at : at + JOINED]
+            text = "".join([own[k] for k in some.tolist()])
+            new = self.joined(text)
+            cuts = np.flatnonzero(self.first[new])
+            if len(cuts) == len(some) and b"".join([self.surface[i] for i in new.tolist()]) == text.encode():
                 ids.append(new)
-                size[at:end] = np.diff(cuts, append=len(new))
+                order.append(some)
+                size[some] = np.diff(cuts, append=len(new))
             else:
-                for k in range(at, end):
-                    new = self.single(own[k])
-                    ids.append(new)
-                    size[k], good[k] = len(new), b"".join([self.surface[i] for i in new]) == own[k].encode()
-            at = end
-        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), size, good
+                for k in some.tolist():
+                    alone(k)
+        for k in np.flatnonzero(~simple).tolist():
+            alone(k)
+        if not ids:
+            return np.zeros(0, np.uint32), size, good
+        ids, order = np.concatenate(ids), np.concatenate(order).astype(np.int64)
+        starts = np.zeros(len(own), np.int64)
+        starts[order] = np.cumsum(size[order]) - size[order]
+        return ids[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(ids))], size, good
 
 
 _sides: dict[tuple[str, str], tuple[Side, Side]] = {}
@@ -130,115 +144,112 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-TOKENS = T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.IntegerType())]))
-
-
 def cut_texts(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
-    """batch, seg, a, b: tokens (id, n bytes) of each segment of a batch; and for its documents rows without seg: ids, sizes, segs.
+    """slot, batch, seg, a, a_bytes, b, b_bytes: ids and lengths of the tokens of each segment of a batch; and for its documents a row without seg: ids, sizes, segs.
 
-    sizes and segs are packed: how many segments each document has, and their numbers one after another.
+    sizes and segs are packed: how many segments each document has, and their numbers one after another.  slot numbers the batches, so that they can be dealt out evenly.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids_type = pa.list_(_arrow(own, "id"))
-    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("seg", T.IntegerType()), T.StructField("a", TOKENS), T.StructField("b", TOKENS), T.StructField("ids", T.ArrayType(own.schema["id"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("segs", T.BinaryType())])
+    ids_type, ints = pa.list_(_arrow(own, "id")), pa.list_(pa.int32())
+    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("seg", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("a", "a_bytes", "b", "b_bytes")), T.StructField("ids", T.ArrayType(own.schema["id"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("segs", T.BinaryType())])
 
     def run(batches):
         both = sides(a_path, b_path)
         task, number = TaskContext.get().partitionId(), 0
-        known: dict[str, int] = {}
-        bad: set[int] = set()
         held: list[tuple] = []
         size = 0
 
-        def learn(new: list[str]):
-            """Rows of segments that the batch hasn't met before."""
-            first = len(known) - len(new)
-            lists = []
-            good = np.ones(len(new), bool)
+        def send():
+            nonlocal held, size, number
+            batch, slot = number << 32 | task, task + 7919 * number
+            words = pa.chunked_array([h[2] for h in held], pa.string()).dictionary_encode().combine_chunks()
+            segs = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            known = words.dictionary.to_pylist()
+            simple = pc.match_substring_regex(words.dictionary, PLAIN).to_numpy(zero_copy_only=False)
+            ids, sizes = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            good, lists = np.ones(len(known), bool), []
             for side in both:
-                ids, n, right = side.encode(new)
+                tokens, n, right = side.encode(known, simple)
                 good &= right
-                tokens = pa.StructArray.from_arrays([pa.array(ids.astype(np.int32)), pa.array(side.length[ids])], ["id", "n"])
-                lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), tokens))
-            bad.update((first + np.flatnonzero(~good)).tolist())
+                offsets = pa.array(np.cumsum([0, *n]).astype(np.int32))
+                lists += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (tokens.astype(np.int32), side.length[tokens])]
             rows = np.flatnonzero(good)
-            k = len(rows)
-            none = [pa.nulls(k, t) for t in (ids_type, pa.binary(), pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(k, number << 32 | task)), pa.array((first + rows).astype(np.int32)), *(x.take(pa.array(rows)) for x in lists), *none], schema.names)
-
-        def documents():
-            nonlocal held, size, number
-            ids = pa.concat_arrays([h[0] for h in held])
-            sizes, segs = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-            if bad:  # a document with such a segment has no tokens
+            for at in range(0, len(rows), 20_000):
+                some = rows[at : at + 20_000]
+                k = len(some)
+                none = [pa.nulls(k, t) for t in (ids_type, pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, slot, np.int32)), pa.array(np.full(k, batch)), pa.array(some.astype(np.int32)), *(x.take(pa.array(some)) for x in lists), *none], schema.names)
+            if not good.all():  # a document with such a segment has no tokens
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 out = np.zeros(len(sizes), bool)
-                out[doc[np.isin(segs, np.fromiter(bad, np.int64, len(bad)))]] = True
+                out[doc[~good[segs]]] = True
                 segs, sizes = segs[~out[doc]], np.where(out, 0, sizes)
-            tokens = lambda f: pa.nulls(1, f)
-            kind = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int32())]))
-            row = pa.RecordBatch.from_arrays([pa.array([number << 32 | task]), pa.nulls(1, pa.int32()), tokens(kind), tokens(kind), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(ids_type), pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([segs.astype("<i4").tobytes()], pa.binary())], schema.names)
+            packed = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (sizes, segs)]
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([batch]), pa.nulls(1, pa.int32()), *[pa.nulls(1, ints)] * 4, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(ids_type), *packed], schema.names)
             held, size, number = [], 0, number + 1
-            known.clear()
-            bad.clear()
-            return row
 
         for b in batches:
             at = 0
             for part in parts(b.column(1)):
                 lists = segments(part)
-                words = lists.flatten().dictionary_encode()
-                new: list[str] = []
-                codes = np.zeros(len(words.dictionary), np.int64)
-                for i, w in enumerate(words.dictionary.to_pylist()):
-                    k = known.get(w)
-                    if k is None:
-                        k = known[w] = len(known)
-                        new.append(w)
-                    codes[i] = k
-                if new:
-                    yield learn(new)
-                segs = codes[words.indices.to_numpy(zero_copy_only=False)] if len(words) else codes
-                held.append((b.column(0).slice(at, len(part)), pc.list_value_length(lists).to_numpy(zero_copy_only=False), segs))
+                held.append((b.column(0).slice(at, len(part)), pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()))
                 at += len(part)
                 size += pc.sum(pc.binary_length(part)).as_py() or 0
                 if size >= BATCH:
-                    yield documents()
+                    yield from send()
         if held:
-            yield documents()
+            yield from send()
 
     return own.mapInArrow(run, schema)
 
 
 def by_batch(df: DataFrame, n_part: int) -> DataFrame:
-    """Batches dealt out evenly; what is keyed by batch and more needs no further shuffle."""
-    return df.repartition(n_part, "batch")
+    """Batches dealt out evenly."""
+    return df.repartitionById(n_part, F.col("slot"))
+
+
+@contextmanager
+def in_place(spark: SparkSession) -> Iterator[None]:
+    """While it holds, joins keyed by batch and more take a partitioning by batch as it is, and sorted rows are aggregated as they come; by default Spark would deal both sides anew by all keys, and sort again."""
+    names = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def aligned(cut: DataFrame, n_part: int) -> DataFrame:
-    """batch, seg, n_a, n_b, n_groups, pairs (an array of a << 32 | b, one for each link), groups (as text)."""
-    segs = by_batch(cut.filter("seg IS NOT NULL").select("batch", "seg", "a", "b"), n_part)
-    key = ["batch", "seg"]
-
-    def tokens(side: str) -> DataFrame:
-        rows = segs.select(*key, F.posexplode(side).alias("pos", "t")).select(*key, "pos", F.col("t.id").alias("id"), F.col("t.n").alias("n"))
-        ends = F.sum("n").over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-        return rows.select(*key, "id", ends.alias("end"))
-
-    def groups(side: str, other: str) -> DataFrame:
-        """Each group's tokens in order."""
-        cuts = tokens(other).select(*key, "end", F.lit(1).alias("cut"))
-        before = F.sum("cut").over(Window.partitionBy(*key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1))
-        rows = tokens(side).join(cuts.hint("merge"), [*key, "end"], "left").select(*key, F.coalesce(before, F.lit(0)).alias("group"), (F.shiftleft(F.col("end"), 32) + F.col("id")).alias("token"))
-        lists = rows.groupBy(*key, "group").agg(F.sort_array(F.collect_list("token")).alias(side))
-        return lists.withColumn(side, F.transform(side, lambda x: x.bitwiseAND(0xFFFFFFFF)))
-
-    met = groups("a", "b").join(groups("b", "a").hint("merge"), [*key, "group"])
-    text = F.concat(F.array_join(F.col("a").cast("array<string>"), ","), F.lit("|"), F.array_join(F.col("b").cast("array<string>"), ","))
-    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.shiftleft(x, 32) + y)))
-    met = met.select(*key, F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.struct("group", text.alias("text"), pairs.alias("pairs")).alias("g"))
-    out = met.groupBy(*key).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sort_array(F.collect_list("g")).alias("g"))
-    return out.select(*key, "n_a", "n_b", "n_groups", F.flatten("g.pairs").alias("pairs"), F.array_join("g.text", ";").alias("groups"))
+    """slot, batch, seg, n_a, n_b, n_groups, pairs (an array of a << 32 | b, one for each link), groups (as text)."""
+    segs = by_batch(cut.filter("seg IS NOT NULL").select("slot", "batch", "seg", "a", "a_bytes", "b", "b_bytes"), n_part)
+    key = ["slot", "batch", "seg"]
+
+    def ends(side: str) -> DataFrame:
+        """Where each token ends."""
+        rows = segs.select(*key, F.posexplode(f"{side}_bytes").alias(side, "n"))
+        return rows.select(*key, side, F.sum("n").over(Window.partitionBy(*key).orderBy(side).rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+
+    order = Window.partitionBy(*key).orderBy("end")
+    cuts = ends("a").join(ends("b").hint("merge"), [*key, "end"])
+    met = cuts.select(*key, F.struct(F.row_number().over(order).alias("group"), *(F.coalesce(F.lag(c).over(order), F.lit(-1)).alias(f"{c}_before") for c in "ab"), "a", "b").alias("g"))
+    lists = met.groupBy(*key).agg(F.sort_array(F.collect_list("g")).alias("g"))  # groups by their number
+    own = segs.select(*key, "a", "b").join(lists.hint("merge"), key)
+
+    def tokens(side: str, g: Column) -> Column:
+        """A group's tokens: those between two cuts."""
+        return F.slice(side, g[f"{side}_before"] + 2, g[side] - g[f"{side}_before"])
+
+    def text(g):
+        return F.concat(F.array_join(tokens("a", g).cast("array<string>"), ","), F.lit("|"), F.array_join(tokens("b", g).cast("array<string>"), ","))
+
+    def links(g):
+        right = tokens("b", g)
+        return F.flatten(F.transform(tokens("a", g), lambda x: F.transform(right, lambda y: F.shiftleft(x.cast("long"), 32) + y)))
+
+    return own.select(*key, F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("g").alias("n_groups"), F.flatten(F.transform("g", links)).alias("pairs"), F.array_join(F.transform("g", text), ";").alias("groups"))
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -297,7 +308,7 @@ def batch_documents(docs: DataFrame, segs: DataFrame) -> DataFrame:
         columns += [pa.concat_arrays([pa.nulls(k, t), pa.array(x, t)]) for x, t in ((p.astype(np.int32), pa.int32()), (known[p], pa.int64()), (n_docs[p], pa.int64()))]
         return pa.Table.from_arrays(columns, schema.names)
 
-    return docs.groupBy("batch").cogroup(segs.groupBy("batch")).applyInArrow(run, schema)
+    return docs.groupBy("slot", "batch").cogroup(segs.groupBy("slot", "batch")).applyInArrow(run, schema)
 
 
 def align_tokens(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,8 +317,9 @@ def align_tokens(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     scratch = Scratch(spark, "alignment")
     n_part = shuffle_partitions(spark)
     cut = scratch.keep(cut_texts(df, a_path, b_path, id_col, text_col), "cut")
-    docs = by_batch(cut.filter("seg IS NULL").select(F.col("batch").alias("batch"), "ids", "sizes", "segs"), n_part)  # an alias, as both sides are of one table
-    rows = scratch.keep(batch_documents(docs, aligned(cut, n_part)), "rows")
+    docs = by_batch(cut.filter("seg IS NULL").select(F.col("slot").alias("slot"), F.col("batch").alias("batch"), "ids", "sizes", "segs"), n_part)  # aliases, as both sides are of one table
+    with in_place(spark):
+        rows = scratch.keep(batch_documents(docs, aligned(cut, n_part)), "rows")
     scratch.drop("cut")
     pairs = rows.filter("pair IS NOT NULL").select("batch", "number", "pair", "docs")
     counts = scratch.keep(pairs.groupBy("pair").agg(F.sum("docs").alias("n")), "pair_counts")
