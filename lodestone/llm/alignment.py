@@ -7,7 +7,7 @@ distinct segments of about ``BATCH`` bytes of texts and tokenize each of them on
 * ``posexplode`` makes a row of each token, and a window over a segment sums up byte lengths to where each token ends.
 * An equi-join on segment and end finds where tokens of both sides end: the cuts.
 * The running count of cuts is a group's number within the segment; its tokens are those behind the cut before.
-* The segments are joined with their cuts, and the tokens of each group's two ranges give its links.
+* The segments are joined with their cuts; each group has a range of tokens of either side, and all pairs of the two are its links.
 
 Then each batch's documents meet their segments: a document's numbers are sums over its segments, its groups their groups
 in order, its pairs the union of theirs.  Distinct pairs of a document are counted within batches and added up over all, and
@@ -223,7 +223,7 @@ def in_place(spark: SparkSession) -> Iterator[None]:
 
 
 def aligned(cut: DataFrame, n_part: int) -> DataFrame:
-    """slot, batch, seg, n_a, n_b, n_groups, pairs (an array of a << 32 | b, one for each link), groups (as text)."""
+    """slot, batch, seg, a, b: the tokens of each segment; a_last, b_last: the last token of each of its groups, in order."""
     segs = by_batch(cut.filter("seg IS NOT NULL").select("slot", "batch", "seg", "a", "a_bytes", "b", "b_bytes"), n_part)
     key = ["slot", "batch", "seg"]
 
@@ -232,24 +232,40 @@ def aligned(cut: DataFrame, n_part: int) -> DataFrame:
         rows = segs.select(*key, F.posexplode(f"{side}_bytes").alias(side, "n"))
         return rows.select(*key, side, F.sum("n").over(Window.partitionBy(*key).orderBy(side).rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
 
-    order = Window.partitionBy(*key).orderBy("end")
     cuts = ends("a").join(ends("b").hint("merge"), [*key, "end"])
-    met = cuts.select(*key, F.struct(F.row_number().over(order).alias("group"), *(F.coalesce(F.lag(c).over(order), F.lit(-1)).alias(f"{c}_before") for c in "ab"), "a", "b").alias("g"))
-    lists = met.groupBy(*key).agg(F.sort_array(F.collect_list("g")).alias("g"))  # groups by their number
-    own = segs.select(*key, "a", "b").join(lists.hint("merge"), key)
-
-    def tokens(side: str, g: Column) -> Column:
-        """A group's tokens: those between two cuts."""
-        return F.slice(side, g[f"{side}_before"] + 2, g[side] - g[f"{side}_before"])
-
-    def text(g):
-        return F.concat(F.array_join(tokens("a", g).cast("array<string>"), ","), F.lit("|"), F.array_join(tokens("b", g).cast("array<string>"), ","))
-
-    def links(g):
-        right = tokens("b", g)
-        return F.flatten(F.transform(tokens("a", g), lambda x: F.transform(right, lambda y: F.shiftleft(x.cast("long"), 32) + y)))
-
-    return own.select(*key, F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("g").alias("n_groups"), F.flatten(F.transform("g", links)).alias("pairs"), F.array_join(F.transform("g", text), ";").alias("groups"))
+    group = F.row_number().over(Window.partitionBy(*key).orderBy("end"))
+    met = cuts.select(*key, F.struct(group.alias("group"), "a", "b").alias("g"))
+    lists = met.groupBy(*key).agg(F.sort_array(F.collect_list("g")).alias("g"))
+    return segs.select(*key, "a", "b").join(lists.hint("merge"), key).select(*key, "a", "b", F.col("g.a").alias("a_last"), F.col("g.b").alias("b_last"))
+
+
+def _lists(values: pa.Array, starts: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """Lists of neighbouring values, one behind the other."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts[:1], ends).astype(np.int32)), values)
+
+
+def group_links(a: pa.ListArray, b: pa.ListArray, a_last: pa.ListArray, b_last: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(groups of each segment as text, a << 32 | b of all links, how many links each segment has)."""
+    if not len(a):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = pc.list_value_length(a_last).to_numpy(zero_copy_only=False).astype(np.int64)
+    last = np.cumsum(n)
+    ends, text, tokens = [], [], []
+    for side, cuts in ((a, a_last), (b, b_last)):
+        size = pc.list_value_length(side).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = side.flatten()
+        end = np.repeat(np.cumsum(size) - size, n) + cuts.flatten().to_numpy() + 1  # among all tokens of all segments
+        ends.append((np.append(0, end[:-1]), end))
+        text.append(pc.binary_join(_lists(ids.cast(pa.string()), *ends[-1]), ","))
+        tokens.append(ids.to_numpy().astype(np.int64))
+    text = pc.binary_join(_lists(pc.binary_join_element_wise(*text, "|"), last - n, last), ";")
+    n_a, n_b = (z - x for x, z in ends)
+    k = n_a * n_b
+    group = np.repeat(np.arange(len(k)), k)
+    within = np.arange(len(group)) - np.repeat(np.cumsum(k) - k, k)
+    x = ends[0][0][group] + within // n_b[group]
+    y = ends[1][0][group] + within % n_b[group]
+    return text.to_pylist(), tokens[0][x] << 32 | tokens[1][y], np.add.reduceat(k, last - n)
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -275,13 +291,13 @@ def batch_documents(docs: DataFrame, segs: DataFrame) -> DataFrame:
         top = int(seg.max()) + 1 if len(seg) else 0
         at = np.zeros(top, np.int64)
         at[seg] = np.arange(len(seg))
-        own = at[own] if top else own
-        pairs = right.column("pairs").combine_chunks()
-        n_pairs = pc.list_value_length(pairs).to_numpy(zero_copy_only=False).astype(np.int64) if len(seg) else seg
-        known, code = np.unique(pairs.flatten().to_numpy(zero_copy_only=False) if len(seg) else np.zeros(0, np.int64), return_inverse=True)
+        own = at[own] if len(own) else own
+        a, b, *last = (right.column(c).combine_chunks() for c in ("a", "b", "a_last", "b_last"))
+        text, pairs, n_pairs = group_links(a, b, *last)
+        known, code = np.unique(pairs, return_inverse=True)
         starts = np.cumsum(n_pairs) - n_pairs
-        numbers = [_sums(right.column(c).to_numpy()[own] if top else own, sizes) for c in longs[:3]] + [_sums(n_pairs[own] if top else own, sizes)]
-        text = right.column("groups").to_pylist()
+        counts = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b, last[0])] + [n_pairs]
+        numbers = [_sums(x[own], sizes) for x in counts]
         ends = np.cumsum(sizes)
         sha, distinct, links = [], [], []
         n_docs = np.zeros(len(known), np.int64)
