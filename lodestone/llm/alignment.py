@@ -42,7 +42,7 @@ from lodestone.llm.wordcache import parts
 from lodestone.runtime import Scratch, shuffle_partitions
 
 #: Bytes of texts in a batch, about; segments that are tokenized as one text.
-BATCH, JOINED = 32 << 20, 512
+BATCH, JOINED = 8 << 20, 512
 #: White space.
 SPACES = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: Texts that hold a space behind white space, or a NUL, are cut by a pattern; others wherever there is a space.
