@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -42,7 +43,7 @@ from lodestone.llm.wordcache import parts
 from lodestone.runtime import Scratch, shuffle_partitions
 
 #: Bytes of texts in a batch, about; segments that are tokenized as one text.
-BATCH, JOINED = 8 << 20, 512
+BATCH, JOINED = 10 << 20, 512
 #: White space.
 SPACES = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: Texts that hold a space behind white space, or a NUL, are cut by a pattern; others wherever there is a space.
@@ -147,7 +148,7 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
 def cut_texts(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
     """slot, batch, seg, a, a_bytes, b, b_bytes: ids and lengths of the tokens of each segment of a batch; and for its documents a row without seg: ids, sizes, segs.
 
-    sizes and segs are packed: how many segments each document has, and their numbers one after another.  slot numbers the batches, so that they can be dealt out evenly.
+    sizes and segs are packed: how many segments each document has, and their numbers one after another.  slot numbers the batches by task.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     ids_type, ints = pa.list_(_arrow(own, "id")), pa.list_(pa.int32())
@@ -203,9 +204,17 @@ def cut_texts(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
     return own.mapInArrow(run, schema)
 
 
-def by_batch(df: DataFrame, n_part: int) -> DataFrame:
-    """Batches dealt out evenly."""
-    return df.repartitionById(n_part, F.col("slot"))
+@contextmanager
+def bucketed(df: DataFrame, scratch: Scratch, name: str, buckets: int) -> Iterator[DataFrame]:
+    """``df`` as written to the shared folder in buckets of batches, so that what is keyed by batch reads it without a shuffle; gone at the end."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", scratch.path(name)).option("compression", "zstd").bucketBy(buckets, "slot").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        scratch.drop(name)
 
 
 @contextmanager
@@ -222,9 +231,9 @@ def in_place(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def aligned(cut: DataFrame, n_part: int) -> DataFrame:
+def aligned(cut: DataFrame) -> DataFrame:
     """slot, batch, seg, a, b: the tokens of each segment; a_last, b_last: the last token of each of its groups, in order."""
-    segs = by_batch(cut.filter("seg IS NOT NULL").select("slot", "batch", "seg", "a", "a_bytes", "b", "b_bytes"), n_part)
+    segs = cut.filter("seg IS NOT NULL")
     key = ["slot", "batch", "seg"]
 
     def ends(side: str) -> DataFrame:
@@ -331,12 +340,9 @@ def align_tokens(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     """One row for each row of ``df``: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     spark = df.sparkSession
     scratch = Scratch(spark, "alignment")
-    n_part = shuffle_partitions(spark)
-    cut = scratch.keep(cut_texts(df, a_path, b_path, id_col, text_col), "cut")
-    docs = by_batch(cut.filter("seg IS NULL").select(F.col("slot").alias("slot"), F.col("batch").alias("batch"), "ids", "sizes", "segs"), n_part)  # aliases, as both sides are of one table
-    with in_place(spark):
-        rows = scratch.keep(batch_documents(docs, aligned(cut, n_part)), "rows")
-    scratch.drop("cut")
+    with bucketed(cut_texts(df, a_path, b_path, id_col, text_col), scratch, "cut", shuffle_partitions(spark)) as cut, in_place(spark):
+        docs = cut.filter("seg IS NULL").select(F.col("slot").alias("slot"), F.col("batch").alias("batch"), "ids", "sizes", "segs")  # aliases, as both sides are of one table
+        rows = scratch.keep(batch_documents(docs, aligned(cut)), "rows")
     pairs = rows.filter("pair IS NOT NULL").select("batch", "number", "pair", "docs")
     counts = scratch.keep(pairs.groupBy("pair").agg(F.sum("docs").alias("n")), "pair_counts")
     a = F.shiftright("pair", 32).alias("a")
