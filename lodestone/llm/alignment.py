@@ -38,12 +38,12 @@ from pyspark.sql.window import Window
 
 from lodestone.llm._rows import look_up
 from lodestone.llm.bytebpe import byte_tokenizer
-from lodestone.llm.pieces import MARK, model
+from lodestone.llm.pieces import MARK
 from lodestone.llm.wordcache import parts
 from lodestone.runtime import Scratch, shuffle_partitions
 
 #: Bytes of texts in a batch, about; segments that are tokenized as one text.
-BATCH, JOINED = 10 << 20, 512
+BATCH, JOINED = 6 << 20, 512
 #: White space.
 SPACES = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: Texts that hold a space behind white space, or a NUL, are cut by a pattern; others wherever there is a space.
@@ -81,6 +81,9 @@ class Side:
         self.length = np.array([len(x) for x in surface], np.int32)
         self.first = np.array([x[:1] == b" " for x in surface])
 
+    def text(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.surface.__getitem__, ids.tolist()))
+
     def encode(self, own: list[str], simple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all segments one after another, how many each has, whether each is given back by its bytes)."""
         size, good = np.zeros(len(own), np.int64), np.ones(len(own), bool)
@@ -90,7 +93,7 @@ class Side:
             new = self.single(own[k])
             ids.append(new)
             order.append([k])
-            size[k], good[k] = len(new), b"".join([self.surface[i] for i in new]) == own[k].encode()
+            size[k], good[k] = len(new), self.text(new) == own[k].encode()
 
         rows = np.flatnonzero(simple)
         for at in range(0, len(rows), JOINED):
@@ -98,7 +101,7 @@ class Side:
             text = "".join([own[k] for k in some.tolist()])
             new = self.joined(text)
             cuts = np.flatnonzero(self.first[new])
-            if len(cuts) == len(some) and b"".join([self.surface[i] for i in new.tolist()]) == text.encode():
+            if len(cuts) == len(some) and self.text(new) == text.encode():
                 ids.append(new)
                 order.append(some)
                 size[some] = np.diff(cuts, append=len(new))
@@ -123,11 +126,13 @@ def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
     if (a_path, b_path) not in _sides:
         import sentencepiece
 
-        a, pieces = byte_tokenizer(a_path, plain=True), model(b_path)
-        b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        if not pieces.prefix or not pieces.by_word:
-            raise ValueError("only models that put a mark before texts and have it nowhere within a piece are supported")
+        a, b = byte_tokenizer(a_path, plain=True), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        normal = [not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i) or b.is_unused(i)) for i in range(len(pieces))]
         before = len(b.encode("a"))
+        if not b.encode("a", out_type=str)[0].startswith(MARK) or any(MARK in p.lstrip(MARK) for p, own in zip(pieces, normal) if own):
+            raise ValueError("only models that put a mark before texts and have it nowhere within a piece are supported")
+        surface = [p.replace(MARK, " ").encode() if own else bytes([int(p[1:-1], 16)]) if b.is_byte(i) else b"" for i, (p, own) in enumerate(zip(pieces, normal))]
 
         def quick(text: str) -> np.ndarray:
             return np.array(b.encode(text[1:]), np.uint32)
@@ -135,7 +140,7 @@ def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
         def one(text: str) -> np.ndarray:
             return np.array(b.encode("a" + text)[before:], np.uint32)
 
-        _sides[a_path, b_path] = Side(a.one, a.one, a.bytes), Side(quick, one, pieces.surface)
+        _sides[a_path, b_path] = Side(a.one, a.one, a.bytes), Side(quick, one, surface)
     return _sides[a_path, b_path]
 
 
@@ -188,6 +193,7 @@ def cut_texts(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
             packed = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (sizes, segs)]
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([batch]), pa.nulls(1, pa.int32()), *[pa.nulls(1, ints)] * 4, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(ids_type), *packed], schema.names)
             held, size, number = [], 0, number + 1
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             at = 0
@@ -331,6 +337,7 @@ def batch_documents(docs: DataFrame, segs: DataFrame) -> DataFrame:
         columns += [pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(len(p), pa.int64())]) for x in numbers]
         columns += [pa.array([*x, *[None] * len(p)], t) for x, t in ((sha, pa.string()), (distinct, pa.binary()), (links, pa.binary()))]
         columns += [pa.concat_arrays([pa.nulls(k, t), pa.array(x, t)]) for x, t in ((p.astype(np.int32), pa.int32()), (known[p], pa.int64()), (n_docs[p], pa.int64()))]
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays(columns, schema.names)
 
     return docs.groupBy("slot", "batch").cogroup(segs.groupBy("slot", "batch")).applyInArrow(run, schema)
