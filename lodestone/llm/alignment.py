@@ -43,7 +43,7 @@ from lodestone.llm.wordcache import parts
 from lodestone.runtime import Scratch, shuffle_partitions
 
 #: Bytes of texts in a batch, about; segments that are tokenized as one text.
-BATCH, JOINED = 6 << 20, 512
+BATCH, JOINED = 8 << 20, 512
 #: White space.
 SPACES = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: Texts that hold a space behind white space, or a NUL, are cut by a pattern; others wherever there is a space.
@@ -347,7 +347,7 @@ def align_tokens(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     """One row for each row of ``df``: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     spark = df.sparkSession
     scratch = Scratch(spark, "alignment")
-    with bucketed(cut_texts(df, a_path, b_path, id_col, text_col), scratch, "cut", shuffle_partitions(spark)) as cut, in_place(spark):
+    with bucketed(cut_texts(df, a_path, b_path, id_col, text_col), scratch, "cut", 4 * shuffle_partitions(spark)) as cut, in_place(spark):
         docs = cut.filter("seg IS NULL").select(F.col("slot").alias("slot"), F.col("batch").alias("batch"), "ids", "sizes", "segs")  # aliases, as both sides are of one table
         rows = scratch.keep(batch_documents(docs, aligned(cut)), "rows")
     pairs = rows.filter("pair IS NOT NULL").select("batch", "number", "pair", "docs")
