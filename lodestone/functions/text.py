@@ -59,13 +59,18 @@ def postings(df: DataFrame, keys: str | list[str], text: Column | str) -> DataFr
     return own.groupBy("term", *keys, "dl").agg(F.count("*").alias("tf")).select("term", *keys, "tf", "dl")
 
 
+def impact() -> Column:
+    """What a posting (tf, dl; avgdl beside it) scores but for its term's weight."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def bm25_from_postings(index: DataFrame, corpus: DataFrame, query: str, keys: str | list[str] = "object_id") -> DataFrame:
     """keys, bm25 from ``postings`` pruned to the query's terms; ``corpus`` has one row of n and avgdl."""
     keys, terms = [keys] if isinstance(keys, str) else list(keys), terms_of(query)
     own = index.filter(F.col("term").isin(terms))
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    score = idf * impact()
     joined = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # as many rows as the query has terms; one row
     parts = [F.coalesce(F.sum(F.when(F.col("term") == t, score)), F.lit(0.0)) for t in terms] or [F.lit(0.0)]  # one posting each
     return joined.groupBy(*keys).agg(reduce(add, parts).alias("bm25"))

@@ -7,24 +7,24 @@ reranked.  Scores are rounded to six decimals before they are compared; every or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import bm25, bm25_from_postings, terms_of, tokens
+from lodestone.functions.text import bm25, bm25_from_postings, impact, terms_of, tokens
 from lodestone.functions.vectors import cosine
 from lodestone.operators.filters import build_filter
 from lodestone.operators.index import Index
-from lodestone.runtime import Scratch, ship
+from lodestone.runtime import Scratch, ship, shuffle_partitions
 
 OVERFETCH = 3
 
@@ -68,6 +68,60 @@ def keyword(leg: Leg, query: str, where: Column | None = None) -> DataFrame:
     return _within(leg, bm25_from_postings(leg.index.postings, leg.index.corpus, query, leg.keys), where).withColumnRenamed("bm25", "score")
 
 
+#: Postings that the rarest terms of a query may have together to be scored first: this share of all of the query's, and this many for each hit at least.
+FIRST_SHARE, FIRST_EACH = 0.05, 16
+#: Blocks whose numbers reach the scan as literals; more are joined.
+NEAR_BLOCKS = 2000
+
+
+def keyword_top(leg: Leg, query: str, limit: int, where: Column | None = None, read: dict | None = None) -> DataFrame:
+    """keys, score of rows among which the best ``limit`` of ``keyword`` are, with the same scores.
+
+    The rarest terms are scored first.  The ``limit``-th best of these scores is a bound that no better row is below.  Of the
+    other terms only blocks are read in which some row can still reach it: its score so far, or none, and the
+    most that each of the other terms scores in that block.  Frequent terms, whose postings are nearly all that a query has, are
+    mostly passed over.  ``read`` is told how many postings of the other terms there are and how many were read.
+    """
+    index, terms = leg.index, terms_of(query)
+    if index is None or index.blocks is None or len(terms) < 2:
+        return keyword(leg, query, where)
+    own = index.blocks.filter(F.col("term").isin(terms))
+    total = {r.term: r.n for r in own.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term
+    corpus = index.corpus.first()
+    order = sorted(total, key=lambda t: (total[t], t))
+    most, first, used = max(FIRST_SHARE * sum(total.values()), FIRST_EACH * limit), [], 0
+    for t in order:
+        if first and used + total[t] > most:
+            break
+        first.append(t)
+        used += total[t]
+    rest = order[len(first) :]
+    if not rest:
+        return keyword(leg, query, where)
+    weight = F.create_map(*(x for t in order for x in (F.lit(t), F.lit(math.log(1 + (corpus.n - total[t] + 0.5) / (total[t] + 0.5))))))
+    posted = index.postings.withColumn("avgdl", F.lit(corpus.avgdl)).select("term", "block", *leg.keys, (weight[F.col("term")] * impact()).alias("part"))
+    parts = [F.coalesce(F.sum(F.when(F.col("term") == t, F.col("part"))), F.lit(0.0)) for t in terms]
+    scratch = Scratch(leg.df.sparkSession, "keyword_top")
+    found = scratch.keep(_within(leg, posted.filter(F.col("term").isin(first)), where), "first")
+    scores = found.groupBy("block", *leg.keys).agg(reduce(add, parts).alias("score"))
+    bound = scores.select("score").orderBy(F.desc("score")).limit(limit).collect()
+    if len(bound) < limit:
+        return keyword(leg, query, where)
+    least = bound[-1].score - 1e-6  # scores are compared after they have been rounded
+    can = own.filter(F.col("term").isin(rest)).groupBy("block").agg(F.sum(weight[F.col("term")] * F.col("impact")).alias("can"), F.sum("n").alias("n"))
+    so_far = scores.groupBy("block").agg(F.max("score").alias("has"))
+    blocks = scratch.keep(can.join(so_far, "block", "left").filter(F.col("can") + F.coalesce("has", F.lit(0.0)) >= least).select("block", "n"), "blocks")
+    n_blocks, n = blocks.agg(F.count("*"), F.sum("n")).first()
+    if read is not None:
+        read |= {"postings": sum(total[t] for t in rest), "read": n or 0}
+    more = posted.filter(F.col("term").isin(rest))
+    if n_blocks <= NEAR_BLOCKS:
+        more = more.filter(F.col("block").isin([r.block for r in blocks.collect()]))
+    else:
+        more = more.join(blocks, "block", "left_semi")
+    return found.unionByName(_within(leg, more, where)).groupBy(*leg.keys).agg(reduce(add, parts).alias("score"))
+
+
 def semantic(leg: Leg, vector: DataFrame, where: Column | None = None) -> DataFrame:
     """keys, score of the objects that have a vector.  ``vector`` is one row with an array ``q``."""
     own = leg.df.select("*", F.col(leg.vector).alias("__v")) if leg.vectors is None else leg.vectors.withColumnRenamed("vector", "__v")
@@ -144,14 +198,15 @@ def _leg_hits(leg: Leg, n: int, query: str, mode: str, limit: int, alpha: float,
     if mode != "keyword" and (leg.vector is None and leg.vectors is None or vector is None):
         raise NotSearchable(f"{leg.name} has no vectors to search")
     where = build_filter(leg.df, **conditions)
+    again = rerank and leg.rerank is not None
+    fetched = limit * OVERFETCH if again else limit
     if mode == "keyword":
-        hits = keyword(leg, query, where)
+        hits = keyword_top(leg, query, fetched, where)
     elif mode == "semantic":
         hits = semantic(leg, vector, where)
     else:
         hits = hybrid(leg, query, vector, alpha, where)
-    again = rerank and leg.rerank is not None
-    hits = top(hits, limit * OVERFETCH if again else limit, leg)
+    hits = top(hits, fetched, leg)
     score = F.lit(None).cast("double")
     if again:
         hits = with_properties(leg, hits, __r=leg.rerank)
@@ -179,79 +234,98 @@ def related(df: DataFrame, object_id: str, limit: int = 5, id_col: str = "object
     return scored.orderBy(F.desc("score"), "object_id").limit(limit)
 
 
-#: Vectors of ``left`` that a task holds at once, in bytes.
-WAVE = 32 << 20
+#: Bytes of vectors in a block of either side, about.
+BLOCK = 32 << 20
 
 
 def nearest_join(left: DataFrame, right: DataFrame, k: int = 5) -> DataFrame:
     """left_id, right_id, score, rank: the k nearest rows of ``right`` (id, vector) for each row of ``left``.
 
-    ``left`` goes to the tasks in waves of at most ``WAVE`` bytes.  In each wave ``right`` is read once, in Arrow batches, as
-    products of matrices of unit vectors; a task keeps the k best rows for each vector of the wave and nothing else, so no
-    pairs are made as rows.  What the tasks keep is ranked once more.  Ties go to the smaller id.  A null or zero vector
-    scores 0 against all others.
+    Both sides are dealt into blocks of about ``BLOCK`` bytes, and every cell of a left and a right block is a task's work:
+    rows of ``left`` go to a row of cells, those of ``right`` to a column.  A task holds one left block and sees the right one
+    in Arrow batches, as products of matrices of unit vectors; it keeps the k best rows for each vector and nothing else, so
+    no pairs are made as rows and nothing passes through the driver.  What the cells keep is ranked once more.  Ties go to
+    the smaller id.  A null or zero vector scores 0 against all others, as does one of another length.
     """
     spark = left.sparkSession
     ship(spark)
+    n_part = shuffle_partitions(spark)
     schema = T.StructType([T.StructField("left_id", left.schema["id"].dataType), T.StructField("right_id", right.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    own = [df.select("id", F.col("vector").cast("array<double>").alias("vector")) for df in (left, right)]
-    kept = [own[1].mapInArrow(_nearest(spark.sparkContext.broadcast(wave), k, schema.names), schema) for wave in _waves(own[0])]
-    rows = reduce(DataFrame.unionByName, kept) if kept else spark.createDataFrame([], schema)
+    across = _blocks(left, n_part)
+    down = max(_blocks(right, n_part), -(-n_part // across))  # as many cells as tasks at least
+
+    def side(df: DataFrame, number: int, own: int, others: int, cell) -> DataFrame:
+        ids = [F.col("id") if number == i else F.lit(None) for i in (0, 1)]
+        block = F.pmod(F.xxhash64("id", "vector"), F.lit(own))
+        rows = df.select(F.lit(number).alias("side"), *(c.cast(f.dataType).alias(f.name) for c, f in zip(ids, schema)), F.col("vector").cast("array<double>").alias("vector"), block.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
+        return rows.select(cell(F.col("own"), F.col("other")).cast("long").alias("cell"), "side", "left_id", "right_id", "vector")
+
+    rows = side(left, 0, across, down, lambda own, other: own * down + other).unionByName(side(right, 1, down, across, lambda own, other: other * down + own))
+    cells = rows.repartitionById(n_part, F.pmod(F.col("cell"), F.lit(n_part)).cast("int")).sortWithinPartitions("cell", "side", "right_id")
+    kept = cells.mapInArrow(_nearest(k, schema.names), schema)
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return kept.withColumn("rank", rank).filter(F.col("rank") <= k)
+
 
+def _blocks(df: DataFrame, n_part: int) -> int:
+    """Blocks for a frame by the size that Spark expects it to have; as many as tasks if it expects nothing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n_part if size > 1 << 60 else max(1, -(-size // BLOCK))
 
-def _unit(vectors: pa.Array) -> np.ndarray:
-    """Rows of length 1; zeros for null and zero vectors."""
+
+def _unit(vectors: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of length 1; zeros for null and zero vectors and for those that don't have ``width`` components (default: the most there are)."""
     sizes = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.zeros(0, np.int64)
-    width = int(sizes.max(initial=1)) or 1
-    flat = np.nan_to_num(vectors.flatten().to_numpy(zero_copy_only=False))
+    width = width or int(sizes.max(initial=1)) or 1
     out = np.zeros((len(vectors), width))
     full = np.flatnonzero((sizes == width) & vectors.is_valid().to_numpy(zero_copy_only=False))
-    out[full] = flat.reshape(-1, width)
+    out[full] = np.nan_to_num(vectors.take(pa.array(full)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 
 
-def _waves(left: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(ids, unit vectors): the driver holds one wave at a time."""
-    ids, vectors, size = [], [], 0
-    for r in left.toLocalIterator(prefetchPartitions=True):
-        ids.append(r.id)
-        vectors.append(r.vector)
-        size += 8 * len(r.vector or ())
-        if size >= WAVE:
-            yield pa.array(ids), _unit(pa.array(vectors, pa.list_(pa.float64())))
-            ids, vectors, size = [], [], 0
-    if ids:
-        yield pa.array(ids), _unit(pa.array(vectors, pa.list_(pa.float64())))
+def _nearest(k: int, names: list[str]):
+    """A mapInArrow function over rows sorted by cell, side and right id: the k best of a cell's right rows for each of its left rows."""
 
+    def run(batches):
+        now, ids, block, best, who = None, [], [], None, None
 
-def _nearest(sent, k: int, names: list[str]):
-    """A mapInArrow function: the k best of a partition for each vector of a wave."""
+        def done():
+            if best is not None and best.shape[1]:
+                own, n = pa.concat_arrays(ids), best.shape[1]
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(np.repeat(np.arange(len(own)), n))), pa.array(who.ravel(), kind), pa.array(best.ravel())], names)
 
-    def run(batches):
-        ids, wave = sent.value
-        best, who = np.zeros((len(wave), 0)), np.zeros((len(wave), 0), object)
         for b in batches:
-            right = b.column(0)
-            order = np.array(pa.compute.sort_indices(right))
-            for at in range(0, b.num_rows, 1024):
-                rows = order[at : at + 1024]
-                other = right.take(pa.array(rows)).to_numpy(zero_copy_only=False)
-                scores = np.round(wave @ _unit(b.column(1).take(pa.array(rows))).T, 6) + 0.0
-                if scores.shape[1] > k:  # the k best, ties to the first, as rows are in the order of their ids
-                    step = np.round(scores * 1e6).astype(np.int64) * len(rows) + np.arange(len(rows), 0, -1) - 1
-                    pick = np.argpartition(-step, k - 1, axis=1)[:, :k]
-                else:
-                    pick = np.broadcast_to(np.arange(len(rows)), scores.shape)
-                best = np.hstack([best, np.take_along_axis(scores, pick, 1)])
-                who = np.hstack([who, other[pick]]) if who.shape[1] else other[pick]
-                if best.shape[1] > k:
-                    pick = np.lexsort((who, -best), axis=1)[:, :k]
-                    best, who = np.take_along_axis(best, pick, 1), np.take_along_axis(who, pick, 1)
-        n = best.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(wave)), n))), pa.array(who.ravel()), pa.array(best.ravel())], names)
+            cell, side = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            kind = b.column(3).type
+            cuts = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(side, prepend=-1) != 0))
+            for a, z in zip(cuts, [*cuts[1:], b.num_rows]):
+                if cell[a] != now:
+                    yield from done()
+                    now, ids, block, best, who = cell[a], [], [], None, None
+                if not side[a]:
+                    ids.append(b.column(2).slice(a, z - a))
+                    block.append(b.column(4).slice(a, z - a))
+                    continue
+                if not ids:
+                    continue
+                if best is None:
+                    block = _unit(pa.concat_arrays(block))
+                    best, who = np.zeros((len(block), 0)), np.zeros((len(block), 0), object)
+                for at in range(a, z, 1024):
+                    n = min(1024, z - at)
+                    other = b.column(3).slice(at, n).to_numpy(zero_copy_only=False)
+                    scores = np.round(block @ _unit(b.column(4).slice(at, n), block.shape[1]).T, 6) + 0.0
+                    if n > k:  # the k best, ties to the first, as rows are in the order of their ids
+                        step = np.round(scores * 1e6).astype(np.int64) * n + np.arange(n, 0, -1) - 1
+                        pick = np.argpartition(-step, k - 1, axis=1)[:, :k]
+                    else:
+                        pick = np.broadcast_to(np.arange(n), scores.shape)
+                    best = np.hstack([best, np.take_along_axis(scores, pick, 1)])
+                    who = np.hstack([who, other[pick]]) if who.shape[1] else other[pick]
+                    if best.shape[1] > k:
+                        pick = np.lexsort((who, -best), axis=1)[:, :k]
+                        best, who = np.take_along_axis(best, pick, 1), np.take_along_axis(who, pick, 1)
+        yield from done()
 
     return run

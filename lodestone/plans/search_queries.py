@@ -70,7 +70,7 @@ def _probe(spark: SparkSession, d: str) -> DataFrame:
 def search_keyword_topk(spark, d):
     """F2, F7."""
     leg = _docs_leg(spark, d)
-    return s.top(s.keyword(leg, QUERY), 10, leg).select("object_id", "score")
+    return s.top(s.keyword_top(leg, QUERY, 10), 10, leg).select("object_id", "score")
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7) AS b FROM embeddings)
@@ -168,7 +168,7 @@ SELECT 'Found 5 objects: ' || string_agg(title, ' | ' ORDER BY score DESC, id) A
 def knowledge_ask(spark, d):
     """the extractive stand-in, an answer with the ids that it cites."""
     leg = _docs_leg(spark, d)
-    hits = s.with_properties(leg, s.top(s.keyword(leg, QUERY), 5, leg), title=F.col("title"))
+    hits = s.with_properties(leg, s.top(s.keyword_top(leg, QUERY, 5), 5, leg), title=F.col("title"))
     rows = hits.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("n"), "object_id", "title"))).alias("h"))
     return rows.select(F.concat(F.lit("Found "), F.size("h").cast("string"), F.lit(" objects: "), F.array_join(F.col("h.title"), " | ")).alias("answer"), F.col("h.object_id").alias("sources"))
 
@@ -180,7 +180,7 @@ def summary_prompt_batch(spark, d):
     from pyspark.sql.window import Window
 
     leg = _docs_leg(spark, d)
-    hits = s.with_properties(leg, s.top(s.keyword(leg, QUERY), 100, leg), summary=F.col("summary"))
+    hits = s.with_properties(leg, s.top(s.keyword_top(leg, QUERY, 100), 100, leg), summary=F.col("summary"))
     place = F.row_number().over(Window.orderBy(F.desc("score"), "object_id"))  # 100 rows at most
     return hits.select(place.alias("place"), "object_id", F.substring("summary", 1, 300).alias("snippet"))
 

@@ -99,7 +99,7 @@ def insert_with_links(spark, d):
     s.append("ResearchFindings", old.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("object_id")))
     s.append("DeepResearchReports", new.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("object_id")))
     named = lambda to: (F.lit("DeepResearchReports").alias("from_collection"), F.concat(F.lit("r"), F.col("left_id").cast("string")).alias("from_id"), F.lit("related_findings").alias("ref_name"), F.lit("ResearchFindings").alias("to_collection"), to.alias("to_id"))
-    near = search.nearest_join(new, old, 5)
+    near = Scratch(spark, "near").keep(search.nearest_join(new, old, 5), "near")  # both links read it
     s.link(near.select(*named(F.concat(F.lit("f"), F.col("right_id").cast("string")))))
     s.link(near.filter("rank = 1").select(*named(F.lit("no such finding"))))
     return s.export("DeepResearchReports").select("object_id", "related_findings")
