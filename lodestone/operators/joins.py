@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.runtime import Scratch
+
 
 def with_summaries(hits: DataFrame, summaries: DataFrame, key: str = "object_id") -> DataFrame:
     """Hits left-joined to the last summary of each id; only useful properties stay, all of them if that leaves none.
@@ -92,3 +94,30 @@ def closure(start: DataFrame, step: DataFrame, most: int = 5) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def chain_ends(links: DataFrame, id_col: str = "id", next_col: str = "next") -> DataFrame:
+    """id, end, hops, cycle: where the chain of links that begins at each id ends, after how many links.
+
+    ``links`` has one row for each id; a null next ends a chain, as does one that is no id itself (it is the end then).  Chains
+    are followed by pointer doubling: each round joins what is still under way with where its pointer leads, so a chain of n
+    links takes log2 n rounds.  As long as some chain has an end, a round brings some row to it; so once a round brings
+    none, what is left runs into a cycle: end and hops are null, cycle is true.  Each round's rows are a written table.
+    """
+    scratch = Scratch(links.sparkSession, "chain_ends")
+    own = links.select(F.col(id_col).alias("id"), F.col(next_col).alias("to"))
+    ids = own.select(F.col("id").alias("to"), F.lit(True).alias("known"))
+    rows = own.join(ids, "to", "left")
+    start = rows.select("id", F.when(F.col("to").isNull(), F.col("id")).otherwise(F.col("to")).alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("hops"), (F.col("to").isNotNull() & F.col("known").isNotNull()).alias("open"))
+    now = scratch.keep(start, "round0")
+    left, n = now.filter("open").count(), 0
+    while left:
+        n += 1
+        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"), F.col("open").alias("still"))
+        moved = now.filter("open").join(ahead, "to").select("id", F.col("next").alias("to"), (F.col("hops") + F.col("more")).alias("hops"), F.col("still").alias("open"))
+        now = scratch.keep(now.filter("NOT open").unionByName(moved), f"round{n}")
+        scratch.drop(f"round{n - 1}")
+        before, left = left, now.filter("open").count()
+        if left == before:
+            break
+    return now.select("id", F.when(~F.col("open"), F.col("to")).alias("end"), F.when(~F.col("open"), F.col("hops")).alias("hops"), F.col("open").alias("cycle"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lodestone import schema
 from lodestone.functions.scalars import uuid5
 from lodestone.operators import joins, stats, store
+from lodestone.operators.buckets import BucketedTable
 from lodestone.plans.registry import query, sql_values, values
 from lodestone.plans.search_queries import CONTENTS, UUID5
+from lodestone.runtime import Scratch
 from lodestone.sources.tables import contents, first_line, table, transcripts, web_pages
 
 
@@ -117,6 +121,31 @@ def upsert_merge(spark, d):
     return store.upsert(e.filter("event_type <> 'signup'"), new, "event_id").drop("event_type")
 
 
+@query("""SELECT 'doc:' || doc_id AS object_id, CASE WHEN quality = 1 THEN 'reviewed: ' ELSE '' END || split_part(text, chr(10), 1) AS title, lang, CASE WHEN quality = 1 THEN 2 ELSE 1 END AS writes
+FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS DISTINCT FROM 1""")
+def upsert_and_read_back(spark, d):
+    """B5-B8, B12, B13, J video_analyze: documents are upserted, those of good quality once more with another title, toxic ones are deleted; the table as it is then."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    named = docs.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("object_id"), F.substring_index("text", "\n", 1).alias("title"), "lang")
+    t = BucketedTable(spark, f"{Scratch(spark, 'bucketed').root}/table", T.StructType().add("object_id", "string").add("title", "string").add("lang", "string").add("writes", "integer"), "object_id")
+    t.upsert(named.withColumn("writes", F.lit(1)))
+    good = named.join(labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    t.upsert(good.withColumn("title", F.concat(F.lit("reviewed: "), F.coalesce("title", F.lit("")))).withColumn("writes", F.lit(2)))
+    t.delete(labels.filter("toxic = 1").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("object_id")))
+    return t.read()
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, last_value(event_id) OVER w AS last, last_value(event_type) OVER w AS kind, count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hops
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT event_id, CASE WHEN kind <> 'error' THEN last END AS "end", CASE WHEN kind <> 'error' THEN hops END AS hops, kind = 'error' AS cycle FROM e""")
+def event_chains(spark, d):
+    """Each event leads to its user's next one, the last one of a user nowhere, but an error back to the user's first."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("event_id", "event_type", F.lead("event_id").over(w).alias("after"), F.first("event_id").over(w).alias("first"))
+    links = e.select(F.col("event_id").alias("id"), F.when(F.col("after").isNull() & (F.col("event_type") == "error"), F.col("first")).otherwise(F.col("after")).alias("next"))
+    return joins.chain_ends(links).withColumnRenamed("id", "event_id")
+
+
 @query("SELECT event_id FROM events WHERE event_type <> 'error'")
 def delete_rows(spark, d):
     """B13."""

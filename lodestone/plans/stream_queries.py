@@ -76,6 +76,19 @@ def stream_daily_counts(spark, d):
     return m.run_to_parquet(m.daily_counts(s), scratch.path("out"), scratch.path("c"))
 
 
+STATES = {"purchase": "completed", "error": "failed", "click": "cancelled"}
+
+
+@query("""WITH l AS (SELECT user_id, event_id AS launch_id, ts AS launched FROM events WHERE event_type = 'signup'),
+t AS (SELECT user_id, event_id AS terminal_id, ts AS ended, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status FROM events WHERE event_type IN ('purchase', 'error', 'click')),
+m AS (SELECT l.user_id, launch_id, status, terminal_id, (epoch_us(ended) - epoch_us(launched)) // 1000000 AS seconds, launched FROM l LEFT JOIN t ON l.user_id = t.user_id AND ended >= launched AND ended <= launched + INTERVAL 6 HOUR)
+SELECT user_id, launch_id, status, terminal_id, seconds FROM m WHERE status IS NOT NULL OR launched + INTERVAL 6 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_lifecycle(spark, d):
+    """I6, J research_web_cancel: launches met by how they ended; a launch that may still end when the events do is not handed out yet."""
+    s, scratch = _stream(spark, d)
+    return m.run_to_parquet(m.lifecycles(s, "signup", STATES), scratch.path("out"), scratch.path("c"))
+
+
 def _inputs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), "text")
 

@@ -79,6 +79,21 @@ def single_active(events: DataFrame, key: str = "user_id", seconds: int = 1800)
     return own.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, accepted boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def lifecycles(events: DataFrame, launch: str, terminal: dict[str, str], within: str = "6 hours", late: str = "1 hour", key: str = "user_id") -> DataFrame:
+    """key, launch_id, status, terminal_id, seconds: launches joined with the terminal events of their key that follow within an interval.
+
+    ``terminal`` maps event types to states (completed, failed, cancelled).  Both sides carry the watermark, so that a launch is
+    forgotten, and handed out without a state if it has met none, once no terminal event within its interval can come any more.
+    """
+    marked = events.withWatermark("ts", late)
+    names = F.create_map(*(F.lit(x) for pair in terminal.items() for x in pair))
+    begun = marked.filter(F.col("event_type") == launch).select(key, F.col("event_id").alias("launch_id"), F.col("ts").alias("launched"))
+    ended = marked.filter(F.col("event_type").isin(list(terminal))).select(F.col(key).alias("of"), F.col("event_id").alias("terminal_id"), names[F.col("event_type")].alias("status"), F.col("ts").alias("ended"))
+    met = F.expr(f"of = {key} AND ended >= launched AND ended <= launched + INTERVAL {within}")
+    seconds = F.floor((F.unix_micros("ended") - F.unix_micros("launched")) / 1_000_000)
+    return begun.join(ended, met, "left_outer").select(key, "launch_id", "status", "terminal_id", seconds.alias("seconds"))
+
+
 def last_turns(turns: DataFrame, keep: int, key: str = "conv_id", ttl: str | None = "7 days") -> DataFrame:
     """key, turn_count, history: the last ``keep`` texts of each session, and how many there have been.
 
@@ -102,13 +117,6 @@ def last_turns(turns: DataFrame, keep: int, key: str = "conv_id", ttl: str | Non
     return turns.select(key, "turn", "text").groupBy(key).applyInPandasWithState(step, f"{key} long, turn_count long, history array<string>", "n long, kept array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run over what there is and return the rows of a memory table, which the driver holds (for small results only)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def run_to_parquet(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Run over what there is into Parquet, exactly once by the sink's log."""
     stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
