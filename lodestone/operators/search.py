@@ -2,7 +2,7 @@
 
 Each collection is a leg with a top-k of its own; legs are united and cut once more, so no more than legs * k rows meet.
 A leg that has a stored index reads the postings of the query's terms; its texts are not read, but for the few hits that are
-reranked.  Scores are rounded to six decimals before they are compared; every order ends with the object id.
+reranked.  A leg that has a stored vector index reads the cells that can hold a hit.  Scores are rounded to six decimals before they are compared; every order ends with the object id.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions.text import bm25, bm25_from_postings, impact, terms_of, tokens
 from lodestone.functions.vectors import cosine
+from lodestone.operators.cells import VectorIndex, nearest
 from lodestone.operators.filters import build_filter
 from lodestone.operators.index import Index
 from lodestone.runtime import Scratch, ship, shuffle_partitions
@@ -47,6 +48,7 @@ class Leg:
     object_id: Column = field(default_factory=lambda: F.col("object_id"))
     index: Index | None = None
     vectors: DataFrame | None = None
+    cells: VectorIndex | None = None
 
 
 def _check(limit: int, alpha: float) -> None:
@@ -129,6 +131,15 @@ def semantic(leg: Leg, vector: DataFrame, where: Column | None = None) -> DataFr
     return own.filter("__v IS NOT NULL").crossJoin(F.broadcast(vector)).select(*leg.keys, cosine(F.col("__v"), F.col("q")).alias("score"))
 
 
+def semantic_top(leg: Leg, vector: DataFrame, limit: int, where: Column | None = None, read: dict | None = None) -> DataFrame:
+    """keys, score of rows among which the best ``limit`` of ``semantic`` are, with the same scores: those of the cells that can hold one."""
+    probe = vector.first() if leg.cells is not None else None
+    if probe is None or probe.q is None:
+        return semantic(leg, vector, where)
+    among = leg.df.filter(where).select(*leg.keys) if where is not None else leg.df.select(*leg.keys) if leg.vectors is not None else None
+    return nearest(leg.cells, list(probe.q), limit, among, read)
+
+
 def hybrid(leg: Leg, query: str, vector: DataFrame, alpha: float = 0.5, where: Column | None = None) -> DataFrame:
     """alpha * vector + (1 - alpha) * keyword, each scaled from 0 to 1 over its own rows (constant ones: 1); what a side doesn't have scores 0 there.
 
@@ -203,7 +214,7 @@ def _leg_hits(leg: Leg, n: int, query: str, mode: str, limit: int, alpha: float,
     if mode == "keyword":
         hits = keyword_top(leg, query, fetched, where)
     elif mode == "semantic":
-        hits = semantic(leg, vector, where)
+        hits = semantic_top(leg, vector, fetched, where)
     else:
         hits = hybrid(leg, query, vector, alpha, where)
     hits = top(hits, fetched, leg)
@@ -224,11 +235,15 @@ def merge(legs: list[DataFrame], limit: int) -> DataFrame:
     return rows.withColumn("place", place).drop("leg")
 
 
-def related(df: DataFrame, object_id: str, limit: int = 5, id_col: str = "object_id", vector_col: str = "vector") -> DataFrame:
-    """The nearest other objects to one: id, score."""
+def related(df: DataFrame, object_id: str, limit: int = 5, id_col: str = "object_id", vector_col: str = "vector", cells: VectorIndex | None = None) -> DataFrame:
+    """The nearest other objects to one: id, score; with ``cells``, an index of the vectors by ``id_col``, from the cells that can hold one."""
     if not 1 <= limit <= 50:
         raise ValueError("limit is from 1 to 50")
     q = df.filter(F.col(id_col).cast("string") == str(object_id)).select(F.col(vector_col).alias("q")).limit(1)
+    probe = q.first() if cells is not None else None
+    if probe is not None and probe.q is not None:
+        found = nearest(cells, list(probe.q), limit + 1).filter(F.col(id_col).cast("string") != str(object_id))  # one more, as it may be itself
+        return found.select(F.col(id_col).alias("object_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "object_id").limit(limit)
     rest = df.filter(F.col(id_col).cast("string") != str(object_id)).filter(F.col(vector_col).isNotNull())
     scored = rest.crossJoin(F.broadcast(q)).select(F.col(id_col).alias("object_id"), F.round(cosine(F.col(vector_col), F.col("q")), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "object_id").limit(limit)

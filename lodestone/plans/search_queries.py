@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import cells
 from lodestone.operators import search as s
 from lodestone.functions.scalars import uuid5
+from lodestone.functions.vectors import norm
 from lodestone.operators.filters import apply_filter
 from lodestone.operators.index import build, stored
 from lodestone.plans.registry import query
@@ -76,9 +78,21 @@ def search_keyword_topk(spark, d):
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7) AS b FROM embeddings)
 SELECT vec_id, round({COSINE}, 6) AS score FROM v ORDER BY 2 DESC, 1 LIMIT 10""")
 def search_semantic_topk(spark, d):
-    """F3."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("object_id"), "embedding")
-    return s.top(s.semantic(s.Leg("e", e, F.lit(""), "embedding"), _probe(spark, d)), 10).withColumnRenamed("object_id", "vec_id")
+    """from the cells of the stored vector index that can hold a hit."""
+    e = table(spark, d, "embeddings")
+    leg = s.Leg("e", e, F.lit(""), "embedding", keys=["vec_id"], object_id=F.col("vec_id"), cells=cells.stored(e, ("vec_id",), "embedding"))
+    return s.top(s.semantic_top(leg, _probe(spark, d), 10), 10, leg).select("vec_id", "score")
+
+
+@query("SELECT count(*) AS vectors, true AS whole, true AS apart FROM embeddings WHERE embedding IS NOT NULL")
+def vector_index(spark, d):
+    """an index of all vectors, built anew; no row is outside its cell's radius, and rows that have no direction are in a cell of their own."""
+    e = table(spark, d, "embeddings")
+    index = cells.build(e, ("vec_id",), "embedding", Scratch(spark, "vector_index").root)
+    rows = index.rows.join(F.broadcast(index.cells), "cell")  # a row for each cell, of which there is a greatest number
+    size = norm(F.col("__v"))
+    away = F.sqrt(F.aggregate(F.zip_with("__v", "centre", lambda x, y: F.pow(x / size - y, 2)), F.lit(0.0), lambda a, x: a + x))
+    return rows.agg(F.count("*").alias("vectors"), F.bool_and((F.col("cell") < 0) | (away <= F.col("radius") + 1e-9)).alias("whole"), F.bool_and((F.col("cell") < 0) == F.coalesce(~(size > 0), F.lit(True))).alias("apart"))
 
 
 HYBRID = f"""
@@ -150,8 +164,9 @@ def filter_builder(spark, d):
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 42) AS b FROM embeddings WHERE vec_id <> 42)
 SELECT vec_id AS object_id, round({COSINE}, 6) AS score FROM v ORDER BY 2 DESC, 1 LIMIT 5""")
 def related_objects(spark, d):
-    """F9, C8."""
-    return s.related(table(spark, d, "embeddings"), "42", 5, "vec_id", "embedding")
+    """From the cells that can hold a neighbour."""
+    e = table(spark, d, "embeddings")
+    return s.related(e, "42", 5, "vec_id", "embedding", cells.stored(e, ("vec_id",), "embedding"))
 
 
 @query(f"""WITH l AS (SELECT vec_id AS left_id, embedding::DOUBLE[] AS a FROM embeddings WHERE label = 3),
