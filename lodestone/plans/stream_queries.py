@@ -9,6 +9,7 @@ from lodestone.plans.registry import query
 from lodestone.runtime import Scratch
 from lodestone.sources.tables import table
 from lodestone.streaming import machines as m
+from lodestone.streaming.capacity import run_capped
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -89,6 +90,18 @@ def stream_lifecycle(spark, d):
     return m.run_to_parquet(m.lifecycles(s, "signup", STATES), scratch.path("out"), scratch.path("c"))
 
 
+@query("""WITH e AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY user_id ORDER BY i), 0) AS before, coalesce(lead(i) OVER (PARTITION BY user_id ORDER BY i), 1000000000000) AS after FROM e),
+m AS (SELECT x.user_id AS evicted, x.event_id AS last_event_id, r.user_id, r.event_id, row_number() OVER (PARTITION BY x.i ORDER BY r.i) AS nth FROM p x JOIN p r ON r.i > x.i AND r.i < x.after AND r.before < x.i)
+SELECT user_id, event_id, evicted, last_event_id FROM m WHERE nth = 50""")
+def stream_capacity(spark, d):
+    """Fifty sessions are held; each new one beyond them ends the one that was used longest ago."""
+    s, scratch = _stream(spark, d)
+    uses = s.select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("order_us"), F.col("event_id").alias("tie"))
+    gone = run_capped(uses, 50, scratch.path("out"), scratch.path("c"))
+    return gone.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), "evicted", F.col("last_tie").alias("last_event_id"))
+
+
 def _inputs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), "text")
 

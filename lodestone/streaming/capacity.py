@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from lodestone.runtime import ship, shuffle_partitions
 
+NAMES = ("key", "order_us", "tie")
 STATE = "key long, order_us long, tie long, place long"
 
 
@@ -82,17 +83,24 @@ def _replay(begins: dict[int, list[tuple]], capacity: int, names: list[str]):
     return run
 
 
+def write_stretches(rows: DataFrame, path: str, stretches: int) -> DataFrame:
+    """Uses (key, order_us, tie) with the number of their stretch, a range of (order_us, tie, key) of about equal rows however the times lie.
+
+    The numbers are written, as ranges are drawn from samples, which another run of the plan would draw anew.
+    """
+    own = rows.select(*(F.col(c).cast("long").alias(c) for c in NAMES)).filter("key IS NOT NULL").repartitionByRange(stretches, "order_us", "tie", "key")
+    own.select(F.spark_partition_id().cast("long").alias("stretch"), *NAMES).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def evictions(rows: DataFrame, before: list[tuple], capacity: int, stretches: int) -> tuple[DataFrame, list[tuple]]:
-    """(evictions, state after) of ``rows`` (key, order_us, tie), which come after the state ``before`` (key, order_us, tie; the oldest first).
+    """(evictions, state after) of ``rows``, a table of stretches that come after the state ``before`` (key, order_us, tie; the oldest first).
 
-    Evictions: key, order_us, tie of the use that came, evicted, last_us, last_tie of the key that went for it.  Rows are read
-    three times; give a written table.  Stretches are ranges of (order_us, tie), of about equal rows however the times lie.
+    Evictions: key, order_us, tie of the use that came; evicted, last_us, last_tie of the key that went for it.
     """
     ship(rows.sparkSession)
-    names = ["key", "order_us", "tie"]
-    dealt = rows.select(*(F.col(c).cast("long") for c in names)).filter("key IS NOT NULL").repartitionByRange(stretches, "order_us", "tie", "key")
-    own = dealt.sortWithinPartitions("order_us", "tie", "key").select(F.spark_partition_id().cast("long").alias("stretch"), *names)
-    sums_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("stretch", *names, "place")])
+    own = rows.repartitionById(stretches, F.pmod(F.col("stretch"), F.lit(stretches)).cast("int")).sortWithinPartitions("stretch", "order_us", "tie", "key").select("stretch", *NAMES)
+    sums_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("stretch", *NAMES, "place")])
     sums = own.mapInArrow(_summary(capacity, sums_schema.names), sums_schema).collect()  # stretches * capacity rows at most
     by: dict[int, list] = {}
     for r in sorted(sums, key=lambda r: (r.stretch, r.place)):
@@ -105,7 +113,7 @@ def evictions(rows: DataFrame, before: list[tuple], capacity: int, stretches: in
             now[k] = (u, t)
         while len(now) > capacity:
             now.popitem(last=False)
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in (*names, "evicted", "last_us", "last_tie")])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in (*NAMES, "evicted", "last_us", "last_tie")])
     return own.mapInArrow(_replay(begins, capacity, schema.names), schema), [(k, u, t) for k, (u, t) in now.items()]
 
 
@@ -128,9 +136,8 @@ def run_capped(stream: DataFrame, capacity: int, folder: str, checkpoint: str) -
 
     def step(rows: DataFrame, batch: int) -> None:
         s = rows.sparkSession
-        at = f"{folder}/rows/batch={batch}"
-        rows.select("key", "order_us", "tie").write.mode("overwrite").parquet(at)
-        gone, after = evictions(s.read.parquet(at), _state(s, folder, batch - 1), capacity, shuffle_partitions(s))
+        uses = write_stretches(rows, f"{folder}/rows/batch={batch}", shuffle_partitions(s))
+        gone, after = evictions(uses, _state(s, folder, batch - 1), capacity, shuffle_partitions(s))
         gone.write.mode("overwrite").parquet(f"{folder}/evictions/batch={batch}")
         s.createDataFrame([(*r, i) for i, r in enumerate(after)], STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
 
