@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.functions import json_schema as js
+from lodestone.functions.nested import properties_json
 from lodestone.plans.registry import query, sql_values, values
 from lodestone.plans.search_queries import CONTENTS
 from lodestone.runtime import Scratch
@@ -120,8 +121,30 @@ SCHEMAS = [({"type": "object", "properties": {"a": {"type": "string"}, "b": {"ty
 @query(f"SELECT s AS schema, dep AS depth, p AS properties, e AS enum FROM ({sql_values(*((json.dumps(s), a, b, c) for s, a, b, c in SCHEMAS))}) x(s, dep, p, e)")
 def schema_complexity(spark, d):
     """Depth, properties and largest enum of a caller's schema."""
-    measure = F.udf(lambda s: js.measure(json.loads(s)), "depth int, properties int, enum int")
-    return values(spark, "schema string", *((json.dumps(s),) for s, *_ in SCHEMAS)).select("schema", measure("schema").alias("m")).select("schema", "m.*")
+    own = values(spark, "schema string", *((json.dumps(s),) for s, *_ in SCHEMAS))
+    return js.measure_schemas(own.withColumn("text", F.col("schema")), "schema", "text")
+
+
+@query("""WITH k AS (SELECT user_id, event_type, count(DISTINCT props->>'$.k') AS n FROM events GROUP BY ALL)
+SELECT user_id, 3 AS depth, (2 * count(*))::INTEGER AS properties, max(n)::INTEGER AS enum FROM k GROUP BY 1""")
+def event_schema_complexity(spark, d):
+    """A schema of what each user's events hold, by type an array of objects with an enum, measured as a caller's would be."""
+    k = F.get_json_object("props", "$.k")
+    types = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set(k)).alias("enum"))  # distinct values
+    one = F.struct(F.lit("array").alias("type"), F.struct(F.lit("object").alias("type"), F.struct(F.struct("enum").alias("k")).alias("properties")).alias("items"))
+    schemas = types.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", one))).alias("properties"))
+    return js.measure_schemas(schemas.select("user_id", F.to_json(F.struct(F.lit("object").alias("type"), "properties")).alias("schema")), "user_id", "schema")
+
+
+@query("""WITH l AS (SELECT l_orderkey, list({'number': l_linenumber, 'part': l_partkey, 'shipped': strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S'),
+  'state': {'flag': l_returnflag, 'seen': [strftime(l_shipdate, '%Y-%m-%d'), NULL]}} ORDER BY l_linenumber, l_partkey, l_shipdate, l_returnflag) AS lines FROM lineitem GROUP BY 1)
+SELECT o_orderkey, to_json({'status': o_orderstatus, 'ordered': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00', 'lines': lines})::VARCHAR AS properties FROM orders JOIN l ON l_orderkey = o_orderkey""")
+def nested_properties(spark, d):
+    """Orders with their lines, three levels with dates and times in each; what is secret goes wherever it is."""
+    line = F.struct(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part"), F.col("l_shipdate").cast("timestamp_ntz").alias("shipped"), F.struct(F.col("l_returnflag").alias("flag"), F.array(F.col("l_shipdate").cast("date"), F.lit(None)).alias("seen"), F.lit("x").alias("secret")).alias("state"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))  # an order's lines
+    own = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("ordered"), "lines")
+    return own.select("o_orderkey", properties_json(own, ["status", "ordered", "lines"], frozenset({"secret"})).alias("properties"))
 
 
 NESTED = [("r1", [["a", "b"], ["c"]]), ("r2", [[]]), ("r3", [["d"]])]
