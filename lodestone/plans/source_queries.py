@@ -97,11 +97,11 @@ def bulk_entries(spark, d):
     return own.agg(F.count_if(F.col("_corrupt_record").isNull()).alias("inserted"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("failed"))
 
 
-@query(f"WITH {CONTENTS} SELECT doc_id, '{{\"category\":\"' || category || '\",\"created_at\":\"' || strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || 'Z\"}}' AS properties FROM contents")
+@query(f"WITH {CONTENTS} SELECT doc_id, '{{\"category\":\"' || category || '\",\"created_at\":\"' || strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00\"}}' AS properties FROM contents")
 def property_json(spark, d):
     """Properties as JSON with ISO dates, secrets dropped."""
     own = contents(spark, d).withColumn("secret", F.lit("x")).drop("secret")
-    return own.select("doc_id", F.to_json(F.struct("category", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))).alias("properties"))
+    return own.select("doc_id", properties_json(own, ["category", "created_at"]).alias("properties"))
 
 
 QUERIES = [("how do I learn this video",), ("a paper on graphs",), ("anything",)]
