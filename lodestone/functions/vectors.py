@@ -1,12 +1,11 @@
-"""Vector expressions in double precision, and the offline vectorizer."""
+"""Vector expressions in double precision."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
-
+#: Components of the vectors that the engine makes itself.
 DIMENSIONS = 64
 
 
@@ -22,10 +21,3 @@ def cosine(a: Column, b: Column) -> Column:
     """1 - cosine distance; a missing or zero vector scores 0."""
     size = norm(a) * norm(b)
     return F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0))
-
-
-def hashed_vector(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
-    """Stands in for a remote vectorizer: hashed token counts, with length 1."""
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return F.transform(counts, lambda c: F.coalesce(F.try_divide(c, norm(counts)), F.lit(0.0)))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import cells
 from lodestone.operators import search as s
+from lodestone.operators import vectorize
 from lodestone.functions.scalars import uuid5
 from lodestone.functions.vectors import norm
 from lodestone.operators.filters import apply_filter
 from lodestone.operators.index import build, stored
+from lodestone.operators.store import CollectionStore
 from lodestone.plans.registry import query
 from lodestone.runtime import Scratch
 from lodestone.sources.tables import contents, table
@@ -217,3 +219,34 @@ def search_partial(spark, d):
     skipped: dict[str, str] = {}
     found = s.search(legs, QUERY, "keyword", 5, skipped=skipped)
     return found.select("object_id", "score", F.lit(", ".join(sorted(skipped))).alias("skipped"))
+
+
+HASHED = """
+{0}_n AS (SELECT id, ('0x' || substr(md5(t), 1, 7))::INTEGER % 64 AS s, count(*) AS n FROM {0}_t GROUP BY ALL),
+{0}_z AS (SELECT id, sqrt(sum(n * n)) AS z FROM {0}_n GROUP BY 1)"""
+VECTORS = f"""{CONTENTS}, d_t AS (SELECT object_id AS id, unnest({TOKENS.format("concat_ws(' ', title, summary)")}) AS t FROM contents), {HASHED.format('d')}"""
+
+
+def _vectorized(spark: SparkSession, d: str, name: str, *versions: int) -> CollectionStore:
+    """All documents in a store, with vectors of so many components, one version after another."""
+    store = CollectionStore(spark, Scratch(spark, name).root)
+    store.append("ContentAnalyses", contents(spark, d))
+    for dimensions in versions:
+        vectorize.revectorize(store, "ContentAnalyses", dimensions)
+    return store
+
+
+@query(f"""WITH {VECTORS}, q_t AS (SELECT 0 AS id, unnest({TOKENS.format(f"'{QUERY}'")}) AS t), {HASHED.format('q')}
+SELECT d_n.id AS object_id, round(sum(d_n.n * q_n.n) / any_value(d_z.z * q_z.z), 6) AS score FROM d_n JOIN q_n USING (s) JOIN d_z ON d_z.id = d_n.id, q_z GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def search_near_text(spark, d):
+    """A text's nearest documents by vectors that the engine has made of title and summary."""
+    return vectorize.near_text(_vectorized(spark, d, "near_text", 64), "ContentAnalyses", QUERY, 10).select("object_id", "score")
+
+
+@query(f"""WITH {VECTORS}, w AS (SELECT id, s, n / z AS w FROM d_n JOIN d_z USING (id))
+SELECT object_id, count(w) AS slots, round(coalesce(sum(w), 0), 6) AS total, arg_max(s, (w, -s)) AS heaviest FROM contents LEFT JOIN w ON id = object_id GROUP BY 1""")
+def revectorized(spark, d):
+    """The vectors of all documents after they have been made anew."""
+    index, dimensions = vectorize.vectors_of(_vectorized(spark, d, "revectorized", 16, 64), "ContentAnalyses")
+    own = index.rows.select("object_id", F.posexplode("__v").alias("s", "w")).groupBy("object_id").agg(F.count_if(F.col("w") > 0).alias("slots"), F.round(F.sum("w"), 6).alias("total"), F.max_by(F.when(F.col("w") > 0, F.col("s")), F.struct("w", -F.col("s"))).alias("heaviest"))
+    return own.select("object_id", "slots", "total", "heaviest")
