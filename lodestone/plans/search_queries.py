@@ -15,7 +15,7 @@ from lodestone.operators.index import build, stored
 from lodestone.operators.store import CollectionStore
 from lodestone.plans.registry import query
 from lodestone.runtime import Scratch
-from lodestone.sources.tables import contents, table
+from lodestone.sources.tables import contents, first_line, table
 
 QUERY = "the worthless idea of an idiot"
 TOKENS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -230,7 +230,9 @@ VECTORS = f"""{CONTENTS}, d_t AS (SELECT object_id AS id, unnest({TOKENS.format(
 def _vectorized(spark: SparkSession, d: str, name: str, *versions: int) -> CollectionStore:
     """All documents in a store, with vectors of so many components, one version after another."""
     store = CollectionStore(spark, Scratch(spark, name).root)
-    store.append("ContentAnalyses", contents(spark, d))
+    named = uuid5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    docs = table(spark, d, "documents")  # without labels, a join with which would shuffle whole texts
+    store.append("ContentAnalyses", docs.select(named.alias("object_id"), first_line().alias("title"), F.col("text").alias("summary"), F.col("source").alias("source_tool"), F.col("lang").alias("category")))
     for dimensions in versions:
         vectorize.revectorize(store, "ContentAnalyses", dimensions)
     return store
