@@ -63,3 +63,21 @@ def registry_actions(df: DataFrame, key: list[str], ts: str, tie: str, ttl_secon
     own = df.withColumn("__b", before)
     action = F.when(F.col("__b").isNull(), "create").when(F.unix_micros(ts) - F.col("__b") > ttl_seconds * 1_000_000, "stale").otherwise("hit")
     return own.groupBy(*key, action.alias("action")).agg(F.count("*").alias("n"))
+
+
+def registry_events(df: DataFrame, key: list[str], ts: str, tie: str, size: str, ttl_seconds: int, least: float) -> DataFrame:
+    """key, tie, action of a cache registry for each request.
+
+    create: the key had no entry; hit: it had one that was used within the TTL, which each use begins anew; stale: it had one
+    that was older, in whose place a new one was made; suppress: an entry was due, but ``size`` is below ``least``, and from then on all requests of the
+    key are suppressed.  A size that is null or no number is too small.
+    """
+    order = Window.partitionBy(*key).orderBy(ts, tie)
+    us = F.unix_micros(ts)
+    gap = us - F.lag(us).over(order)
+    due = gap.isNull() | (gap > ttl_seconds * 1_000_000)
+    small = F.coalesce((F.col(size) < least) | F.isnan(F.col(size).cast("double")), F.lit(True))
+    own = df.select(*key, tie, ts, gap.alias("__gap"), due.alias("__due"), (due & small).alias("__no"))
+    barred = F.coalesce(F.max("__no").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    action = F.when(barred, "suppressed").when(F.col("__no"), "suppress").when(F.col("__gap").isNull(), "create").when(F.col("__due"), "stale").otherwise("hit")
+    return own.select(*key, tie, action.alias("action"))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import annotate as a
 from lodestone.plans.registry import query
+from lodestone.plans.window_queries import REGISTRY_SQL
 from lodestone.runtime import Scratch
 from lodestone.sources.tables import table
 from lodestone.streaming import machines as m
 from lodestone.streaming.capacity import run_capped
+from lodestone.streaming.registry import PROVIDER, registry_stream
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -102,6 +104,15 @@ def stream_capacity(spark, d):
     return gone.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), "evicted", F.col("last_tie").alias("last_event_id"))
 
 
+@query(f"""WITH {REGISTRY_SQL} SELECT user_id, event_type, event_id, action, us FROM a
+UNION ALL SELECT user_id, event_type, NULL, 'expired', us + 7200000000 FROM a WHERE action IN ('create', 'hit', 'stale') AND (n - us > 7200000000 OR n IS NULL AND us + 7200000000 < (SELECT max(epoch_us(ts)) - 3600000000 FROM events))""")
+def stream_registry(spark, d):
+    """The registry over a stream; entries that nobody uses end by a timer, the last ones when the watermark has passed them."""
+    s, scratch = _stream(spark, d)
+    own = registry_stream(s, ["user_id", "event_type"], "event_id", "value", 7200, 10)
+    return m.run_to_parquet(own, scratch.path("out"), scratch.path("c"), provider=PROVIDER)
+
+
 def _inputs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), "text")
 

@@ -88,6 +88,18 @@ def cache_registry_actions(spark, d):
     return state.registry_actions(trace(spark, d), ["user_id", "event_type"], "ts", "event_id", 3600)
 
 
+#: Actions a of each request in SQL, with us and the time n of the key's next request.
+REGISTRY_SQL = """g AS (SELECT event_id, user_id, event_type, value, ts, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, lead(epoch_us(ts)) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+f AS (SELECT *, coalesce(bool_or((gap IS NULL OR gap > 7200000000) AND coalesce(value < 10, true)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS barred FROM g),
+a AS (SELECT *, CASE WHEN barred THEN 'suppressed' WHEN gap <= 7200000000 THEN 'hit' WHEN coalesce(value < 10, true) THEN 'suppress' WHEN gap IS NULL THEN 'create' ELSE 'stale' END AS action FROM f)"""
+
+
+@query(f"WITH {REGISTRY_SQL} SELECT user_id, event_type, event_id, action FROM a")
+def cache_registry_events(spark, d):
+    """What a registry does with each request; keys whose entry would be too small are suppressed."""
+    return state.registry_events(trace(spark, d), ["user_id", "event_type"], "ts", "event_id", "value", 7200, 10)
+
+
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-05' ORDER BY event_id LIMIT 50")
 def trace_errors(spark, d):
     """A23."""

@@ -146,23 +146,6 @@ def inject_notes(spark, d):
     return own.select(F.regexp_extract("f", "/([^/]+)/input.txt$", 1).alias("project"), "note")
 
 
-@query("""WITH h(lang, s, p) AS (VALUES ('es', 'Fuente', 'Resumen'), ('en', 'Source', 'Summary'), ('de', 'Source', 'Summary'), ('fr', 'Source', 'Summary'))
-SELECT doc_id, '# ' || split_part(text, chr(10), 1) || chr(10) || chr(10) || '**' || s || ':** ' || source || chr(10) || chr(10)
-  || CASE WHEN text = '' THEN '' ELSE '## ' || p || chr(10) || chr(10) || text || chr(10) || chr(10) END
-  || CASE WHEN lang = 'es' THEN '## Temas' ELSE '## Topics' END || chr(10) || chr(10) || lang || ', ' || source || chr(10) AS page FROM documents JOIN h USING (lang)""")
-def analysis_pages(spark, d):
-    """Results as markdown with headings of their language, English where that isn't known."""
-    docs, c = table(spark, d, "documents"), F.col
-    return docs.select("doc_id", render.analysis_markdown(c("lang"), first_line(), c("source"), c("text"), F.array().cast("array<string>"), F.array("lang", "source")).alias("page"))
-
-
-@query("""SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html lang="' || lang || '"><head><title>' || t || '</title></head><body><h1>' || CASE lang WHEN 'es' THEN 'Mapa Conceptual' ELSE 'Concept Map' END || '</h1><p>' || source || '</p></body></html>' AS page
-FROM (SELECT doc_id, lang, source, replace(replace(replace(replace(replace(split_part(text, chr(10), 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS t FROM documents)""")
-def concept_pages(spark, d):
-    """Pages with escaped texts."""
-    return table(spark, d, "documents").select("doc_id", render.page_html(F.col("lang"), first_line(), F.col("source")).alias("page"))
-
-
 VIDEOS = [("A \"b\" 100%", "Ch", "Music", "4:13", ["x", "y"]), ("T", "Ch", "", "0:00", []), ("T", "Ch", None, "1:00", [str(i) for i in range(12)])]
 
 
@@ -277,18 +260,3 @@ def knowledge_query(spark, d):
     leg = _docs_leg(spark, d)
     hits = search.with_properties(leg, search.top(search.keyword(leg, QUERY), 10, leg), title=F.col("title"))
     return hits.select(F.lit(leg.name).alias("collection"), "object_id", "title", F.lit(True).alias("deprecated"))
-
-
-@query("SELECT 'ResearchPlans' AS collection, count(*) AS objects, count(*) AS ids FROM documents UNION ALL SELECT 'ResearchFindings', count(*), count(*) FROM documents UNION ALL SELECT 'WebSearchResults', count(*), count(*) FROM documents")
-def research_stores(spark, d):
-    """J (research_plan, research_assess_evidence, web_search): what these tools keep, appended to their collections."""
-    s = _store(spark, "research")
-    docs = table(spark, d, "documents")
-    lines = F.split("text", "\n")
-    rows = {
-        "ResearchPlans": docs.select(first_line().alias("topic"), F.lit("moderate").alias("scope"), lines.alias("task_decomposition"), F.lit("[]").alias("phases_json")),
-        "ResearchFindings": docs.select(first_line().alias("claim"), F.lit("INFERENCE").alias("evidence_tier"), F.array("source").alias("supporting"), F.lit(0.5).alias("confidence")),
-        "WebSearchResults": docs.select(first_line().alias("query"), F.col("text").alias("response"), F.to_json(F.array(F.struct(F.col("source").alias("title")))).alias("sources_json")),
-    }
-    out = [s.append(name, own).agg(F.lit(name).alias("collection"), F.count("*").alias("objects"), F.count_distinct("object_id").alias("ids")) for name, own in rows.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -117,9 +117,17 @@ def last_turns(turns: DataFrame, keep: int, key: str = "conv_id", ttl: str | Non
     return turns.select(key, "turn", "text").groupBy(key).applyInPandasWithState(step, f"{key} long, turn_count long, history array<string>", "n long, kept array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)
 
 
-def run_to_parquet(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """Run over what there is into Parquet, exactly once by the sink's log."""
-    stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_to_parquet(stream: DataFrame, folder: str, checkpoint: str, provider: str | None = None) -> DataFrame:
+    """Run over what there is into Parquet, exactly once by the sink's log; ``provider`` is the class of the state store, if not the session's."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    if provider:
+        conf.set(name, provider)
+    try:
+        own = stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+    own.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
