@@ -153,6 +153,11 @@ def video_id(url: Column) -> Column:
     return F.when(valid_id(found), found)
 
 
+def video_url(found: Column) -> Column:
+    """The one form of a video's address, from its id."""
+    return F.concat(F.lit("https://www.youtube.com/watch?v="), found)
+
+
 def is_video_url(url: Column) -> Column:
     return F.coalesce(url_host(url).isin(VIDEO_HOSTS + SHORT_HOSTS), F.lit(False))
 

@@ -18,17 +18,28 @@ def _sql(rows):
     return f"({sql_values(*((r,) for r in rows))}) x(s)"
 
 
-DURATIONS = ["PT4M13S", "PT1H2M3S", "PT2H", "PT45S", "PT10M", "", None, "not-a-duration", "P1DT2H", "PT1.5S", "PT"]
+def _shaped(spark, d, name, key, forms):
+    """n, s: a text for each row of a table, of one of the forms by turns, with the row's key where it has {n}."""
+    form = F.element_at(F.array(*(F.lit(f).cast("string") for f in forms)), (F.pmod(key, F.lit(len(forms))) + 1).cast("int"))
+    return table(spark, d, name).select(F.col(key).alias("n"), F.replace(form, F.lit("{n}"), F.col(key).cast("string")).alias("s"))
+
+
+def _shaped_sql(name, key, forms):
+    texts = ", ".join("NULL" if f is None else "'" + f.replace("'", "''") + "'" for f in forms)
+    return f"(SELECT {key} AS n, replace([{texts}][{key} % {len(forms)} + 1], '{{n}}', {key}::VARCHAR) AS s FROM {name}) x"
+
+
+DURATIONS = ["PT{n}M7S", "PT1H{n}M9S", "PT{n}H", "PT{n}S", "PT1H{n}S", "", None, "lasts {n}", "P{n}DT2H", "PT{n}.5S", "PT", "XPT{n}S"]
 PART = "coalesce(try_cast(nullif(regexp_extract(s, '^PT(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+)S)?', {}), '') AS BIGINT), 0)"
 SECONDS = f"{PART.format(1)} * 3600 + {PART.format(2)} * 60 + {PART.format(3)}"
 SHOW = "CASE WHEN n <= 0 THEN '0:00' WHEN n >= 3600 THEN (n // 3600) || ':' || lpad((n % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((n % 60)::VARCHAR, 2, '0') ELSE (n // 60) || ':' || lpad((n % 60)::VARCHAR, 2, '0') END"
 
 
-@query(f"SELECT s, n AS seconds, {SHOW} AS shown, CASE WHEN n > 0 AND n < 300 THEN 2.0 WHEN n > 1800 THEN 1.0 END::DOUBLE AS rate FROM (SELECT s, {SECONDS} AS n FROM {_sql(DURATIONS)})")
+@query(f"SELECT event_id, s, n AS seconds, {SHOW} AS shown, CASE WHEN n > 0 AND n < 300 THEN 2.0 WHEN n > 1800 THEN 1.0 END::DOUBLE AS rate FROM (SELECT n AS event_id, s, {SECONDS} AS n FROM {_shaped_sql('events', 'event_id', DURATIONS)})")
 def duration_parse_format(spark, d):
     """H1, H2, H34."""
-    own = _strings(spark, DURATIONS).withColumn("seconds", x.duration_seconds(F.col("s")))
-    return own.select("s", "seconds", x.format_seconds(F.col("seconds")).alias("shown"), x.sampling_rate(F.col("seconds")).alias("rate"))
+    own = _shaped(spark, d, "events", "event_id", DURATIONS).withColumnRenamed("n", "event_id").withColumn("seconds", x.duration_seconds(F.col("s")))
+    return own.select("event_id", "s", "seconds", x.format_seconds(F.col("seconds")).alias("shown"), x.sampling_rate(F.col("seconds")).alias("rate"))
 
 
 @query(f"SELECT event_id, {SHOW} AS shown FROM (SELECT event_id, event_id % 9000 AS n FROM events)")
@@ -37,15 +48,15 @@ def duration_format_events(spark, d):
     return table(spark, d, "events").select("event_id", x.format_seconds(F.col("event_id") % 9000).alias("shown"))
 
 
-TIMES = ["00:30", "02:15", "1:00:00", "invalid", "5:5", "99:99", "1:02:03:04", None]
+TIMES = ["{n}:30", "7:{n}", "1:{n}:07", "at {n}", "{n}:{n}", "99:99", "4:03:02:01", None, "00:{n}"]
 
 
-@query(f"""SELECT s, coalesce(regexp_matches(s, '^[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?$'), false) AS ok,
-CASE WHEN coalesce(regexp_matches(s, '^[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?$'), false) THEN list_reduce(list_prepend(0, list_transform(string_split(s, ':'), lambda p: p::INTEGER)), lambda a, b: a * 60 + b) END AS seconds FROM {_sql(TIMES)}""")
+@query(f"""SELECT n AS event_id, s, coalesce(regexp_matches(s, '^[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?$'), false) AS ok,
+CASE WHEN coalesce(regexp_matches(s, '^[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?$'), false) THEN list_reduce(list_prepend(0, list_transform(string_split(s, ':'), lambda p: p::INTEGER)), lambda a, b: a * 60 + b) END AS seconds FROM {_shaped_sql('events', 'event_id', TIMES)}""")
 def timecode_seconds(spark, d):
     """H3, H4, H9."""
-    own = _strings(spark, TIMES).withColumn("ok", x.is_timecode(F.col("s")))
-    return own.select("s", "ok", F.when(F.col("ok"), x.timecode_seconds(F.col("s"))).alias("seconds"))
+    own = _shaped(spark, d, "events", "event_id", TIMES).withColumnRenamed("n", "event_id").withColumn("ok", x.is_timecode(F.col("s")))
+    return own.select("event_id", "s", "ok", F.when(F.col("ok"), x.timecode_seconds(F.col("s"))).alias("seconds"))
 
 
 SLUG = "nullif(substr(trim(regexp_replace(regexp_replace(replace(lower({0}), ' ', '-'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-'), 1, 50), '')"
@@ -103,43 +114,44 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", x.short_hash(F.col("text")).alias("h16"), x.short_hash(F.col("lang"), 12).alias("h12"))
 
 
-URLS = ["https://www.youtube.com/watch?v=abc123", "https://youtu.be/xyz789?t=3", "https://www.youtube.com/shorts/short123", "https://youtube.com/embed/e-1/", "https://notyoutube.com/watch?v=abc123", "https://youtube.com.evil.test/watch?v=a", "../../tmp/pwn", "foo/bar", "id%00null", "abc\\123", "https://www.youtube.com/watch?v=a&list=PL-9_z", "https://www.youtube.com/playlist?list=PLx", "", None]
+URLS = ["https://www.youtube.com/watch?v=deep-{n}", "https://youtu.be/sq_{n}?t=9", "https://www.youtube.com/shorts/s{n}", "https://m.youtube.com/embed/{n}/", "https://youtube.com.mirror{n}.test/watch?v=q", "https://video{n}.test/watch?v=k{n}", "../{n}/out", "dir{n}/file", "v%00{n}", "back\\{n}", "https://music.youtube.com/watch?v={n}&list=LM_{n}", "https://www.youtube.com/playlist?list=OL{n}", "", None, "id_{n}"]
 HOST = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 PATH = "regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 VIDEO, SHORT = "('youtube.com', 'www.youtube.com', 'm.youtube.com', 'music.youtube.com')", "('youtu.be', 'www.youtu.be')"
 
 
-@query(f"""WITH u AS (SELECT s, replace(trim(s), '\\', '') AS u FROM {_sql(URLS)}), p AS (SELECT *, {HOST.format('u')} AS host, {PATH.format('u')} AS path FROM u),
-f AS (SELECT s, coalesce(CASE WHEN host IN {SHORT} THEN regexp_extract(path, '^/([^/&]*)', 1) END, CASE WHEN host IN {VIDEO} THEN coalesce(nullif(regexp_extract(u, '[?&]v=([^&#]*)', 1), ''), nullif(regexp_extract(path, '^/(?:shorts|embed|live)/([^/&]*)', 1), '')) END, CASE WHEN NOT contains(u, '://') THEN u END) AS f FROM p)
-SELECT s, CASE WHEN regexp_full_match(f, '[A-Za-z0-9_-]{{1,64}}') THEN f END AS video_id FROM f""")
+@query(f"""WITH u AS (SELECT s, replace(trim(s), '\\', '') AS u, n FROM {_shaped_sql('documents', 'doc_id', URLS)}), p AS (SELECT *, {HOST.format('u')} AS host, {PATH.format('u')} AS path FROM u),
+f AS (SELECT n, s, coalesce(CASE WHEN host IN {SHORT} THEN regexp_extract(path, '^/([^/&]*)', 1) END, CASE WHEN host IN {VIDEO} THEN coalesce(nullif(regexp_extract(u, '[?&]v=([^&#]*)', 1), ''), nullif(regexp_extract(path, '^/(?:shorts|embed|live)/([^/&]*)', 1), '')) END, CASE WHEN NOT contains(u, '://') THEN u END) AS f FROM p)
+SELECT n, s, CASE WHEN regexp_full_match(f, '[A-Za-z0-9_-]{{1,64}}') THEN f END AS video_id, CASE WHEN regexp_full_match(f, '[A-Za-z0-9_-]{{1,64}}') THEN 'https://www.youtube.com/watch?v=' || f END AS url FROM f""")
 def video_id_extract(spark, d):
     """H13, H14, H15."""
-    return _strings(spark, URLS).select("s", x.video_id(F.col("s")).alias("video_id"))
+    own = _shaped(spark, d, "documents", "doc_id", URLS).select("n", "s", x.video_id(F.col("s")).alias("video_id"))
+    return own.withColumn("url", x.video_url(F.col("video_id")))
 
 
-@query(f"SELECT s, coalesce(h IN {VIDEO} OR h IN {SHORT}, false) AS is_video, CASE WHEN (h IN {VIDEO} OR h IN {SHORT}) AND regexp_full_match(l, '[A-Za-z0-9_-]{{1,64}}') THEN l END AS playlist FROM (SELECT s, {HOST.format('s')} AS h, regexp_extract(s, '[?&]list=([^&#]*)', 1) AS l FROM {_sql(URLS)})")
+@query(f"SELECT n, s, coalesce(h IN {VIDEO} OR h IN {SHORT}, false) AS is_video, CASE WHEN (h IN {VIDEO} OR h IN {SHORT}) AND regexp_full_match(l, '[A-Za-z0-9_-]{{1,64}}') THEN l END AS playlist FROM (SELECT n, s, {HOST.format('s')} AS h, regexp_extract(s, '[?&]list=([^&#]*)', 1) AS l FROM {_shaped_sql('documents', 'doc_id', URLS)})")
 def playlist_id(spark, d):
     """H16, H17."""
-    return _strings(spark, URLS).select("s", x.is_video_url(F.col("s")).alias("is_video"), x.playlist_id(F.col("s")).alias("playlist"))
+    return _shaped(spark, d, "documents", "doc_id", URLS).select("n", "s", x.is_video_url(F.col("s")).alias("is_video"), x.playlist_id(F.col("s")).alias("playlist"))
 
 
-PAPERS = ["https://arxiv.org/abs/2401.12345v2", "http://arxiv.org/pdf/2401.12345v2.pdf", "https://www.arxiv.org/abs/2401.12345/", "https://arxiv.org/abs/2401.1?x=1", "https://example.org/abs/1", "https://arxiv.org/list/cs"]
+PAPERS = ["https://arxiv.org/abs/1905.{n}v3", "http://arxiv.org/pdf/1905.{n}.pdf", "https://www.arxiv.org/abs/1905.{n}/", "https://arxiv.org/abs/{n}.7?from=list", "https://papers.test/abs/{n}", "https://arxiv.org/list/math/{n}", None]
 
 
-@query(f"SELECT s, CASE WHEN f <> '' THEN 'https://arxiv.org/pdf/' || f || '.pdf' ELSE s END AS pdf FROM (SELECT s, regexp_extract(s, '^https?://(?:www\\.)?arxiv\\.org/(?:abs|pdf)/([^?#]+?)(?:\\.pdf)?/?(?:[?#].*)?$', 1) AS f FROM {_sql(PAPERS)})")
+@query(f"SELECT n, s, CASE WHEN f <> '' THEN 'https://arxiv.org/pdf/' || f || '.pdf' ELSE s END AS pdf FROM (SELECT n, s, regexp_extract(s, '^https?://(?:www\\.)?arxiv\\.org/(?:abs|pdf)/([^?#]+?)(?:\\.pdf)?/?(?:[?#].*)?$', 1) AS f FROM {_shaped_sql('documents', 'doc_id', PAPERS)})")
 def arxiv_normalise(spark, d):
     """H18."""
-    return _strings(spark, PAPERS).select("s", x.paper_pdf(F.col("s")).alias("pdf"))
+    return _shaped(spark, d, "documents", "doc_id", PAPERS).select("n", "s", x.paper_pdf(F.col("s")).alias("pdf"))
 
 
-STORES = ["localhost:8080", "172.67.10.20:8080", "172.16.5.10:8080", "${STORE_URL:-}", "", None, "https://a.b", "10.0.0.1", "example.com", "192.168.1.1:1"]
+STORES = ["localhost:{n}", "172.40.3.9:{n}", "172.20.3.9:{n}", "${KEPT_IN_{n}:-}", "", None, "https://kept{n}.test", "10.9.8.7", "kept{n}.test", "192.168.7.7:{n}", " http://kept{n}.test ", "127.0.0.9:{n}"]
 PRIVATE = "(h IN ('localhost', '0.0.0.0') OR regexp_matches(h, '^(127|10)\\.[0-9.]+$|^192\\.168\\.[0-9.]+$|^172\\.(1[6-9]|2[0-9]|3[01])\\.[0-9.]+$'))"
 
 
-@query(f"SELECT s, CASE WHEN t = '' OR starts_with(t, '${{') THEN '' WHEN regexp_matches(t, '^https?://') THEN t WHEN {PRIVATE} THEN 'http://' || t ELSE 'https://' || t END AS url FROM (SELECT s, trim(coalesce(s, '')) AS t, lower(regexp_extract(trim(coalesce(s, '')), '^([^/:]*)', 1)) AS h FROM {_sql(STORES)})")
+@query(f"SELECT n, s, CASE WHEN t = '' OR starts_with(t, '${{') THEN '' WHEN regexp_matches(t, '^https?://') THEN t WHEN {PRIVATE} THEN 'http://' || t ELSE 'https://' || t END AS url FROM (SELECT n, s, trim(coalesce(s, '')) AS t, lower(regexp_extract(trim(coalesce(s, '')), '^([^/:]*)', 1)) AS h FROM {_shaped_sql('documents', 'doc_id', STORES)})")
 def store_url(spark, d):
     """H19."""
-    return _strings(spark, STORES).select("s", x.store_url(F.col("s")).alias("url"))
+    return _shaped(spark, d, "documents", "doc_id", STORES).select("n", "s", x.store_url(F.col("s")).alias("url"))
 
 
 @query(f"""SELECT page_id, CASE WHEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) <> 'https' THEN 'not https' WHEN h = '' THEN 'no host' ELSE 'ok' END AS policy, h AS host FROM (SELECT page_id, url, {HOST.format('url')} AS h FROM pages)""")
@@ -231,20 +243,20 @@ def code_extraction(spark, d):
     return _strings(spark, [t for t, _ in CODE]).select("s", x.fenced_code(F.col("s")).alias("code"))
 
 
-MESSAGES = ["429 Too Many Requests", "Quota exceeded for x", "RESOURCE_EXHAUSTED: y", "Request timeout after 5", "503 Service Unavailable", "service unavailable", "400 Bad Request", "Not found", "Permission denied", "unsupported extension", None, "boom"]
+MESSAGES = ["HTTP 429 for request {n}", "daily QUOTA of {n} used up", "resource_exhausted ({n})", "Timeout: {n} ms", "status 503, try {n}", "Service Unavailable until {n}", "status 400 in {n}", "no row {n}", "denied to user {n}", "extension .{n}", None, "boom {n}"]
 
 
-@query(f"""SELECT s, coalesce(regexp_matches(lower(s), '429|quota|resource_exhausted|timeout|503|service unavailable'), false) AS retryable FROM {_sql(MESSAGES)}""")
+@query(f"""SELECT n, s, coalesce(regexp_matches(lower(s), '429|quota|resource_exhausted|timeout|503|service unavailable'), false) AS retryable FROM {_shaped_sql('events', 'event_id', MESSAGES)}""")
 def retryable(spark, d):
     """D18, H23."""
-    return _strings(spark, MESSAGES).select("s", x.retryable(F.col("s")).alias("retryable"))
+    return _shaped(spark, d, "events", "event_id", MESSAGES).select("n", "s", x.retryable(F.col("s")).alias("retryable"))
 
 
 #: message, kind, category, whether to try again, seconds to wait.
 ERRORS = [
-    ("429 Too Many Requests", None, "API_QUOTA_EXCEEDED", True, 60),
-    ("Quota exceeded for x", None, "API_QUOTA_EXCEEDED", True, 60),
-    ("RESOURCE_EXHAUSTED: y", None, "API_QUOTA_EXCEEDED", True, 60),
+    ("answered 429", None, "API_QUOTA_EXCEEDED", True, 60),
+    ("over the quota of today", None, "API_QUOTA_EXCEEDED", True, 60),
+    ("code RESOURCE_EXHAUSTED", None, "API_QUOTA_EXCEEDED", True, 60),
     ("403 Permission denied", None, "API_PERMISSION_DENIED", False, None),
     ("403 Forbidden", None, "VIDEO_RESTRICTED", False, None),
     ("Permission denied", None, "UNKNOWN", False, None),
@@ -294,13 +306,13 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-JSONS = ['{"a":1}', "[1,2]", "not json", '"s"', "3", None]
+JSONS = ['{"a":{n}}', "[{n},2]", "no json {n}", '"s{n}"', "{n}", None, "[{n}"]
 
 
-@query(f"SELECT s, coalesce(CASE WHEN json_valid(s) THEN s END, s) AS j FROM {_sql(JSONS)}")
+@query(f"SELECT n, s, coalesce(CASE WHEN json_valid(s) THEN s END, s) AS j FROM {_shaped_sql('events', 'event_id', JSONS)}")
 def json_lenient(spark, d):
     """What isn't JSON stays as it is."""
-    return _strings(spark, JSONS).select("s", x.lenient_json(F.col("s")).alias("j"))
+    return _shaped(spark, d, "events", "event_id", JSONS).select("n", "s", x.lenient_json(F.col("s")).alias("j"))
 
 
 PAIRS = [(1, None), (2, ""), (3, "v")]
@@ -321,15 +333,15 @@ def tag_list(spark, d):
     return values(spark, "id int, t array<string>", *TAGS).select("id", x.tag_list(F.col("t")).alias("tags"))
 
 
-PATHS = ["/data/a.PDF", "b/c.html", "noext", "x.tar.gz", "/root/app/a.md", "/root/application/a.mp4"]
+PATHS = ["/in/{n}.PDF", "b/c{n}.html", "plain{n}", "x{n}.tar.gz", "/root/app/{n}.md", "/root/application/{n}.mp4", "/root/app"]
 MIME = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in x.MIME_TYPES.items())
 
 
-@query(f"SELECT s, parse_filename(s) AS name, CASE lower(regexp_extract(parse_filename(s), '\\.([^.]+)$', 1)) {MIME} END AS mime, s = '/root/app' OR starts_with(s, '/root/app/') AS inside FROM {_sql(PATHS)}")
+@query(f"SELECT n, s, parse_filename(s) AS name, CASE lower(regexp_extract(parse_filename(s), '\\.([^.]+)$', 1)) {MIME} END AS mime, s = '/root/app' OR starts_with(s, '/root/app/') AS inside FROM {_shaped_sql('documents', 'doc_id', PATHS)}")
 def file_paths(spark, d):
     """H20, H38, H33, D16."""
     s = F.col("s")
-    return _strings(spark, PATHS).select("s", x.basename(s).alias("name"), x.mime_type(s).alias("mime"), x.within(s, "/root/app").alias("inside"))
+    return _shaped(spark, d, "documents", "doc_id", PATHS).select("n", "s", x.basename(s).alias("name"), x.mime_type(s).alias("mime"), x.within(s, "/root/app").alias("inside"))
 
 
 STAMPS = [("ok", 0, "00:30"), ("ok", 1, "02:15"), ("ok", 2, "10:00"), ("bad", 0, "05:00"), ("bad", 1, "01:00"), ("bad", 2, "03:00"), ("mix", 0, "02:00"), ("mix", 1, "invalid"), ("mix", 2, "01:30"), ("h", 0, "1:00:00"), ("h", 1, "1:30:00")]
