@@ -212,7 +212,10 @@ def best_threshold(log_odds: np.ndarray, y: np.ndarray) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAIN, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
-    """Distinct texts and labels of at most 2 * ``most`` documents for each category.  ``labels`` has a column of 0 and 1 for each."""
+    """Distinct texts and labels of at most 2 * ``most`` documents for each category.  ``labels`` has a column of 0 and 1 for each.
+
+    Of an id that repeats with different texts, the smallest text counts.
+    """
     spark = docs.sparkSession
     own = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(c) for c in categories)).dropna().groupBy("id").agg(*(F.max(c).alias(c) for c in categories))
     own = Scratch(spark, "labels").keep(own.withColumn("h", F.xxhash64("id")), "labels")
@@ -221,7 +224,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, .
     for p in parts[1:]:
         picked = picked.union(p)
     picked = F.broadcast(picked.dropDuplicates(["id"]))  # 2 * most * categories rows of a few numbers at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, "id").groupBy("id").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in categories), F.first("h").alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, "id").groupBy("id").agg(F.min("text").alias("text"), *(F.min(c).alias(c) for c in categories), F.min("h").alias("h"))
     rows = sorted(rows.toPandas().itertuples(index=False), key=lambda r: (r.h, str(r.id)))
     seen: dict[str, tuple] = {}
     for r in rows:

@@ -132,7 +132,7 @@ def url_verdicts(
 
 
 def _by_trie(spark: SparkSession, df: DataFrame, rules: list, id_col: str, url_col: str, default: str) -> DataFrame:
-    own = df.select(id_col, F.col(url_col).cast("string").alias("__url"))
+    own = df.select(F.col(id_col).alias("__id"), F.col(url_col).cast("string").alias("__url"))
     text = [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]
     trie = spark.sparkContext.broadcast(RuleTrie(rules))
 
@@ -147,7 +147,7 @@ def _by_trie(spark: SparkSession, df: DataFrame, rules: list, id_col: str, url_c
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in out)], [id_col, "host", "path", "rule", "verdict"])
 
-    return own.mapInArrow(judge, T.StructType([own.schema[0], *text]))
+    return own.mapInArrow(judge, T.StructType([T.StructField(id_col, own.schema[0].dataType), *text]))
 
 
 def _by_join(spark: SparkSession, df: DataFrame, rules: DataFrame, id_col: str, url_col: str, default: str) -> DataFrame:

@@ -104,3 +104,12 @@ def test_query_and_stage(spark, sf_dir, tmp_path):
     left = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path)).collect()
     gone = {r[0] for r in want if r[-1]}
     assert sorted(str(r.doc_id) for r in left) == sorted(str(i) for i, _ in rows if i not in gone)
+
+
+def test_ids_that_repeat(spark):
+    """Of texts under one id the smallest trains, whatever the order of rows."""
+    rows = [(1, "b"), (1, "a"), (1, None), (2, "c"), (2, "d")]
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id long, low_quality int, toxic int")
+    for own in (rows, rows[::-1]):
+        texts, y = tx.labelled_sample(spark.createDataFrame(own, "doc_id long, text string"), labels)
+        assert sorted(zip(texts, y.tolist())) == [("a", [0, 0]), ("c", [1, 1])]

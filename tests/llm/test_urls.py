@@ -28,3 +28,10 @@ def test_urls(spark):
             assert Counter(map(tuple, got.collect())) == want, most
     assert urls.url_verdicts(df.limit(0), rules).count() == 0
     assert urls.url_verdicts(df, spark.createDataFrame(rules, urls.RULE_SCHEMA)).count() == len(all_urls)
+
+
+def test_id_with_an_inner_name(spark):
+    df = spark.createDataFrame([("http://example.com/en/", "http://x.net/es/")], "__url string, url string")
+    for most in (1000, 0):
+        got = urls.url_verdicts(df, urls.RULES, id_col="__url", max_rules=most).collect()
+        assert [(r["__url"], r.host, r.verdict) for r in got] == [("http://example.com/en/", "x.net", "block")]
