@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm._rows import SPACE, keep_rows, place, placed
+from lodestone.llm._workers import kept
 from lodestone.llm.bloom import RepeatedFilter, filter_bits, repeated_filter
 from lodestone.runtime import Scratch
 
@@ -33,6 +34,7 @@ def _digests(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     schema = T.StructType([own.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("n_chars", T.LongType()), T.StructField("h", T.LongType()), *own.schema.fields[2:]])
 
     def digest(batches):
+        kept("exact")
         sha = hashlib.sha256
         for b in batches:
             text = b.column(1)

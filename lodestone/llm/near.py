@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm._rows import look_up, place, placed
+from lodestone.llm._workers import kept
 from lodestone.llm.components import components
 from lodestone.llm.simhash import labelled, majority, one_left, shingle_hashes, within
 from lodestone.runtime import Scratch, shuffle_partitions
@@ -123,6 +124,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, similarity
     factors = np.random.default_rng(42).integers(0, 1 << 63, BANDS * band_rows(similarity), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
+        kept("near")
         for b in batches:
             sets = [shingle_set(x.as_py(), width) for x in b.column(1)]
             fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
@@ -144,6 +146,7 @@ def links(df: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int
     picks = docs.select("fp", "place").join(groups, "fp").groupBy("fp", "root").agg(F.min("place").alias("place")).join(sizes, "root")
 
     def whole(pairs):
+        kept("near")
         for b, found in pairs:
             for part, rows, at in found:
                 sets = [shingle_set(b.column(0)[i].as_py(), width) for i in rows]

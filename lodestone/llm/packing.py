@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestone.llm._rows import look_up
+from lodestone.llm._workers import kept
 from lodestone.llm.wordcache import WordCache, parts, split_words
 from lodestone.runtime import Scratch
 
@@ -372,14 +373,12 @@ class WordTokenizer:
         return [known[a] + known[b] if b else known[a] for a, b in parts]
 
 
-_encoders: dict[str, WordCache] = {}
-
-
 def word_ids(path: str) -> WordCache:
     """Ids of words by a tokenizers file that drops white space, so that words are tokenized apart from each other."""
-    if path not in _encoders:
-        _encoders[path] = WordCache(WordTokenizer(path))
-    return _encoders[path]
+    encoders = kept("words")
+    if path not in encoders:
+        encoders[path] = WordCache(WordTokenizer(path))
+    return encoders[path]
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:

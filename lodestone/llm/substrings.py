@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm._rows import look_up, place, placed
+from lodestone.llm._workers import kept
 from lodestone.runtime import Scratch, shuffle_partitions
 
 WIDTH = 35
@@ -219,6 +220,7 @@ def _requests(emit_rows, share: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), REQUEST_TYPES)], REQUEST_NAMES)
 
     def run(rows):
+        kept("substrings")
         keys, counts, h1, h2, place, held = [], [], [], [], [], 0
         for b in rows:
             for key, a, c, p in emit_rows(b):
@@ -290,6 +292,7 @@ def _answers(share: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_bucketed(parts, share)), ANSWER_TYPES)], ANSWER_NAMES)
 
     def run(batches):
+        kept("substrings")
         parts, held = [], 0
         for rows in _grouped(batches, "share"):
             new = [_part(r) for r in rows if r["h1"] is None]

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm._workers import kept
 from lodestone.runtime import Scratch, ship
 
 #: Labelled documents of each category and side that are taken for training at most.
@@ -240,6 +241,7 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
     sent = df.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
+        kept("toxicity")
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -256,6 +258,7 @@ def drop_toxic(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame
     sent = df.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
+        kept("toxicity")
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
