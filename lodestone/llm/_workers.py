@@ -14,14 +14,19 @@ import pyarrow as pa
 _held: dict[str, dict] = {}
 
 
+def trim() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if back:
+        back(0)
+
+
 def kept(owner: str) -> dict:
     """What the operator ``owner`` keeps in this worker; what others kept is let go, and free memory given back to the system."""
     if owner not in _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        trim()
         _held[owner] = {}
     return _held[owner]

@@ -37,13 +37,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestone.llm._rows import look_up
-from lodestone.llm.bytebpe import byte_tokenizer
+from lodestone.llm._workers import kept, trim
+from lodestone.llm.bytebpe import ByteTokenizer
 from lodestone.llm.pieces import MARK
 from lodestone.llm.wordcache import parts
 from lodestone.runtime import Scratch, shuffle_partitions
 
 #: Bytes of texts in a batch, about; segments that are tokenized as one text.
 BATCH, JOINED = 8 << 20, 512
+#: Rows of an Arrow batch to or from a worker; segments whose links are held at once.
+SENT, STEP = 2_000, 50_000
 #: White space.
 SPACES = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: Texts that hold a space behind white space, or a NUL, are cut by a pattern; others wherever there is a space.
@@ -118,15 +121,13 @@ class Side:
         return ids[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(ids))], size, good
 
 
-_sides: dict[tuple[str, str], tuple[Side, Side]] = {}
-
-
 def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
-    """Both tokenizers, opened once by each worker."""
-    if (a_path, b_path) not in _sides:
+    """Both tokenizers, opened once by each worker that cuts texts; they go when its tasks are those of ``documents``."""
+    opened = kept("alignment")
+    if (a_path, b_path) not in opened:
         import sentencepiece
 
-        a, b = byte_tokenizer(a_path, plain=True), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        a, b = ByteTokenizer(a_path, plain=True), sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         normal = [not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i) or b.is_unused(i)) for i in range(len(pieces))]
         before = len(b.encode("a"))
@@ -140,8 +141,8 @@ def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
         def one(text: str) -> np.ndarray:
             return np.array(b.encode("a" + text)[before:], np.uint32)
 
-        _sides[a_path, b_path] = Side(a.one, a.one, a.bytes), Side(quick, one, surface)
-    return _sides[a_path, b_path]
+        opened[a_path, b_path] = Side(a.one, a.one, a.bytes), Side(quick, one, surface)
+    return opened[a_path, b_path]
 
 
 def _arrow(df: DataFrame, column: str) -> pa.DataType:
@@ -193,7 +194,8 @@ def cut_texts(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
             packed = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (sizes, segs)]
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([batch]), pa.nulls(1, pa.int32()), *[pa.nulls(1, ints)] * 4, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(ids_type), *packed], schema.names)
             held, size, number = [], 0, number + 1
-            pa.default_memory_pool().release_unused()
+            del words, segs, known, simple, ids, sizes, lists, tokens, n, right, offsets
+            trim()
 
         for b in batches:
             at = 0
@@ -225,8 +227,11 @@ def bucketed(df: DataFrame, scratch: Scratch, name: str, buckets: int) -> Iterat
 
 @contextmanager
 def in_place(spark: SparkSession) -> Iterator[None]:
-    """While it holds, joins keyed by batch and more take a partitioning by batch as it is, and sorted rows are aggregated as they come; by default Spark would deal both sides anew by all keys, and sort again."""
-    names = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
+    """While it holds, joins keyed by batch and more take a partitioning by batch as it is, and sorted rows are aggregated as they come; by default Spark would deal both sides anew by all keys, and sort again.
+
+    Workers are sent ``SENT`` rows at a time: both sides of the pipe hold what is sent in whole, and a text may be long.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(SENT), "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
     before = {k: spark.conf.get(k) for k in names}
     try:
         for k, v in names.items():
@@ -259,10 +264,10 @@ def _lists(values: pa.Array, starts: np.ndarray, ends: np.ndarray) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(np.append(starts[:1], ends).astype(np.int32)), values)
 
 
-def group_links(a: pa.ListArray, b: pa.ListArray, a_last: pa.ListArray, b_last: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def group_links(a: pa.ListArray, b: pa.ListArray, a_last: pa.ListArray, b_last: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(groups of each segment as text, a << 32 | b of all links, how many links each segment has)."""
     if not len(a):
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = pc.list_value_length(a_last).to_numpy(zero_copy_only=False).astype(np.int64)
     last = np.cumsum(n)
     ends, text, tokens = [], [], []
@@ -280,7 +285,19 @@ def group_links(a: pa.ListArray, b: pa.ListArray, a_last: pa.ListArray, b_last:
     within = np.arange(len(group)) - np.repeat(np.cumsum(k) - k, k)
     x = ends[0][0][group] + within // n_b[group]
     y = ends[1][0][group] + within % n_b[group]
-    return text.to_pylist(), tokens[0][x] << 32 | tokens[1][y], np.add.reduceat(k, last - n)
+    return text, tokens[0][x] << 32 | tokens[1][y], np.add.reduceat(k, last - n)
+
+
+def coded_links(a: pa.ListArray, b: pa.ListArray, a_last: pa.ListArray, b_last: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups of each segment as text, distinct links, which of them each link is, how many links each segment has), by ``STEP`` segments at a time, so that no array of all links is sorted or held beside others."""
+    text, own, code, n = [], [], [], []
+    for at in range(0, max(len(a), 1), STEP):
+        t, pairs, k = group_links(*(x.slice(at, STEP) for x in (a, b, a_last, b_last)))
+        pairs, which = np.unique(pairs, return_inverse=True)
+        for x, new in zip((text, own, code, n), (t, pairs, which.astype(np.int32), k)):
+            x.append(new)
+    known = np.unique(np.concatenate(own))
+    return pa.concat_arrays(text), known, np.concatenate([np.searchsorted(known, x).astype(np.int32)[c] for x, c in zip(own, code)]), np.concatenate(n)
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -290,6 +307,55 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+def documents(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
+    """Of one batch, its rows of documents and its aligned segments: the rows of ``batch_documents``."""
+    kept("documents")
+    batch = left.column("batch")[0].as_py()
+    ids = pa.concat_arrays([c.flatten() for c in left.column("ids").chunks])
+    sizes = np.concatenate([np.frombuffer(x, "<i4") for x in left.column("sizes").to_pylist()]).astype(np.int64)
+    own = np.concatenate([np.frombuffer(x, "<i4") for x in left.column("segs").to_pylist()]).astype(np.int64)
+    right = right.combine_chunks()
+    seg = right.column("seg").to_numpy().astype(np.int64)
+    top = int(seg.max()) + 1 if len(seg) else 0
+    at = np.zeros(top, np.int64)
+    at[seg] = np.arange(len(seg))
+    own = at[own] if len(own) else own
+    a, b, *last = (right.column(c).combine_chunks() for c in ("a", "b", "a_last", "b_last"))
+    text, known, code, n_pairs = coded_links(a, b, *last)
+    starts = np.cumsum(n_pairs) - n_pairs
+    counts = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b, last[0])] + [n_pairs]
+    numbers = [_sums(x[own], sizes) for x in counts]
+    ends = np.cumsum(sizes)
+    del right, a, b, last
+    sha, distinct, links = [], [], []
+    n_docs = np.zeros(len(known), np.int64)
+    for a, z in zip(ends - sizes, ends):
+        mine = own[a:z]
+        if not len(mine):
+            sha.append("")
+            distinct.append(b"")
+            links.append(b"")
+            continue
+        groups = text.take(pa.array(mine))
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), groups), ";")
+        sha.append(hashlib.sha256(groups[0].as_buffer()).hexdigest())
+        mine, times = np.unique(mine, return_counts=True)
+        k = n_pairs[mine]
+        base = np.cumsum(k) - k
+        found = code[np.repeat(starts[mine] - base, k) + np.arange(k.sum())]
+        found, which = np.unique(found, return_inverse=True)
+        n_docs[found] += 1
+        distinct.append(found.astype("<i4").tobytes())
+        links.append(np.bincount(which, np.repeat(times, k)).astype("<i8").tobytes())
+    k, p = len(ids), np.flatnonzero(n_docs)
+    columns = [pa.array(np.full(k + len(p), batch)), pa.concat_arrays([ids, pa.nulls(len(p), ids.type)])]
+    columns += [pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(len(p), pa.int64())]) for x in numbers]
+    columns += [pa.array([*x, *[None] * len(p)], t) for x, t in ((sha, pa.string()), (distinct, pa.binary()), (links, pa.binary()))]
+    columns += [pa.concat_arrays([pa.nulls(k, t), pa.array(x, t)]) for x, t in ((p.astype(np.int32), pa.int32()), (known[p], pa.int64()), (n_docs[p], pa.int64()))]
+    trim()
+    return pa.Table.from_batches(pa.Table.from_arrays(columns, names).to_batches(SENT))
+
+
 def batch_documents(docs: DataFrame, segs: DataFrame) -> DataFrame:
     """Of each batch: documents with their numbers and packed distinct pairs (number within the batch, links); and its pairs with how many of its documents have them."""
     longs = ("n_a", "n_b", "n_groups", "n_links")
@@ -297,48 +363,7 @@ def batch_documents(docs: DataFrame, segs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("id", element), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("groups_sha256", T.StringType()), T.StructField("own", T.BinaryType()), T.StructField("links", T.BinaryType()), T.StructField("number", T.IntegerType()), T.StructField("pair", T.LongType()), T.StructField("docs", T.LongType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = left.column("batch")[0].as_py()
-        ids = pa.concat_arrays([c.flatten() for c in left.column("ids").chunks])
-        sizes = np.concatenate([np.frombuffer(x, "<i4") for x in left.column("sizes").to_pylist()]).astype(np.int64)
-        own = np.concatenate([np.frombuffer(x, "<i4") for x in left.column("segs").to_pylist()]).astype(np.int64)
-        right = right.combine_chunks()
-        seg = right.column("seg").to_numpy().astype(np.int64)
-        top = int(seg.max()) + 1 if len(seg) else 0
-        at = np.zeros(top, np.int64)
-        at[seg] = np.arange(len(seg))
-        own = at[own] if len(own) else own
-        a, b, *last = (right.column(c).combine_chunks() for c in ("a", "b", "a_last", "b_last"))
-        text, pairs, n_pairs = group_links(a, b, *last)
-        known, code = np.unique(pairs, return_inverse=True)
-        starts = np.cumsum(n_pairs) - n_pairs
-        counts = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b, last[0])] + [n_pairs]
-        numbers = [_sums(x[own], sizes) for x in counts]
-        ends = np.cumsum(sizes)
-        sha, distinct, links = [], [], []
-        n_docs = np.zeros(len(known), np.int64)
-        for a, z in zip(ends - sizes, ends):
-            mine = own[a:z]
-            if not len(mine):
-                sha.append("")
-                distinct.append(b"")
-                links.append(b"")
-                continue
-            sha.append(hashlib.sha256(";".join([text[i] for i in mine.tolist()]).encode()).hexdigest())
-            mine, times = np.unique(mine, return_counts=True)
-            k = n_pairs[mine]
-            base = np.cumsum(k) - k
-            found = code[np.repeat(starts[mine] - base, k) + np.arange(k.sum())]
-            found, which = np.unique(found, return_inverse=True)
-            n_docs[found] += 1
-            distinct.append(found.astype("<i4").tobytes())
-            links.append(np.bincount(which, np.repeat(times, k)).astype("<i8").tobytes())
-        k, p = len(ids), np.flatnonzero(n_docs)
-        columns = [pa.array(np.full(k + len(p), batch)), pa.concat_arrays([ids, pa.nulls(len(p), ids.type)])]
-        columns += [pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(len(p), pa.int64())]) for x in numbers]
-        columns += [pa.array([*x, *[None] * len(p)], t) for x, t in ((sha, pa.string()), (distinct, pa.binary()), (links, pa.binary()))]
-        columns += [pa.concat_arrays([pa.nulls(k, t), pa.array(x, t)]) for x, t in ((p.astype(np.int32), pa.int32()), (known[p], pa.int64()), (n_docs[p], pa.int64()))]
-        pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays(columns, schema.names)
+        return documents(left, right, schema.names)
 
     return docs.groupBy("slot", "batch").cogroup(segs.groupBy("slot", "batch")).applyInArrow(run, schema)
 
@@ -347,7 +372,7 @@ def align_tokens(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     """One row for each row of ``df``: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     spark = df.sparkSession
     scratch = Scratch(spark, "alignment")
-    with bucketed(cut_texts(df, a_path, b_path, id_col, text_col), scratch, "cut", 4 * shuffle_partitions(spark)) as cut, in_place(spark):
+    with in_place(spark), bucketed(cut_texts(df, a_path, b_path, id_col, text_col), scratch, "cut", 4 * shuffle_partitions(spark)) as cut:
         docs = cut.filter("seg IS NULL").select(F.col("slot").alias("slot"), F.col("batch").alias("batch"), "ids", "sizes", "segs")  # aliases, as both sides are of one table
         rows = scratch.keep(batch_documents(docs, aligned(cut)), "rows")
     pairs = rows.filter("pair IS NOT NULL").select("batch", "number", "pair", "docs")
