@@ -311,7 +311,8 @@ class WordTokenizer:
     split off after a letter is what the tokenizer itself says of that letter.
     """
 
-    LIMIT = 400_000
+    #: Words that are remembered at most without their signs, in two halves as by ``WordCache``.
+    LIMIT = 200_000
 
     def __init__(self, path: str):
         import os
@@ -329,6 +330,7 @@ class WordTokenizer:
             for token, i in self.tokenizer.get_vocab().items():
                 self.ends[i] = token.endswith(suffix)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.apart: dict[str, bool] = {}
 
     def splits(self, letter: str) -> bool:
@@ -343,7 +345,7 @@ class WordTokenizer:
 
     def learn(self, letters: list[str]) -> None:
         """Ids of words of letters only."""
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+        ids = np.frombuffer(self.each([" ".join(letters)])[0], "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(letters):  # some word has no end mark of its own
             self.known.update(zip(letters, self.each(letters)))
@@ -354,30 +356,36 @@ class WordTokenizer:
     def __call__(self, words: list[str]) -> list[bytes]:
         if self.ends is None:
             return self.each(words)
+        if len(self.known) >= self.LIMIT // 2:
+            self.older, self.known = self.known, {}
         known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
         parts = []
         for w in words:
             x = w.lower() if w.isascii() else w
             stem = x.rstrip(",.!?;:%*$&#")
             apart = stem.isalpha() and (len(stem) == len(x) or stem[-1] < "\x80" or self.splits(stem[-1]))
             parts.append((stem, x[len(stem) :]) if apart else (x, ""))
-        letters = {a for a, _ in parts if a.isalpha() and a not in known}
-        others = {t for p in parts for t in p if t and not t.isalpha() and t not in known}
-        letters = list(letters)
+        absent = {t for p in parts for t in p if t and t not in known}
+        if self.older:
+            known.update((t, self.older.pop(t)) for t in absent & self.older.keys())
+            absent -= known.keys()
+        letters = [t for t in absent if t.isalpha()]
+        others = [t for t in absent if not t.isalpha()]
         for at in range(0, len(letters), 512):
             self.learn(letters[at : at + 512])
-        others = list(others)
         known.update(zip(others, self.each(others)))
         return [known[a] + known[b] if b else known[a] for a, b in parts]
 
 
+#: Words that a worker remembers in whole.
+WORDS = 400_000
+
+
 def word_ids(path: str) -> WordCache:
     """Ids of words by a tokenizers file that drops white space, so that words are tokenized apart from each other."""
     encoders = kept("words")
     if path not in encoders:
-        encoders[path] = WordCache(WordTokenizer(path))
+        encoders[path] = WordCache(WordTokenizer(path), WORDS)
     return encoders[path]
 
 

@@ -8,16 +8,46 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers at most; it starts anew beyond that.
+#: Words that a worker remembers at most, but for those of one slice of texts.
 LIMIT = 800_000
 
 
-class WordCache(dict):
-    """word -> packed ids.  ``encode`` makes a list of packed ids from a list of words."""
+class WordCache:
+    """word -> packed ids.  ``encode`` makes a list of packed ids from a list of words.
+
+    Words are remembered in two halves.  When the recent one is full, it becomes the older one; of the older one before,
+    only words that have been met since stay, so frequent words are never forgotten.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = LIMIT):
-        super().__init__()
         self.encode, self.limit = encode, limit
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.recent) + len(self.older)
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words."""
+        if len(self.recent) >= self.limit // 2:
+            self.older, self.recent = self.recent, {}
+        out = [self.recent.get(w) for w in words]
+        absent = [i for i, x in enumerate(out) if x is None]
+        for i in absent:
+            out[i] = self.older.pop(words[i], None) if words[i] else b""
+        new = [i for i in absent if out[i] is None]
+        for i, x in zip(new, self.encode([words[i] for i in new])):
+            out[i] = x
+        self.recent.update((words[i], out[i]) for i in absent)
+        return out
+
+    def counts(self, lists: pa.ListArray) -> np.ndarray:
+        """How many ids each list of words has."""
+        own = lists.flatten().dictionary_encode()
+        found = self.look_up(own.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ends = np.concatenate([[0], np.cumsum(size[own.indices.to_numpy(zero_copy_only=False)])])
+        return np.diff(ends[np.asarray(lists.offsets)])
 
     def columns(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all lists of words one after another, where each list's begin and the last one's end).
@@ -25,15 +55,7 @@ class WordCache(dict):
         Words are numbered by Arrow, so only distinct ones are looked up here.
         """
         own = lists.flatten().dictionary_encode()
-        words = own.dictionary.to_pylist()
-        if len(self) > self.limit:
-            self.clear()
-        out = [self.get(w) for w in words]
-        new = [w for w, x in zip(words, out) if x is None and w]
-        found = dict(zip(new, self.encode(new)))
-        self.update(found)
-        found[""] = b""
-        out = [found[w] if x is None else x for w, x in zip(words, out)]
+        out = self.look_up(own.dictionary.to_pylist())
         data = np.frombuffer(b"".join(out), "<u4")
         size = np.fromiter(map(len, out), np.int64, len(out)) // 4
         start = np.cumsum(size) - size

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_documents import norm, order, slow_repeats
 from tokenizers import Tokenizer
@@ -97,3 +98,19 @@ def test_nothing_left(spark, sf_dir, docs):
     none = docs.limit(0)
     for name, f in corpus_pipeline.STAGES:
         assert f(spark, none, sf_dir).count() == 0, name
+
+
+def test_workers_are_sent_few_rows_at_a_time(spark, sf_dir):
+    """Rows reach workers by 2,000 at most once a stage has begun; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(3)], "doc_id long, text string")
+    try:
+        for own, most in (("10000", 2000), ("0", 2000), ("700", 700)):
+            spark.conf.set(name, own)
+            assert corpus_pipeline.exact(spark, docs, sf_dir).count() == 3
+            sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long").collect()
+            assert max(r.n for r in sizes) == most and sum(r.n for r in sizes) == 5000
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    finally:
+        spark.conf.set(name, before)

@@ -10,8 +10,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm.packing import word_ids
-from lodestone.llm.wordcache import split_words
+from lodestone.llm.packing import WordTokenizer, word_ids
+from lodestone.llm.wordcache import WordCache, split_words
 
 SIGNS = ",.!?;:%*$&#"
 
@@ -50,3 +50,28 @@ def test_memo_has_a_bound():
     cache = word_ids(public_tokenizers.path("word_bpe_49k.json"))
     ids, at = cache.columns(split_words(pa.array([None, "", "a a"])))
     assert at.tolist() == [0, 0, 0, 2] and ids[0] == ids[1] and ids.dtype == np.dtype("<u4")
+
+
+def test_frequent_words_stay():
+    """The memo is bounded, and words that are met again and again are encoded once."""
+    asked = []
+    cache = WordCache(lambda words: [asked.append(w) or f"{len(w):04}".encode() for w in words], 20)
+    for k in range(200):
+        lists = pa.array([["often", f"w{k}", ""], [], [f"w{k}", f"v{k}"]])
+        ids, at = cache.columns(lists)
+        assert at.tolist() == [0, 2, 2, 4] and cache.counts(lists).tolist() == [2, 0, 2]
+        assert len(cache) <= 24
+    assert asked.count("often") == 1 and "" not in asked
+
+
+def test_words_without_signs_stay(tokenizer, monkeypatch):
+    monkeypatch.setattr(WordTokenizer, "LIMIT", 20)
+    own = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    learnt = []
+    learn = own.learn
+    own.learn = lambda letters: (learnt.extend(letters), learn(letters))
+    for k in range(100):
+        words = ["often", "often!", f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}", f"{k}?!"]
+        assert own(words) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        assert len(own.known) + len(own.older) <= 30
+    assert learnt.count("often") == 1
