@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -189,11 +190,8 @@ class PieceModel:
         marked = self.prefix + text.replace(" ", MARK)
         return self.encode_column(pa.array([text]))[0] if self.by_word else np.array(self.segment_ids(marked), "<u4").tobytes()
 
-    def encode_column(self, texts: pa.Array) -> list[bytes]:
-        """``encode`` for each text (null: empty); words of all of them are numbered by Arrow and looked up once."""
-        texts = texts.fill_null("")
-        if not self.by_word:
-            return [self.encode(t) for t in texts.to_pylist()]
+    def word_lists(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """(words of each text, the texts' numbers in that order) of a model by words."""
         # without runs of spaces every space begins a word, and no piece crosses a line's end; others go by the pattern
         runs = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.equal(texts, ""), pc.match_substring(texts, MARK)))
         plain = texts.filter(pc.invert(runs))
@@ -202,13 +200,29 @@ class PieceModel:
             marked = pc.replace_substring(marked, "\n", " \n ")
         odd = [self._chunks.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts.filter(runs).to_pylist()]
         lists = pa.concat_arrays([pc.split_pattern(marked, " ").cast(pa.list_(pa.string())), pa.array(odd, pa.list_(pa.string()))])
+        return lists, np.argsort(runs.to_numpy(zero_copy_only=False), kind="stable")
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` for each text (null: empty); words of all of them are numbered by Arrow and looked up once."""
+        texts = texts.fill_null("")
+        if not self.by_word:
+            return [self.encode(t) for t in texts.to_pylist()]
+        lists, order = self.word_lists(texts)
         ids, at = self.words.columns(lists)
-        order = np.argsort(runs.to_numpy(zero_copy_only=False), kind="stable")
         out = [b""] * len(texts)
         for i, x, y in zip(order.tolist(), at, at[1:]):
             out[i] = ids[x:y].tobytes()
         return out
 
+    def count_column(self, texts: pa.Array) -> list[int]:
+        """How many ids each text has."""
+        if not self.by_word:
+            return [len(x) // 4 for x in self.encode_column(texts)]
+        lists, order = self.word_lists(texts.fill_null(""))
+        out = np.zeros(len(texts), np.int64)
+        out[order] = self.words.counts(lists)
+        return out.tolist()
+
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         if self.prefix and data[:1] == b" ":
@@ -226,6 +240,33 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
+def library_model(path: str) -> PieceModel:
+    """A model whose words are encoded by the sentencepiece library, for counts, where nothing has to stream.
+
+    The library puts a mark before each text, so it is given words without theirs; parts of texts that have none (a line's
+    end, a line's first word) and models that are not by words or have unknown characters take the lattice.
+    """
+    own = PieceModel(path)
+    if own.by_word and own.prefix and own.bytes:
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+        def encode(words: list[str]) -> list[bytes]:
+            marked = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == MARK]
+            lists = [None] * len(words)
+            for i, ids in zip(marked, library.encode([words[i][1:] for i in marked], num_threads=1)):
+                lists[i] = ids
+            lists = [own.segment_ids(w) if x is None else x for w, x in zip(words, lists)]
+            ends = np.cumsum([0, *map(len, lists)]) * 4
+            data = np.fromiter(chain.from_iterable(lists), "<u4", int(ends[-1]) // 4).tobytes()
+            ends = ends.tolist()
+            return [data[x:y] for x, y in zip(ends, ends[1:])]
+
+        own.words = WordCache(encode)
+    return own
+
+
 def _per_batch(df: DataFrame, id_col: str, column: str, path: str, fields: list[T.StructField], make) -> DataFrame:
     ship(df.sparkSession)
     own = df.select(F.col(id_col).alias("id"), F.col(column).alias("x"))

@@ -17,13 +17,13 @@ import re
 from collections import defaultdict
 from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm._workers import kept
 from lodestone.llm.packing import word_ids
-from lodestone.llm.pieces import model
+from lodestone.llm.pieces import library_model
 from lodestone.llm.wordcache import parts, split_words
 from lodestone.runtime import Scratch, ship
 
@@ -38,10 +38,12 @@ def counter(kind: str, path: str):
     """A column of texts -> numbers of tokens."""
     if kind == WORD:
         cache = word_ids(path)
-        return lambda texts: np.diff(cache.columns(split_words(texts))[1]).tolist()
+        return lambda texts: cache.counts(split_words(texts)).tolist()
     if kind == PIECE:
-        own = model(path)
-        return lambda texts: [len(x) // 4 for x in own.encode_column(texts)]
+        memos = kept("words")
+        if (kind, path) not in memos:
+            memos[kind, path] = library_model(path)
+        return memos[kind, path].count_column
     raise ValueError(f"no tokenizer {kind!r}")
 
 

@@ -1,14 +1,17 @@
 """The rollup against counts made anew."""
 
+import random
 import uuid
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import token_counts as tc
+from lodestone.llm.pieces import PieceModel
 
 VERSIONS = {"w@1": (tc.WORD, public_tokenizers.path("word_bpe_49k.json")), "p@1": (tc.PIECE, public_tokenizers.path("piece_bpe_32k.model"))}
 
@@ -64,3 +67,19 @@ def test_query(spark, sf_dir):
     got = sorted((*map(str, r[:2]), r[2][0] + "@1", *r[3:]) for r in tc.op2_token_counts(spark, sf_dir).collect())
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text").collect()]
     assert got == slow(rows, 1)
+
+
+def test_counts_of_odd_texts_without_the_lattice(monkeypatch):
+    """Words that begin with a mark are counted by the library; counts are those of whole texts."""
+    path = VERSIONS["p@1"][1]
+    r = random.Random(3)
+    kinds = ["abcde", "XYZ", "éüñ", " ", "  ", "\n", "\t\r\x0b\0", "0123", ".,;!?'\"", "\u2581", "\u3000\xa0", "你好", "😀\u200d", "<s>", "</s><unk>", "<0x0A>"]
+    texts = ["".join(r.choice(kind) if r.random() < 0.9 else kind for kind in r.choices(kinds, k=r.randrange(1, 25))) for _ in range(3000)]
+    texts += [None, "", " ", "\n", "\u2581", "a", " a", "a ", "\na", "a\n b", " ".join(f"word{k}" for k in range(5000))]
+    asked = []
+    stream = PieceModel.stream
+    monkeypatch.setattr(PieceModel, "stream", lambda self, symbols: (asked.extend(symbols), stream(self, asked[-1:]))[1])
+    got = tc.counter(tc.PIECE, path)(pa.array(texts, pa.string()))
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert got == [len(library.encode(t or "")) for t in texts]
+    assert not [w for w in asked if len(w) > 1 and w[0] == "\u2581"]
