@@ -24,6 +24,7 @@ are read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -32,6 +33,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ from pyspark.sql.window import Window
 
 from lodestone.llm._rows import look_up
 from lodestone.llm._workers import kept
+from lodestone.llm.bytebpe import byte_letters
 from lodestone.llm.wordcache import WordCache, parts, split_words
 from lodestone.runtime import Scratch
 
@@ -381,11 +384,91 @@ class WordTokenizer:
 WORDS = 400_000
 
 
-def word_ids(path: str) -> WordCache:
+class LatinWords:
+    """Ids of many words at once that are letters below U+0250 and perhaps signs behind them, by tiktoken.
+
+    tiktoken knows no suffix of words, so each is sent with a NUL character behind it.  Pairs of a byte and NUL stand for the
+    bytes that have the suffix; their ids lie below those of all merges, so they are made first, and the merges follow in the
+    order of the file.  The letters are their own normal form, and U+0130, which has two letters in lower case, is not among them.
+    """
+
+    LETTERS, SIGNS = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", ",.!?;:%*$&#"
+    PATTERN = f"^[{LETTERS}]+[{SIGNS}]*$"
+    #: Bytes of a word at most; the time for a word grows with a square.
+    LONGEST = 100
+
+    def __init__(self, encoding, ends: np.ndarray):
+        self.encoding, self.ends = encoding, ends
+
+    @classmethod
+    def of(cls, own: dict) -> LatinWords | None:
+        """By the contents of a tokenizers file, if its words are normalized, split and merged in the way that is known here."""
+        import tiktoken
+
+        model, steps, split = own["model"], (own["normalizer"] or {}).get("normalizers", ()), (own["pre_tokenizer"] or {}).get("pretokenizers", ())
+        suffix = model.get("end_of_word_suffix")
+        if model["type"] != "BPE" or not suffix or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")):
+            return None
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": "\\s+"} or steps[1]["content"] != " ":
+            return None
+        if [x["type"] for x in split] != ["Split", "ByteLevel"] or split[1]["add_prefix_space"] or split[1]["use_regex"]:
+            return None
+        if split[0]["pattern"] != {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"} or split[0]["behavior"] != "Removed" or not split[0]["invert"]:
+            return None
+        if not all(re.search(f"[^{cls.LETTERS}{cls.SIGNS}]", t["content"]) for t in own["added_tokens"]):
+            return None
+        letters, added = byte_letters(), {t["content"] for t in own["added_tokens"]}
+        ids = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        known = {(bytes(letters[c] for c in t.removesuffix(suffix)) + b"\0" * t.endswith(suffix)): i for t, i in model["vocab"].items() if t not in added}
+        single = {i for x, i in known.items() if len(x) == 1 or len(x) == 2 and x.endswith(b"\0")}
+        if sorted(set(ids)) != ids or len(single) != 512 or max(single) > ids[0] or len(known) != 512 + len(ids) or {*ids, *single} != set(known.values()):
+            return None
+        ends = np.zeros(max(known.values()) + 1, bool)
+        ends[[i for x, i in known.items() if x.endswith(b"\0") and len(x) > 1]] = True
+        return cls(tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=known, special_tokens={}), ends)
+
+    def takes(self, words: pa.Array) -> pa.BooleanArray:
+        return pc.and_(pc.match_substring_regex(words, self.PATTERN), pc.less_equal(pc.binary_length(words), self.LONGEST))
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, how many each has)."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        low = pc.utf8_lower(words)
+        signs = pc.not_equal(pc.binary_length(pc.ascii_rtrim(low, self.SIGNS)), pc.binary_length(low))
+        apart = pc.replace_with_mask(low, signs, pc.replace_substring_regex(low.filter(signs), f"([{self.SIGNS}]+)$", "\0\\1"))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(apart)], pa.int32()), apart), "\0")[0].as_py() + "\0"
+        ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return ids, np.diff(cuts[np.cumsum(1 + signs.to_numpy(zero_copy_only=False)) - 1], prepend=0)
+
+
+class WordIds(WordCache):
+    """A memo of words but for those that are encoded as fast as they are looked up."""
+
+    def __init__(self, path: str):
+        words = WordTokenizer(path)
+        super().__init__(words, WORDS)
+        self.latin = LatinWords.of(json.loads(words.tokenizer.to_str()))
+
+    def numbered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.latin:
+            return super().numbered(words)
+        fast = self.latin.takes(words)
+        ids, n = self.latin(words.filter(fast))
+        data, start, size = super().numbered(words.filter(pc.invert(fast)))
+        fast = fast.to_numpy(zero_copy_only=False)
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[fast], sizes[fast] = np.cumsum(n) - n, n
+        starts[~fast], sizes[~fast] = len(ids) + start, size
+        return np.concatenate([ids, data]), starts, sizes
+
+
+def word_ids(path: str) -> WordIds:
     """Ids of words by a tokenizers file that drops white space, so that words are tokenized apart from each other."""
     encoders = kept("words")
     if path not in encoders:
-        encoders[path] = WordCache(WordTokenizer(path), WORDS)
+        encoders[path] = WordIds(path)
     return encoders[path]
 
 
@@ -400,7 +483,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows, out = [], ([], [], [], [], [])
-            each = (ids[x:y].tobytes() + end for part in parts(b.column(1)) for ids, at in [cache.columns(split_words(part))] for x, y in zip(at, at[1:]))
+            each = (ids[x:y].tobytes() + end for part in parts(b.column(1), 2048) for ids, at in [cache.columns(split_words(part))] for x, y in zip(at, at[1:]))
             for i, ids in enumerate(each):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -41,11 +41,16 @@ class WordCache:
         self.recent.update((words[i], out[i]) for i in absent)
         return out
 
+    def numbered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of distinct words, where each word's begin, how many it has)."""
+        out = self.look_up(words.to_pylist())
+        size = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        return np.frombuffer(b"".join(out), "<u4"), np.cumsum(size) - size, size
+
     def counts(self, lists: pa.ListArray) -> np.ndarray:
         """How many ids each list of words has."""
         own = lists.flatten().dictionary_encode()
-        found = self.look_up(own.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = self.numbered(own.dictionary)[2]
         ends = np.concatenate([[0], np.cumsum(size[own.indices.to_numpy(zero_copy_only=False)])])
         return np.diff(ends[np.asarray(lists.offsets)])
 
@@ -55,10 +60,7 @@ class WordCache:
         Words are numbered by Arrow, so only distinct ones are looked up here.
         """
         own = lists.flatten().dictionary_encode()
-        out = self.look_up(own.dictionary.to_pylist())
-        data = np.frombuffer(b"".join(out), "<u4")
-        size = np.fromiter(map(len, out), np.int64, len(out)) // 4
-        start = np.cumsum(size) - size
+        data, start, size = self.numbered(own.dictionary)
         word = own.indices.to_numpy(zero_copy_only=False)
         n = size[word]
         ends = np.concatenate([[0], np.cumsum(n)])

@@ -1,8 +1,10 @@
 """Ids word by word against the tokenizers library on whole texts."""
 
+import json
 import random
 import sys
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm.packing import WordTokenizer, word_ids
+from lodestone.llm.packing import LatinWords, WordIds, WordTokenizer, word_ids
 from lodestone.llm.wordcache import WordCache, split_words
 
 SIGNS = ",.!?;:%*$&#"
@@ -75,3 +77,56 @@ def test_words_without_signs_stay(tokenizer, monkeypatch):
         assert own(words) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
         assert len(own.known) + len(own.older) <= 30
     assert learnt.count("often") == 1
+
+
+def test_latin_words_need_no_memo(tokenizer, monkeypatch):
+    """Words of Latin letters and signs are neither looked up nor asked of the library, and have its ids."""
+    asked = []
+    call = WordTokenizer.__call__
+    monkeypatch.setattr(WordTokenizer, "__call__", lambda self, words: asked.extend(words) or call(self, words))
+    own = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    latin = [c for c in map(chr, range(0x250)) if c.isalpha() and c != "İ"]
+    r = random.Random(5)
+    syllables = ["th", "er", "tion", "schä", "Ö", "ñe", "the", "and", "aa", "AA", "zz", "Que"]
+    words = [*latin, *(f"x{c}{s}" for c in latin for s in SIGNS), *(a + b for a in latin for b in latin)]
+    words += ["".join(r.choices(syllables, k=r.randrange(1, 9))) + "".join(r.choices(SIGNS, k=r.randrange(4))) for _ in range(20_000)]
+    odd = ["don't", "it's", "ẖ", "H̱", "İ.", "a\0", "\0", "a\0b.", "a1", "1", "...", "a.b", "a\xa0b", "a\x85", "×a", "<|endoftext|>", "a<|endoftext|>", "б", "ﬁ", "a" * 100_000, "ab" * 51]
+    texts = [" ".join(x) for x in (words, odd, words[:3] + odd + words[3:6], [])] + [None, " ", "a", "a, b\x1cc"]
+    lists = split_words(pa.array(texts))
+    ids, at = own.columns(lists)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == want
+    assert own.counts(lists).tolist() == [len(x) for x in want]
+    assert set(asked) == own.recent.keys() - {""} == {*odd, "b\x1cc"}
+
+
+def test_each_token_comes_of_its_own_merge():
+    """tiktoken makes a token of any two neighbours that spell it, the library of one pair only: no others ever meet, as pairs are merged in order."""
+    model = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())["model"]
+    order = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+    made = {a + b: i for (a, b), i in order.items()}
+    for (a, b), i in order.items():
+        assert max(made.get(a, -1), made.get(b, -1)) < i
+        end = "</w>" if b.endswith("</w>") else ""
+        own = [*(a + b).removesuffix("</w>")]
+        own[-1] += end
+        while len(own) > 2:
+            least = min(range(len(own) - 1), key=lambda k: order.get((own[k], own[k + 1]), len(order)))
+            assert order.get((own[least], own[least + 1]), len(order)) < i
+            own[least : least + 2] = [own[least] + own[least + 1]]
+        assert tuple(own) == (a, b)
+
+
+def test_other_files_are_left_to_the_library(tmp_path):
+    own = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    assert LatinWords.of(own)
+    for change in (lambda x: x["normalizer"]["normalizers"].pop(), lambda x: x["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"[^\s]+"), lambda x: x["model"]["merges"].reverse(), lambda x: x["added_tokens"].append(x["added_tokens"][0] | {"content": "word"})):
+        other = json.loads(json.dumps(own))
+        change(other)
+        assert LatinWords.of(other) is None
+    assert LatinWords.of(json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())) is None
+    other = json.loads(json.dumps(own))
+    other["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(other))
+    ids, at = WordIds(str(tmp_path / "cased.json")).columns(split_words(pa.array(["the cat,"])))
+    assert ids.tolist() == Tokenizer.from_file(str(tmp_path / "cased.json")).encode("the cat,", add_special_tokens=False).ids
