@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.runtime import Scratch
+from lodestone.runtime import Scratch, shuffle_partitions
+
+#: Keys of a block at most, keys for which a block of its own is worth while, and shared items that a task counts at once.
+BLOCK, LEAST, STEP = 65_536, 1_024, 1 << 18
 
 
 def with_summaries(hits: DataFrame, summaries: DataFrame, key: str = "object_id") -> DataFrame:
@@ -74,14 +81,113 @@ def shared_members(df: DataFrame, key: str, items: str) -> DataFrame:
 
     It grows with the rows and loses nothing: two keys share as many items as they have in common here.
     """
-    own = df.select(F.explode(F.array_distinct(items)).alias("item"), key).distinct()
+    own = held_items(df, key, items)
     return own.join(own.groupBy("item").agg(F.min(key).alias("representative")), "item").select("item", "representative", key)
 
 
+def held_items(df: DataFrame, key: str, items: str) -> DataFrame:
+    """item, key: every key of every item, once."""
+    return df.select(F.explode(F.array_distinct(items)).alias("item"), key).distinct()
+
+
 def shared_pairs(members: DataFrame, key: str) -> DataFrame:
-    """a, b, n: all pairs a < b of keys that share items, with the number of items they share.  It grows with the square of an item's keys."""
-    left, right = (members.select("item", F.col(key).alias(x)) for x in ("a", "b"))
-    return left.join(right, "item").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """a, b, n: all pairs a < b of keys that share items, with the number of items they share.
+
+    ``members``: item, key, each once.  The result grows with the square of an item's keys, but nothing else does: keys are dealt into
+    blocks by their order, each with the numbers of its items in one row, and every cell of two blocks is a task's work.  All items
+    of a pair meet in its one cell, so counts are whole there, and pairs are made by some ``STEP`` shared items at a time and
+    handed out; they are neither shuffled nor kept.  What is shuffled is a row for each key and block.
+    """
+    spark = members.sparkSession
+    scratch, n_part = Scratch(spark, "shared_pairs"), shuffle_partitions(spark)
+    held = scratch.keep(members.select("item", F.col(key).alias("key")).filter("item IS NOT NULL AND key IS NOT NULL"), "held")
+    numbers = held.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select("item", F.monotonically_increasing_id().alias("number"))
+    numbers = scratch.keep(numbers, "numbers")
+    keys = scratch.keep(held.join(numbers, "item").groupBy("key").agg(F.collect_list("number").alias("items")), "keys")
+    n = keys.count()
+    blocks = max(1, -(-n // BLOCK), min(-(-n // LEAST), round((4 * n_part) ** 0.5)))  # twice as many cells as tasks, if there are keys for it
+    dealt = keys.repartitionByRange(blocks, "key").select(F.spark_partition_id().alias("block"), "key", "items")
+    dealt = scratch.keep(dealt, "blocks")  # written, as ranges are drawn from samples
+    scratch.drop("held", "numbers", "keys")
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
+    rows = every.select((F.shiftright(high * (high + 1), 1) + low).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "items")
+    cells = rows.repartitionById(n_part, F.pmod("cell", F.lit(n_part)).cast("int")).sortWithinPartitions("cell", "side", "key")
+    kind = members.schema[key].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType(), False)])
+    return cells.mapInArrow(_pairs(STEP, schema.names), schema)
+
+
+def _pairs(step: int, names: list[str]):
+    """A mapInArrow function over rows (cell, side, key, items) sorted by cell, side and key: a, b, n of each cell's pairs.
+
+    A cell of two blocks has the keys of the lower one on side 0, those of the other on side 1; a block's cell with itself has side 0 only.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done():
+            if sides[0]:
+                yield from _counted(*([pa.concat_arrays([b.column(i) for b in own]) for i in (2, 3)] if own else None for own in sides), step, names)
+
+        for b in batches:
+            cell, side = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(side, prepend=-1) != 0))
+            for x, y in zip(cuts, [*cuts[1:], b.num_rows]):
+                if cell[x] != now:
+                    yield from done()
+                    now, sides = cell[x], ([], [])
+                sides[side[x]].append(b.slice(x, y - x))
+        yield from done()
+
+    return run
+
+
+def _counted(left: list[pa.Array], right: list[pa.Array] | None, step: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Pairs of left and right keys (keys, their items), or of left keys if there is no right, with counts: as many left keys at a time as share ``step`` items."""
+    left_keys, left_items = left
+    right_keys, right_items = right or (left_keys, left_items)
+    (own, sizes), (other, widths) = ((i.flatten().to_numpy(), i.value_lengths().to_numpy()) for i in (left_items, right_items))
+    m, by = len(widths), np.argsort(other, kind="stable")
+    holders, other = np.repeat(np.arange(m), widths)[by], other[by]  # the right rows of an item are a range of holders
+    first = np.searchsorted(other, own, "left")
+    many = np.searchsorted(other, own, "right") - first
+    ends, shares = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, many))
+    reach = shares[ends]
+
+    def met(x: int, y: int) -> np.ndarray:
+        """The right rows that the left entries from x to y meet, one behind the other."""
+        return holders[np.repeat(first[x:y] - shares[x:y], many[x:y]) + np.arange(shares[x], shares[y])]
+
+    def upto(sums: np.ndarray, x: int) -> int:
+        """One step from x, or as many as share ``step`` items at most."""
+        return max(x + 1, int(np.searchsorted(sums, sums[x] + step, "right")) - 1)
+
+    row = 0
+    while row < len(sizes):
+        past = upto(reach, row)
+        x, y = int(ends[row]), int(ends[past])
+        if reach[past] - reach[row] > step:  # one key that shares more: its counts are summed up item by item
+            count = np.zeros(m, np.int64)
+            while x < y:
+                to = min(y, upto(shares, x))
+                count += np.bincount(met(x, to), minlength=m)
+                x = to
+            b = np.flatnonzero(count)
+            a, n = np.full(len(b), row), count[b]
+        else:
+            at = np.repeat(np.repeat(np.arange(past - row), sizes[row:past]), many[x:y]) * m + met(x, y)
+            at.sort()
+            cuts = np.flatnonzero(np.diff(at, prepend=-1))
+            n = np.diff(cuts, append=len(at))
+            a, b = np.divmod(at[cuts], m)
+            a += row
+        if right is None:
+            a, b, n = (v[a < b] for v in (a, b, n))
+        if len(n):
+            yield pa.RecordBatch.from_arrays([left_keys.take(pa.array(a)), right_keys.take(pa.array(b)), pa.array(n)], names)
+        row = past
 
 
 def closure(start: DataFrame, step: DataFrame, most: int = 5) -> DataFrame:

@@ -231,7 +231,7 @@ def concept_shared_members(spark, d):
 @query(f"WITH {LONG_WORDS} SELECT x.a AS a, y.a AS b, count(*) AS n FROM t x JOIN t y ON x.w = y.w AND x.a < y.a GROUP BY 1, 2")
 def concept_shared_all_pairs(spark, d):
     """C14: all pairs of objects whose titles share long words."""
-    return joins.shared_pairs(joins.shared_members(_title_words(spark, d), "object_id", "words"), "object_id")
+    return joins.shared_pairs(joins.held_items(_title_words(spark, d), "object_id", "words"), "object_id")
 
 
 HAVE = [("WebSearchResults", "query"), ("WebSearchResults", "created_at"), ("WebSearchResults", "old")]
