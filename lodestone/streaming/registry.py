@@ -1,7 +1,11 @@
 """A cache registry over a stream of requests, with timers that end entries when nobody has used them for the TTL.
 
-The state of a key is its last use and whether it is suppressed; a timer in event time ends the entry once the watermark has passed
-its last use by the TTL.  A suppressed key has no timer and stays: it must be told from a new one for as long as the stream runs.
+The state of a key is its last use and whether it is suppressed; once the watermark has passed its last use by the TTL, the entry
+ends.  A suppressed key stays: it must be told from a new one for as long as the stream runs.
+
+Keys are dealt into buckets by their hash, and a bucket is what Spark groups by: it has the states of all its keys as one value and one timer
+in event time, that of the entry which ends first.  So a micro-batch costs a call for each bucket, not one for each key, which took nearly all of the
+time.  A bucket's rows of a micro-batch and its keys' states are in memory together.
 """
 
 from __future__ import annotations
@@ -9,69 +13,72 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.runtime import ship
 
-#: The state store that keyed state with timers needs.
+#: The state store: on disk, as suppressed keys stay.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Registry(StatefulProcessor):
-    """Requests and ends of entries: create, hit, stale, suppress, suppressed, expired."""
-
-    def __init__(self, names: list[str], ttl_seconds: int, least: float):
-        self.names, self.ttl, self.least = names, ttl_seconds * 1_000_000, least
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "last_us long, live boolean, suppressed boolean")
-
-    def _timer(self, us: int) -> int:
-        """The first millisecond at which an entry that was used then is older than the TTL."""
-        return (us + self.ttl) // 1000 + 1
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["us", "tie"])
-        last, live, suppressed = self.entry.get() if self.entry.exists() else (None, False, False)
-        before, out = last if live else None, []
-        for us, tie, size in zip(own["us"].tolist(), own["tie"].tolist(), own["size"].tolist()):
-            if suppressed:
-                out.append((tie, "suppressed", us))
-                continue
-            if live and us - last > self.ttl:
-                out.append((None, "expired", last + self.ttl))
-                live = False
-            if live:
-                out.append((tie, "hit", us))
-            elif not size >= self.least:  # NaN and None as well
-                out.append((tie, "suppress", us))
-                suppressed = True
-                continue
-            else:
-                out.append((tie, "create" if last is None else "stale", us))
-            last, live = max(us, last or us), True
-        if before is not None and (suppressed or before != last):
-            self.handle.deleteTimer(self._timer(before))
-        if live and not suppressed and before != last:
-            self.handle.registerTimer(self._timer(last))
-        self.entry.update((last or 0, live and not suppressed, suppressed))
-        yield self._told(key, out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, live, suppressed = self.entry.get()
-        self.entry.update((last, False, suppressed))
-        yield self._told(key, [(None, "expired", last + self.ttl)] if live else [])
-
-    def _told(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        columns = {n: [k] * len(out) for n, k in zip(self.names, key)}
-        told = {"tie": pd.array([o[0] for o in out], "Int64"), "action": [o[1] for o in out], "us": [o[2] for o in out]}
-        return pd.DataFrame(columns | told)
-
-    def close(self) -> None:
-        pass
+#: Buckets of keys; another number needs another checkpoint.
+BUCKETS = 512
+#: Types of keys that travel as texts: pandas has no null in numbers.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+Entries = dict[tuple, tuple]  # (last use in microseconds, live, suppressed) of each key
+
+
+def _loaded(table: bytes) -> Entries:
+    columns = [c.to_pylist() for c in pa.ipc.open_stream(table).read_all().columns]
+    return dict(zip(zip(*columns[:-3]), zip(*columns[-3:])))
+
+
+def _dumped(entries: Entries, names: list[str]) -> bytes:
+    states = (pa.array(c, t) for c, t in zip(zip(*entries.values()), (pa.int64(), pa.bool_(), pa.bool_())))
+    table = pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*entries)), *states], [*names, "last_us", "live", "suppressed"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_batch(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _requested(entries: Entries, requests: Iterator[tuple], ttl: int, least: float) -> Iterator[tuple]:
+    """key, tie, action, us of requests (key, us, tie, size) in their order; entries become what they are after them."""
+    for k, us, tie, size in requests:
+        last, live, suppressed = entries.get(k, (None, False, False))
+        if suppressed:
+            yield k, tie, "suppressed", us
+            continue
+        if live and us - last > ttl:
+            yield k, None, "expired", last + ttl
+            live = False
+        if live:
+            yield k, tie, "hit", us
+        elif not size >= least:  # NaN and None as well
+            yield k, tie, "suppress", us
+            entries[k] = (last, False, True)
+            continue
+        else:
+            yield k, tie, "create" if last is None else "stale", us
+        entries[k] = (us if last is None else max(us, last), True, False)
+
+
+def _ended(entries: Entries, watermark: int, ttl: int) -> Iterator[tuple]:
+    """key, null, expired, us of entries that are older than the TTL at the watermark (milliseconds)."""
+    for k, (last, live, suppressed) in entries.items():
+        if live and _due(last, ttl) <= watermark:
+            yield k, None, "expired", last + ttl
+            entries[k] = (last, False, suppressed)
+
+
+def _due(us: int, ttl: int) -> int:
+    """The first millisecond at which an entry that was used then is older than the TTL."""
+    return (us + ttl) // 1000 + 1
 
 
 def registry_stream(events: DataFrame, key: list[str], tie: str, size: str, ttl_seconds: int, least: float, late: str = "1 hour") -> DataFrame:
@@ -81,7 +88,28 @@ def registry_stream(events: DataFrame, key: list[str], tie: str, size: str, ttl_
     one that comes after a later one was taken counts as used then, so it is a hit unless the entry had ended.
     """
     ship(events.sparkSession)
-    kinds = dict(events.dtypes)
-    own = events.withWatermark("ts", late).select(*key, F.col(tie).alias("tie"), F.unix_micros("ts").alias("us"), F.col(size).cast("double").alias("size"), "ts")
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), "tie long", "action string", "us long"])
-    return own.groupBy(*key).transformWithStateInPandas(Registry(key, ttl_seconds, least), schema, "append", "eventTime").withColumnRenamed("tie", tie)
+    kinds, ttl = dict(events.dtypes), ttl_seconds * 1_000_000
+    texts = {k: "string" if kinds[k] in NUMBERS else kinds[k] for k in key}
+    names = [f"key{i}" for i in range(len(key))]
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        entries, out = _loaded(state.get[0]) if state.exists else {}, []
+        if not state.hasTimedOut:
+            own = pd.concat(list(frames)).sort_values(["us", "tie"])
+            keys = zip(*(own[n].tolist() for n in names))
+            out += _requested(entries, zip(keys, *(own[c].tolist() for c in ("us", "tie", "size"))), ttl, least)
+        out += _ended(entries, state.getCurrentWatermarkMs(), ttl)
+        state.update((_dumped(entries, names),))
+        if live := [last for last, live, _ in entries.values() if live]:
+            state.setTimeoutTimestamp(max(1, _due(min(live), ttl) - 1))  # it is called once the watermark is past that
+        if out:
+            keys, ties, actions, us = zip(*out)
+            told = [*zip(names, zip(*keys)), ("tie", ties), ("action", actions), ("us", us)]
+            yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in told})
+
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int").alias("bucket")
+    keys = [F.col(k).cast(texts[k]).alias(n) for k, n in zip(key, names)]
+    own = events.withWatermark("ts", late).select(bucket, *keys, F.col(tie).alias("tie"), F.unix_micros("ts").alias("us"), F.col(size).cast("double").alias("size"), "ts")
+    schema = ", ".join([*(f"{n} {texts[k]}" for k, n in zip(key, names)), "tie long", "action string", "us long"])
+    told = own.groupBy("bucket").applyInPandasWithState(step, schema, "entries binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select(*(F.col(n).cast(kinds[k]).alias(k) for k, n in zip(key, names)), F.col("tie").alias(tie), "action", "us")

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from lodestone.operators.state import registry_events
 from lodestone.streaming import machines as m
+from lodestone.streaming import registry
 from lodestone.streaming.registry import PROVIDER, registry_stream
 
 SCHEMA = "k long, id long, ts timestamp, size double"
@@ -56,3 +57,20 @@ def test_batch_and_stream(spark, tmp_path):
     got = m.run_to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "c"), PROVIDER).select("k", "id", "action").collect()
     assert order(map(tuple, got)) == order(want)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_many_keys_in_few_buckets(spark, tmp_path, monkeypatch):
+    r, at, rows = random.Random(8), datetime(2024, 1, 1), []
+    for i in range(1500):
+        at += timedelta(seconds=r.choice([0, 1, 5, 20]))
+        rows.append((r.randrange(2**53, 2**53 + 300) if r.random() < 0.95 else None, r.choice("xy"), i, at, r.choice([None, 1.0]) if r.random() < 0.02 else 50.0))
+    want = [(*k, i, action) for k, i, action in slow([((k, kind), i, ts, size) for k, kind, i, ts, size in rows], 600, 10, at - timedelta(minutes=5))]
+    schema = "k long, kind string, id long, ts timestamp, size double"
+    for i in range(0, len(rows), 300):
+        spark.createDataFrame(rows[i : i + 300], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(registry, "BUCKETS", 5)
+    stream = registry_stream(m.read_events(spark, str(tmp_path / "in"), schema, 1), ["k", "kind"], "id", "size", 600, 10, "5 minutes")
+    got = m.run_to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "c"), PROVIDER).select("k", "kind", "id", "action").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert len({k[:2] for k in want}) > 500
+    assert spark.read.format("statestore").load(str(tmp_path / "c")).count() <= 5  # one state for each bucket, not for each key
