@@ -112,7 +112,8 @@ def shared_pairs(members: DataFrame, key: str) -> DataFrame:
     every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
     rows = every.select((F.shiftright(high * (high + 1), 1) + low).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "items")
-    cells = rows.repartitionById(n_part, F.pmod("cell", F.lit(n_part)).cast("int")).sortWithinPartitions("cell", "side", "key")
+    dealt_out = rows.repartitionById(blocks * (blocks + 1) // 2, F.col("cell").cast("int"))  # a cell each, so a file repeats few keys many times
+    cells = dealt_out.sortWithinPartitions("cell", "side", "key")
     kind = members.schema[key].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType(), False)])
     return cells.mapInArrow(_pairs(STEP, schema.names), schema)
